@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .byte_bpe import op6
+from .language_id import op8
+from .license_scan import op7
 from .packing import op4
+from .pii import op9
 from .token_counts import op5
 
 QUERIES = {
     "op4_best_fit_packing": op4,
     "op5_token_counts": op5,
     "op6_byte_bpe": op6,
+    "op7_license_scan": op7,
+    "op8_language_id": op8,
+    "op9_pii": op9,
 }
 
 #: None of these can be expressed in SQL on whole tables; tests/llm holds them against brute force.
