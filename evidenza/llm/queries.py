@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op6
+from .html_text import op10
 from .language_id import op8
 from .license_scan import op7
 from .packing import op4
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_license_scan": op7,
     "op8_language_id": op8,
     "op9_pii": op9,
+    "op10_html_text": op10,
 }
 
 #: None of these can be expressed in SQL on whole tables; tests/llm holds them against brute force.
