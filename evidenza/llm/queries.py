@@ -6,11 +6,13 @@ from .byte_bpe import op6
 from .html_text import op10
 from .language_id import op8
 from .license_scan import op7
+from .ngram_join import op1
 from .packing import op4
 from .pii import op9
 from .token_counts import op5
 
 QUERIES = {
+    "op1_ngram_join": op1,
     "op4_best_fit_packing": op4,
     "op5_token_counts": op5,
     "op6_byte_bpe": op6,
