@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .byte_bpe import op6
+from .collision_counts import op3
 from .html_text import op10
 from .language_id import op8
 from .license_scan import op7
 from .ngram_join import op1
 from .packing import op4
+from .permutation_index import op2
 from .pii import op9
 from .token_counts import op5
 
 QUERIES = {
     "op1_ngram_join": op1,
+    "op2_permutation_index": op2,
+    "op3_collision_counts": op3,
     "op4_best_fit_packing": op4,
     "op5_token_counts": op5,
     "op6_byte_bpe": op6,
