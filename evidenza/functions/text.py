@@ -52,10 +52,14 @@ def escape_field(value: Column) -> Column:
     return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
 
 
+#: A character of private use, which stands for an escaped backslash meanwhile.
+HELD = "\ue000"
+
+
 def unescape_field(value: Column) -> Column:
-    """Undo escape_field; escaped backslashes wait behind a private-use character meanwhile."""
-    held = F.replace(value, F.lit("\\\\"), F.lit(""))
-    return F.replace(F.replace(F.replace(held, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit(""), F.lit("\\"))
+    """Undo escape_field."""
+    held = F.replace(value, F.lit("\\\\"), F.lit(HELD))
+    return F.replace(F.replace(F.replace(held, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit(HELD), F.lit("\\"))
 
 
 def pack_strings(values: Column) -> Column:
