@@ -5,10 +5,12 @@ the whole corpus: by the size class of a count sketch over all documents, rare f
 sets of similarity t share one of their first |x| - ceil(t|x|) + 1 elements, the prefix. The steps:
 
 1. Equal sets become one; sets of equal prefix and size become one group. Each group posts its prefix.
+   Each set also has a bitmap of the parities of its hashed elements: two of these never differ in more
+   bits than the sets in elements, so it rules out pairs inside a join, with no row made for them.
 2. In each posting list, groups of like size are chained in a random order: neighbours are candidates.
    A hot cluster of k members gives k candidates to a list, not k squared, and still becomes connected.
-3. Candidates pass if their prefixes still allow the similarity, and their whole sets reach it.
-4. Then come all pairs of groups of different components within a list, filtered by size and prefixes;
+3. Candidates pass if their bitmaps and prefixes still allow the similarity, and their whole sets reach it.
+4. Then come all pairs of groups of different components within a list, filtered by size, bitmaps and prefixes;
    what passes expands to its members of different components, which are verified. No pair of
    different components is left out, so the components are exact; pairs within one need no look.
 
@@ -35,6 +37,8 @@ from .common import Scratch, arrow_batches, table, text_or_empty
 from .components import components
 
 SKETCH_BITS, SLICES = 22, 1024
+BITMAP_WORDS = 8
+BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 #: Bytes of text that are hashed at once.
 PART = 1 << 20
 #: A-Z to a-z, what parts words to spaces.
@@ -121,6 +125,12 @@ def ordered(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return keys
 
 
+def bitmap(keys: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS longs with the parity of the elements that fall to each bit."""
+    odd = np.bincount((keys % np.uint64(64 * BITMAP_WORDS)).astype("int64"), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n + (percent * -n) // 100 + 1
 
@@ -218,13 +228,13 @@ class NgramJoin:
 
         n, percent, levels = self.n, self.percent, self.levels
 
-        @F.pandas_udf("n long, s1 long, s2 long, prefix binary")
+        @F.pandas_udf("n long, s1 long, s2 long, prefix binary, " + ", ".join(f"{b} long" for b in BITS))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
                 rows = []
                 for keys in _sets(texts.tolist(), n, levels.value):
-                    rows.append((len(keys), *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())), keys[: prefix_size(len(keys), percent)].tobytes() if len(keys) else b""))
-                yield pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix"])
+                    rows.append((len(keys), *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())), keys[: prefix_size(len(keys), percent)].tobytes() if len(keys) else b"", *bitmap(keys).tolist()))
+                yield pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", *BITS])
 
         found = self.docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
         return found.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
@@ -247,6 +257,11 @@ class NgramJoin:
     def _sizes(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
+    def _bits(self, a: str, b: str, na: str, nb: str):
+        """Bits that differ are at most the elements that differ, of which a similar pair has (100 - p) / (100 + p) of both sizes."""
+        differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"{a}{BITS[0]}").bitwiseXOR(F.col(f"{b}{BITS[0]}"))))
+        return differ * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
+
     def prefix_filter(self, pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) of group leaders whose prefixes allow the similarity."""
         percent = self.percent
@@ -258,10 +273,11 @@ class NgramJoin:
 
         some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         leaders = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, "doc_id")
-        side = docs.select("doc_id", "s1", "s2", "n", "prefix").join(leaders, ["doc_id", "s1", "s2"])
-        left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        return pairs.join(left, "a").join(right, "b").filter(allow("pa", "na", "pb", "nb")).select("a", "b")
+        side = docs.select("doc_id", "s1", "s2", "n", "prefix", *BITS).join(leaders, ["doc_id", "s1", "s2"])
+        left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), *(F.col(x).alias(f"x_{x}") for x in BITS))
+        right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
+        near = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & self._bits("x_", "y_", "na", "nb")).drop(right["b"])
+        return near.filter(allow("pa", "na", "pb", "nb")).select("a", "b")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b) of documents, by their whole sets."""
@@ -316,10 +332,11 @@ class NgramJoin:
 
         member = save(sets.select("rep", "gid").join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")))
         span = member.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        lists = posted.select("token", "gid", "n").distinct().join(span, "gid")
+        bits = full.join(sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("gid"), *BITS)
+        lists = save(posted.select("token", "gid", "n").distinct().join(span, "gid").join(bits, "gid"))
         x, y = lists.alias("x"), lists.alias("y")
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & self._sizes("x.n", "y.n"))
+        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n"))
         across = save(across.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct())
         alone = span.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         open_pairs = self.prefix_filter(across, full, sets).union(alone)
