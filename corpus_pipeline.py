@@ -19,9 +19,14 @@ LEAST_SHARE = 0.4
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; a missing label is filled in with what was found."""
+    """Documents in a known language; a missing label is filled in with what was found.
+
+    Where no document has a label, nothing can be learned, and only those without a letter go.
+    """
     arrow_batches(spark)
     model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    if not model.labels:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
     found = identify(docs.withColumnsRenamed({"lang_pred": "_1", "score": "_2"}), model)
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     kept = kept.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
