@@ -214,6 +214,11 @@ chain AS (SELECT user_id, payload, seq, repeat('0', 64) AS prev_hash, sha256(rep
 bad AS (SELECT user_id, seq, prev_hash, hash, CASE WHEN seq % 11 = 0 THEN 'x' ELSE payload END AS payload FROM chain WHERE seq % 13 <> 5),
 seen AS (SELECT *, lag(hash) OVER w AS before, lag(seq) OVER w AS last FROM bad WINDOW w AS (PARTITION BY user_id ORDER BY seq))
 SELECT CASE WHEN coalesce(seq <> last + 1, seq < 1) THEN 'seq' WHEN before IS NOT NULL AND prev_hash <> before THEN 'prev_hash' WHEN hash <> sha256(prev_hash || '|' || payload) THEN 'hash' ELSE 'ok' END AS fault, count(*) AS n FROM seen GROUP BY 1""",
+    "health_metrics": f"""{TABLES}, s AS (SELECT tenant_id, count(*) AS claims, count(event_time_unix) AS event_times, (SELECT count(DISTINCT x) FROM (SELECT unnest(toks) AS x FROM tokens t WHERE t.tenant_id = c.tenant_id)) AS terms,
+count(DISTINCT lower(entity)) AS entities, count(DISTINCT embedding_id) AS embedding_ids, (SELECT count(*) FROM vectors v JOIN claims d USING (claim_id) WHERE d.tenant_id = c.tenant_id) AS vectors FROM claims c GROUP BY tenant_id)
+SELECT name, tenant_id, CAST(value AS DOUBLE) AS value FROM (UNPIVOT s ON claims, event_times, terms, entities, embedding_ids, vectors INTO NAME name VALUE value)
+UNION ALL SELECT 'tier_' || CASE WHEN confidence >= 0.85 THEN 'hot' WHEN confidence >= 0.6 THEN 'warm' ELSE 'cold' END, tenant_id, CAST(count(*) AS DOUBLE) FROM claims GROUP BY 1, 2""",
+    "ingest_requests": "SELECT doc_id, CASE WHEN doc_id % 10 <> 6 THEN 'c' || CAST(doc_id AS VARCHAR) END AS claim_id, CASE doc_id % 10 WHEN 6 THEN NULL WHEN 3 THEN 1 ELSE 2 END::BIGINT AS n_vector, CASE doc_id % 10 WHEN 6 THEN 0 ELSE 1 END::BIGINT AS n_evidence, CASE doc_id % 10 WHEN 1 THEN 'claim_type' WHEN 4 THEN 'evidence_claim' WHEN 5 THEN 'stance' WHEN 6 THEN 'body' END AS error FROM documents",
     "stream_event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value) + 0.0, 4) AS total FROM events GROUP BY 1, 2",
     "stream_ack_counts": "SELECT 'b' || CAST(event_id % 700 AS VARCHAR) AS commit_id, count(DISTINCT user_id % 5) AS acks FROM events GROUP BY 1",
 }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import embeddings, hashing
 from ..functions.text import index_key, sanitize_id, tokenize
 from ..functions.vectors import cosine, literal
-from ..operators import extraction, filters, graph, projection, quality, ranking, routing, segments
-from ..sources import changelog
+from ..operators import extraction, filters, graph, metrics, projection, quality, ranking, routing, segments
+from ..sources import changelog, wire
 from ..sources.fixtures import claims, load, query_vector, table
 from ..streaming import replication
 from .retrieve import Request, candidate_counts, candidates, citations, retrieve, retrieve_batch, vector_candidates, vector_limit
@@ -478,6 +478,22 @@ def write_routing_key(spark, sf_dir):
     return claims(spark, sf_dir).select("claim_id", projection.write_key(F.col("entities"), F.col("claim_id")).alias("key"))
 
 
+@query
+def health_metrics(spark, sf_dir):
+    return metrics.health(load(spark, sf_dir))
+
+
+@query
+def ingest_requests(spark, sf_dir):
+    n, q = F.col("doc_id") % 10, F.lit('"')
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    claim = text('{"claim":{"claim_id":"c', F.col("doc_id"), '","tenant_id":', q, F.col("lang"), q, ',"canonical_text":"x","confidence":0.5', F.when(n == 1, ',"claim_type":"odd"').when(n == 2, ',"claim_type":"causal"').otherwise(""), ',"embedding_vector":[1,2]}', F.when(n == 3, ',"claim_embedding":[3]').otherwise(""))
+    rest = text(',"evidence":[{"evidence_id":"e","claim_id":"c', F.col("doc_id") + F.when(n == 4, 1).otherwise(0), '","source_id":"s","stance":', F.when(n == 5, '"maybe"').otherwise('"supports"'), ',"source_quality":1}]}')
+    body = F.when(n == 6, F.lit("[]")).otherwise(F.concat(claim, rest))
+    parsed = wire.parse(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")))
+    return parsed.select("doc_id", "claim.claim_id", F.size("vector").cast("long").alias("n_vector"), F.size("evidence").cast("long").alias("n_evidence"), "error")
+
+
 @query
 def hash_embeddings(spark, sf_dir):
     rows = claims(spark, sf_dir).select("claim_id", embeddings.embed(F.col("canonical_text"), lambda: embeddings.HashProvider(64)).alias("v"))

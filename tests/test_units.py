@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidenza.functions import embeddings, hashing, text, vectors
-from evidenza.operators import extraction, filters, graph, quality, ranking, routing, segments
+from evidenza.operators import extraction, filters, graph, metrics, quality, ranking, routing, segments
 from evidenza.plans.retrieve import Request, response, retrieve, vector_limit
 from evidenza.schema import ConflictError, IntegrityError, StoreError, Tables
-from evidenza.sources import changelog
+from evidenza.sources import changelog, wire
+from evidenza.sources.mirror import Mirror, cold_start
 from evidenza.streaming import replication
 
 CLAIMS = "claim_id string, tenant_id string, canonical_text string, confidence double, event_time_unix long, entities array<string>, embedding_ids array<string>, valid_from long, valid_to long"
@@ -305,3 +306,29 @@ def test_scores_are_finite(spark):
     found = rows.crossJoin(stats).select("id", ranking.bm25(F.col("tokens"), ["x", "q", "x"]).alias("s")).toPandas()
     assert np.isfinite(found["s"]).all() and float(found.set_index("id")["s"]["a"]) == 0.0
     assert isinstance(found, pd.DataFrame)
+
+
+def test_mirror_and_cold_start(spark, tables, tmp_path):
+    mirror = Mirror(spark, str(tmp_path / "mirror"))
+    with pytest.raises(IntegrityError):
+        mirror.load()
+    assert mirror.checkpoint(tables, 10) == 1 and mirror.meta() == {"high_water": 10, "claims": 4, "evidence": 4, "edges": 3, "vectors": 3}
+    assert mirror.claim("a2").count() == 1 and {r["tenant_id"]: r["dimensions"] for r in mirror.tenant_dimension().collect()} == {"t": 2, "u": 2}
+    log = spark.createDataFrame([(9, "C\ta3\tt\told\t0.1\tnull"), (10, "C\ta1\tt\tnew\t0.1\tnull"), (11, "V\ta3\t1.0,2.0"), (12, "E\tv9\ta1\ts\tneutral\t0.5")], "offset long, line string")
+    state = cold_start(mirror, log)
+    assert {r["claim_id"]: r["canonical_text"] for r in state.claims.collect()}["a1"] == "new" and state.claims.count() == 4
+    assert {r["claim_id"] for r in state.vectors.collect()} == {"a2", "b1", "a3"} and state.evidence.count() == 5
+
+
+def test_wire_batches(spark):
+    body = '{"claim":{"claim_id":"c","tenant_id":"%s","canonical_text":"x","confidence":0.5}}'
+    rows = wire.parse(spark.createDataFrame([(body % "t",), (body % "u",)], "body string"))
+    wire.check_batch(rows.limit(1))
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(StoreError):
+            wire.check_batch(bad)
+
+
+def test_exposition(spark, tables):
+    lines = [r["line"] for r in metrics.exposition(metrics.health(tables)).collect()]
+    assert 'evidenza_claims{tenant="t"} 3.0' in lines and 'evidenza_tier_hot{tenant="u"} 1.0' in lines
