@@ -53,7 +53,9 @@ def hash_embedding(dimensions: int, lower: bool):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         split = [(x or "").translate(LOWER if lower else {}).split() for x in texts]
-        flat = fnv1a([t.encode() for tokens in split for t in tokens])
+        names = list(set().union(*split)) if split else []
+        of = dict(zip(names, fnv1a([t.encode() for t in names]).tolist(), strict=True))
+        flat = np.array([of[t] for tokens in split for t in tokens], "u8")
         row = np.repeat(np.arange(len(split)), [len(t) for t in split])
         out = np.zeros((len(split), dimensions))
         np.add.at(out, (row, (flat % np.uint64(dimensions)).astype("int64")), np.where(flat >> np.uint64(63) == 0, 1.0, -1.0))

@@ -13,11 +13,33 @@ def normalize_token(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, "[^A-Za-z0-9]", ""))
 
 
+def padded(text: Column) -> Column:
+    """The tokens of a text as one string, a space on each side of each: ` a  b  a `; only spaces if there is none.
+
+    Counting and finding tokens in it are plain string functions inside whole-stage code generation, where
+    arrays with lambdas are interpreted element by element.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, "(?U)[^A-Za-z0-9\\s]+", ""), "(?U)\\s+", "  ")
+    return F.concat(F.lit(" "), F.lower(F.trim(bare)), F.lit(" "))
+
+
+def count_tokens(pad: Column) -> Column:
+    return F.when(pad == "  ", 0).otherwise(F.octet_length(pad) - F.octet_length(F.replace(pad, F.lit("  "), F.lit(" "))) + 1)
+
+
+def count_token(pad: Column, token: str) -> Column:
+    """How often a token stands in the padded text."""
+    return ((F.octet_length(pad) - F.octet_length(F.replace(pad, F.lit(f" {token} "), F.lit("")))) / F.lit(len(token) + 2)).cast("long")
+
+
+def has_token(pad: Column, token: str) -> Column:
+    return pad.contains(f" {token} ")
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-case ASCII words and digits, in order, with repeats. One pass over the text cleans all tokens at once."""
-    spaced = F.regexp_replace(text, "(?U)\\s+", " ")
-    clean = F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9 ]", ""))
-    return F.filter(F.split(clean, " ", -1), lambda t: t != "")
+    """Lower-case ASCII words and digits, in order, with repeats."""
+    bare = F.trim(padded(text))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "  "))
 
 
 def tokenize_text(text: str) -> list[str]:
@@ -37,7 +59,7 @@ def normalize_whitespace(value: Column) -> Column:
 
 
 def sanitize_id(value: Column, most: int) -> Column:
-    """Letters, digits, `-`, `_`, `:` kept in lower case, all else a dash; cut, dashes at the ends off; `raw` if empty."""
+    """Letters, digits, `-`, `_`, `:` kept in lower case, all else a hyphen; cut, hyphens at the ends off; `raw` if empty."""
     kept = F.lower(F.regexp_replace(value, "[^A-Za-z0-9\\-_:]", "-"))
     bare = F.regexp_replace(F.substring(kept, 1, most), "^-+|-+$", "")
     return F.when(F.length(bare) > 0, bare).otherwise("raw")

@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
+from ..functions.text import count_token, count_tokens, has_token, padded
 
 
-def overlap(tokens: Column, query: list[str]) -> Column:
-    """Share of the query's tokens, repeats counted, that the text holds."""
+def overlap(pad: Column, query: list[str]) -> Column:
+    """Share of the query's tokens, repeats counted, that the padded text holds."""
     if not query:
         return F.lit(0.0)
-    return sum((F.array_contains(tokens, t).cast("double") for t in query[1:]), F.array_contains(tokens, query[0]).cast("double")) / len(query)
+    return sum((has_token(pad, t).cast("double") for t in query[1:]), has_token(pad, query[0]).cast("double")) / len(query)
 
 
-def corpus_stats(tokens: DataFrame, query: list[str]) -> DataFrame:
-    """One row for a tenant's tokens: n_docs, avg_len (1 at least), df_i of the i-th distinct query token, n_matched."""
+def has_any(pad: Column, query: list[str]) -> Column:
+    found = F.lit(False)
+    for t in dict.fromkeys(query):
+        found = found | has_token(pad, t)
+    return found
+
+
+def corpus_stats(texts: DataFrame, query: list[str]) -> DataFrame:
+    """One row for a tenant's texts (pad, n_tokens): n_docs, avg_len (1 at least), df_i of the i-th distinct query token, n_matched."""
     terms = list(dict.fromkeys(query))
-    any_of = F.arrays_overlap("tokens", F.array(*map(F.lit, terms))) if terms else F.lit(False)
-    return tokens.agg(
+    return texts.agg(
         F.count("*").alias("n_docs"),
-        F.greatest(F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
-        *(F.count_if(F.array_contains("tokens", t)).alias(f"df_{i}") for i, t in enumerate(terms)),
-        F.count_if(any_of).alias("n_matched"),
+        F.greatest(F.coalesce(F.avg(F.col("n_tokens").cast("double")), F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
+        *(F.count_if(has_token(F.col("pad"), t)).alias(f"df_{i}") for i, t in enumerate(terms)),
+        F.count_if(has_any(F.col("pad"), terms)).alias("n_matched"),
     )
 
 
@@ -30,19 +37,15 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def _count(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
-
-
-def bm25(tokens: Column, query: list[str]) -> Column:
-    """Needs the columns of corpus_stats beside the tokens; a repeated query token counts each time."""
+def bm25(query: list[str]) -> Column:
+    """Needs pad, n_tokens and the columns of corpus_stats; a repeated query token counts each time."""
     terms = list(dict.fromkeys(query))
-    length = F.size(tokens).cast("double")
+    length = F.col("n_tokens").cast("double")
     norm = S.BM25_K1 * ((1 - S.BM25_B) + S.BM25_B * length / F.col("avg_len"))
     total = F.lit(0.0)
-    for t in query:
-        tf = _count(tokens, t)
-        total = total + idf(F.col("n_docs"), F.col(f"df_{terms.index(t)}")) * (tf * (S.BM25_K1 + 1)) / (tf + norm)
+    for t in terms:
+        tf = count_token(F.col("pad"), t).cast("double")
+        total = total + query.count(t) * idf(F.col("n_docs"), F.col(f"df_{terms.index(t)}")) * (tf * (S.BM25_K1 + 1)) / (tf + norm)
     return F.when(length > 0, F.greatest(total, F.lit(0.0))).otherwise(0.0)
 
 
@@ -58,6 +61,11 @@ def semantic_score(cos: Column, lexical: Column) -> Column:
     return (F.coalesce(cos, F.lit(0.0)) + 1) * 0.5 + S.SEMANTIC_LEXICAL * lexical
 
 
+def with_tokens(claims: DataFrame) -> DataFrame:
+    """Claims with pad and n_tokens of their text."""
+    return claims.withColumn("pad", padded(F.col("canonical_text"))).withColumn("n_tokens", count_tokens(F.col("pad")))
+
+
 def stance_counts(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_if(F.col(value) == "supports").alias("supports"), F.count_if(F.col(value) == "contradicts").alias("contradicts"))
 

@@ -81,8 +81,8 @@ def retrieve_batch_queries(spark, sf_dir):
 
 @query
 def baseline_overlap_top(spark, sf_dir):
-    own = claims(spark, sf_dir).filter("tenant_id = 'en'").withColumn("tokens", tokenize(F.col("canonical_text")))
-    scored = own.select("claim_id", F.round(ranking.overlap(F.col("tokens"), QUERY.split()), 6).alias("overlap"))
+    own = ranking.with_tokens(claims(spark, sf_dir).filter("tenant_id = 'en'"))
+    scored = own.select("claim_id", F.round(ranking.overlap(F.col("pad"), QUERY.split()), 6).alias("overlap"))
     return scored.orderBy(F.desc("overlap"), "claim_id").limit(1)
 
 
@@ -110,15 +110,15 @@ def candidate_ids(spark, sf_dir):
 
 @query
 def lexical_overlap(spark, sf_dir):
-    rows = claims(spark, sf_dir).withColumn("tokens", tokenize(F.col("canonical_text")))
-    return rows.select("claim_id", F.round(ranking.overlap(F.col("tokens"), QUERY.split()), 6).alias("overlap"))
+    rows = ranking.with_tokens(claims(spark, sf_dir))
+    return rows.select("claim_id", F.round(ranking.overlap(F.col("pad"), QUERY.split()), 6).alias("overlap"))
 
 
 @query
 def bm25_scores(spark, sf_dir):
-    own = claims(spark, sf_dir).filter("tenant_id = 'en'").withColumn("tokens", tokenize(F.col("canonical_text")))
+    own = ranking.with_tokens(claims(spark, sf_dir).filter("tenant_id = 'en'"))
     stats = F.broadcast(ranking.corpus_stats(own, QUERY.split()))
-    return own.crossJoin(stats).select("claim_id", F.round(ranking.bm25(F.col("tokens"), QUERY.split()), 6).alias("bm25"))
+    return own.crossJoin(stats).select("claim_id", F.round(ranking.bm25(QUERY.split()), 6).alias("bm25"))
 
 
 @query
@@ -135,7 +135,7 @@ def term_freq(spark, sf_dir):
 
 @query
 def corpus_stats(spark, sf_dir):
-    rows = claims(spark, sf_dir).select("tenant_id", F.size(tokenize(F.col("canonical_text"))).cast("double").alias("n"))
+    rows = ranking.with_tokens(claims(spark, sf_dir)).select("tenant_id", F.col("n_tokens").cast("double").alias("n"))
     return rows.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.round(F.greatest(F.avg("n"), F.lit(1.0)), 6).alias("avg_len"))
 
 

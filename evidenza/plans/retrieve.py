@@ -74,7 +74,7 @@ def vector_candidates(tables: Tables, tenant_id: str, vector: list[float], n: in
 
 
 def _tenant(tables: Tables, request: Request) -> DataFrame:
-    return tables.claims.filter(F.col("tenant_id") == request.tenant_id).withColumn("tokens", tokenize(F.col("canonical_text")))
+    return ranking.with_tokens(tables.claims.filter(F.col("tenant_id") == request.tenant_id))
 
 
 def candidates(tables: Tables, request: Request, allowed: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def candidates(tables: Tables, request: Request, allowed: DataFrame | None = Non
     if explicit is not None:
         found = found.join(explicit.select("claim_id").distinct(), "claim_id", "left_semi")
     else:
-        hit = (F.col("n_matched") == 0) | F.arrays_overlap("tokens", F.array(*map(F.lit, query))) if query else F.lit(True)
+        hit = (F.col("n_matched") == 0) | ranking.has_any(F.col("pad"), query) if query else F.lit(True)
         if request.query_vector is not None:
             near = vector_candidates(tables, request.tenant_id, request.query_vector, vector_limit(request.top_k)).select("claim_id", F.lit(True).alias("near"))
             found = found.join(near, "claim_id", "left")
@@ -107,7 +107,7 @@ def score(tables: Tables, request: Request, found: DataFrame) -> DataFrame:
     edges = tables.edges.join(ids, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("supports", "contradicts")} | {"quality": F.coalesce("quality", F.lit(0.0))}
     out = found.join(ranking.signals(evidence, edges), "claim_id", "left").withColumns(zero).filter(filters.stance_allows(request.stance_mode))
-    out = out.withColumns({"overlap": ranking.overlap(F.col("tokens"), query), "bm25": ranking.bm25(F.col("tokens"), query)})
+    out = out.withColumns({"overlap": ranking.overlap(F.col("pad"), query), "bm25": ranking.bm25(query)})
     lexical = ranking.lexical_score(ranking.base_score(F.col("overlap"), F.col("supports"), F.col("contradicts"), F.col("quality"), F.col("confidence")), F.col("bm25"))
     if request.query_vector is None:
         return out.withColumn("score", lexical)
@@ -146,12 +146,12 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     """
     asked = queries.withColumn("qtokens", tokenize(F.col("query")))
     used = asked.select("tenant_id").distinct()
-    own = tables.claims.join(F.broadcast(used), "tenant_id", "left_semi").withColumn("tokens", tokenize(F.col("canonical_text")))
-    stats = own.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("tokens").cast("double")), F.lit(1.0)).alias("avg_len"))
+    own = ranking.with_tokens(tables.claims.join(F.broadcast(used), "tenant_id", "left_semi"))
+    stats = own.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.col("n_tokens").cast("double")), F.lit(1.0)).alias("avg_len"))
     terms = asked.select("query_id", "tenant_id", F.size("qtokens").alias("n_terms"), F.explode("qtokens").alias("token"))
     terms = terms.groupBy("query_id", "tenant_id", "n_terms", "token").agg(F.count("*").alias("times"))
     wanted = terms.select("tenant_id", "token").distinct()
-    posted = own.select("claim_id", "tenant_id", F.size("tokens").cast("double").alias("len"), F.explode("tokens").alias("token")).join(wanted, ["tenant_id", "token"])
+    posted = own.select("claim_id", "tenant_id", F.col("n_tokens").cast("double").alias("len"), F.explode(F.split(F.trim("pad"), "  ")).alias("token")).join(wanted, ["tenant_id", "token"])
     posted = posted.groupBy("tenant_id", "token", "claim_id", "len").agg(F.count("*").alias("tf"))
     df = posted.groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))
@@ -171,7 +171,7 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
 def candidate_counts(tables: Tables, request: Request, allowed: DataFrame | None = None) -> DataFrame:
     """One row: claims of the tenant, claims with a query token, claims that pass the filters, candidates."""
     own, query = _tenant(tables, request), request.tokens
-    hit = F.arrays_overlap("tokens", F.array(*map(F.lit, query))) if query else F.lit(False)
+    hit = ranking.has_any(F.col("pad"), query)
     passed = filters.matches_time(request.time_from, request.time_to) & filters.metadata(request.entities, request.embedding_ids)
     counts = own.agg(F.count("*").alias("tenant_claims"), F.count_if(hit).alias("matched"), F.count_if(passed).alias("allowed"))
     return counts.crossJoin(candidates(tables, request, allowed).agg(F.count("*").alias("candidates")))

@@ -301,9 +301,11 @@ def test_audit_chain(spark):
 
 
 def test_scores_are_finite(spark):
-    rows = spark.createDataFrame([("a", []), ("b", ["x"]), ("c", ["x", "y", "x"])], "id string, tokens array<string>")
+    rows = ranking.with_tokens(spark.createDataFrame([("a", ""), ("b", "x"), ("c", "X, y -- x!"), ("d", " -- ")], "id string, canonical_text string"))
+    assert [r["n_tokens"] for r in rows.orderBy("id").collect()] == [0, 1, 3, 0]
     stats = ranking.corpus_stats(rows, ["x", "q"])
-    found = rows.crossJoin(stats).select("id", ranking.bm25(F.col("tokens"), ["x", "q", "x"]).alias("s")).toPandas()
+    assert stats.first()["df_0"] == 2 and stats.first()["n_matched"] == 2
+    found = rows.crossJoin(stats).select("id", ranking.bm25(["x", "q", "x"]).alias("s")).toPandas()
     assert np.isfinite(found["s"]).all() and float(found.set_index("id")["s"]["a"]) == 0.0
     assert isinstance(found, pd.DataFrame)
 
