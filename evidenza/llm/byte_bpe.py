@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_batches, table, text_or_empty
-from .memo import Memo, groups_by_bytes
+from .memo import Memo, groups_by_chars
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: What may follow a pre-token and still decide where it ends: contractions look 3 characters ahead.
@@ -44,7 +44,7 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for raw, rank in ranks.items():
             self.bytes_of[rank] = raw
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, unload=_loaded.clear)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each pre-token."""
@@ -79,11 +79,11 @@ class Codec:
         return [text[a:b] for a, b in out]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for group in groups_by_bytes(texts):
+        for group in groups_by_chars(texts):
             split = [self.pretokens(t) for t in group]
-            self.memo.fill(p for pieces in split for p in pieces)
+            get = self.memo.of(split).__getitem__
             for pieces in split:
-                yield b"".join(map(self.memo.__getitem__, pieces))
+                yield b"".join(map(get, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -22,16 +22,19 @@ class ChainCRF:
         self.weights = np.zeros((rows, len(labels)), "float32")
         self.moves = np.zeros((len(labels), len(labels)))
 
-    def rows_of(self, word) -> list[int]:
-        return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % self.rows for f in self.features(word)]
+    def rows_of(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the features of all words, one word after another, and how many each has."""
+        if hasattr(self.features, "rows"):
+            return self.features.rows(words, self.rows)
+        found = [[zlib.crc32(f.encode("utf-8", "surrogatepass")) % self.rows for f in self.features(w)] for w in words]
+        return np.fromiter((i for x in found for i in x), "int64"), np.array([len(x) for x in found], "int64")
 
     def scores(self, words: list) -> np.ndarray:
         """Emission scores of words, before any context."""
-        found = [self.rows_of(w) for w in words]
-        sizes = np.array([len(x) for x in found], "int64")
-        flat = np.fromiter((i for x in found for i in x), "int64", int(sizes.sum()))
-        out = np.zeros((len(words), len(self.labels)))
-        np.add.at(out, np.repeat(np.arange(len(words)), sizes), self.weights[flat])
+        flat, sizes = self.rows_of(words)
+        out, some = np.zeros((len(words), len(self.labels))), sizes > 0
+        if len(flat):
+            out[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], 0)
         return out
 
     def fit(self, sequences: list[tuple[list, list[int]]], rounds: int = 40, rate: float = 0.3, decay: float = 1e-4, step: int = SEGMENT) -> None:
@@ -44,9 +47,9 @@ class ChainCRF:
         ids, gold, real = np.zeros((n, step), "int64"), np.zeros((n, step), "int64"), np.zeros((n, step), bool)
         for i, (w, y) in enumerate(pieces):
             ids[i, : len(w)], gold[i, : len(w)], real[i, : len(w)] = [index[x] for x in w], y, True
-        found = [self.rows_of(w) for w in index]
-        word = np.repeat(np.arange(len(index)), [len(x) for x in found])
-        used, row = np.unique(np.fromiter((i for x in found for i in x), "int64"), return_inverse=True)
+        flat, held = self.rows_of(list(index))
+        word = np.repeat(np.arange(len(index)), held)
+        used, row = np.unique(flat, return_inverse=True)
         count = np.zeros((len(index), k))
         np.add.at(count, (ids[real], gold[real]), 1)
         pairs = real[:, 1:]

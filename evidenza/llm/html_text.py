@@ -46,7 +46,7 @@ ENDS_P = BLOCK - {"br", "html", "body", "tr", "td", "th", "tbody", "thead", "tfo
 MARKS = re.compile(r"[.!?;:,。、]")
 ROWS = 1 << 14
 #: Character that marks main text in labelled pages.
-MAIN = ""
+MAIN = "\ue000"
 
 
 class Tree:
@@ -408,9 +408,9 @@ TOGETHER = 1 << 20
 
 def main_texts(pages: list[str], using: Model | None = None) -> Iterator[str]:
     using = using or model()
-    from .memo import groups_by_bytes
+    from .memo import groups_by_chars
 
-    for group in groups_by_bytes(pages, TOGETHER):
+    for group in groups_by_chars(pages, TOGETHER):
         trees = [Tree(p) for p in group]
         forest = Forest(trees)
         chosen = (using.probabilities(forest) > 0.5).tolist()

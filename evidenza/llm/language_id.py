@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_batches, table, text_or_empty
 from .crf import ChainCRF
-from .memo import Memo, groups_by_bytes
+from .memo import Memo, groups_by_chars
 
 PER_LANGUAGE, TRAIN_CHARS, LEXICON_WORDS = 160, 6000, 300
 UNKNOWN = "und"
@@ -39,21 +39,45 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(PART).split()
 
 
+#: Bytes of a word that its features see: of a longer one the first and the last half of these.
+SEEN = 24
+
+
 class Features:
+    """Features of many words at once, hashed: the word, its affixes of 1 to 4 bytes, its n-grams of 1 to 3, its lexicon."""
+
     def __init__(self, lexicon: dict[bytes, str]):
         self.lexicon = lexicon
-
-    def __call__(self, word: bytes) -> list[str]:
-        w = word.decode("utf-8", "replace")
-        if not LETTER.search(w):
-            return []
-        w = w[:40]
-        edged, out = f"<{w}>", ["bias", f"w{w}"]
-        out += [f"p{edged[:n]}" for n in (2, 3, 4)] + [f"s{edged[-n:]}" for n in (2, 3, 4, 5)]
-        out += {f"g{edged[i : i + n]}" for n in (1, 2, 3) for i in range(len(edged) - n + 1)}
-        if word in self.lexicon:
-            out.append(f"l{self.lexicon[word]}")
-        return out
+        self.languages = sorted(set(lexicon.values()))
+
+    def rows(self, words: list[bytes], rows: int) -> tuple[np.ndarray, np.ndarray]:
+        seen = [b"<" + (w if len(w) <= SEEN else w[: SEEN // 2] + w[-SEEN // 2 :]) + b">" for w in words]
+        n, width = len(words), SEEN + 2
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in seen), "u1").reshape(n, width).astype("u8")
+        size = np.array([len(w) for w in seen], "int64")
+        at = np.arange(width)
+        mix = lambda h, tag: (h + np.uint64(tag)) * np.uint64(0x9E3779B97F4A7C15)
+        grams, keys, kept = np.zeros((n, width), "u8"), [], []
+        for k in (1, 2, 3, 4, 5):
+            grams[:, : width - k + 1] = grams[:, : width - k + 1] * np.uint64(257) + text[:, k - 1 :]
+            fits = at[None, :] + k <= size[:, None]
+            if k <= 3:
+                keys.append(mix(grams, k))
+                kept.append(fits & ((at > 0) | (k > 1)) & ((at[None, :] + k < size[:, None]) | (k > 1)))
+            if k >= 2:
+                ends = np.stack([grams[:, 0], grams[np.arange(n), np.maximum(size - k, 0)]], 1)
+                keys.append(mix(ends, 10 + k) + np.array([0, 1 << 40], "u8"))
+                kept.append(np.repeat((size >= k)[:, None], 2, 1))
+        whole = np.zeros(n, "u8")
+        for i in range(width):
+            whole = whole * np.uint64(0x100000001B3) + text[:, i]
+        known = np.array([self.languages.index(self.lexicon[w]) + 1 if w in self.lexicon else 0 for w in words], "u8")
+        keys.append(np.stack([np.full(n, 77, "u8"), mix(whole, 99), mix(known, 1 << 50)], 1))
+        kept.append(np.stack([np.ones(n, bool), np.ones(n, bool), known > 0], 1))
+        every, fits = np.concatenate(keys, 1), np.concatenate(kept, 1)
+        hashed = every ^ (every >> np.uint64(31))
+        hashed = (hashed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(34)
+        return (hashed[fits] % np.uint64(rows)).astype("int64"), fits.sum(1)
 
 
 class Identifier:
@@ -97,16 +121,16 @@ class Identifier:
             yield from ((UNKNOWN, 0.0, []) for _ in texts)
             return
         if not hasattr(self, "memo"):
-            self.memo = Memo(self._emit)
+            self.memo = Memo(self._emit, unload=_loaded.clear)
         k = len(self.labels)
-        for group in groups_by_bytes(texts):
+        for group in groups_by_chars(texts):
             split = [words_of(t) if LETTER.search(t) else [] for t in group]
             sizes = np.array([len(w) for w in split], "int64")
             some = sizes > 0
             share = np.zeros((len(group), k))
             if some.any():
-                self.memo.fill(w for words in split for w in words)
-                emit = np.frombuffer(b"".join(b"".join(map(self.memo.__getitem__, words)) for words in split), "float32").reshape(-1, k)
+                get = self.memo.of(split).__getitem__
+                emit = np.frombuffer(b"".join(b"".join(map(get, words)) for words in split), "float32").reshape(-1, k)
                 mean = self.crf.marginals(emit.astype("float64"), sizes[some])
                 begin = (np.cumsum(sizes) - sizes)[some]
                 share[some] = np.add.reduceat(mean, begin, 0) / sizes[some][:, None]

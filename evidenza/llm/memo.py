@@ -1,49 +1,74 @@
-"""A bounded memo for Arrow functions; it lives as long as the Python worker."""
+"""A bounded memo for Arrow functions; it lives as long as the Python worker.
+
+A worker serves one operator after another. Only the memo in use holds entries: when another one
+comes into use, the last one is emptied, so a worker's memory does not add up over operators.
+"""
 
 from __future__ import annotations
 
-#: Entries a worker keeps before it starts over: some 200 MB with keys and values.
-MEMO_ENTRIES = 600_000
+import ctypes
+import gc
 
+LIBC = ctypes.CDLL(None)
+#: Entries of a generation; the last one is kept beside the one that fills: some 80 MB in all with keys and values.
+MEMO_ENTRIES = 120_000
+#: Characters that one call of a tokenizer gets, and of texts that are handled together.
+BATCH_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
 
-class Memo(dict):
-    """word -> value; `fill` computes the values of many unknown words in one call."""
 
-    def __init__(self, compute, entries: int = MEMO_ENTRIES):
-        super().__init__()
-        self.compute, self.entries = compute, entries
+class Memo:
+    """word -> value; `compute` gives the values of many words in one call."""
 
-    def __missing__(self, key):
-        value = self.compute([key])[0]
-        self[key] = value
-        return value
+    in_use: Memo | None = None
 
-    def fill(self, words) -> None:
-        """Learn all of `words`, in batches balanced by bytes."""
-        new = list(set(words).difference(self))
-        if not new:
-            return
-        if len(self) + len(new) > self.entries:
-            self.clear()
-            new = list(set(words))
-        start, held = 0, 0
-        for i, word in enumerate(new):
-            held += len(word) + 16
-            if held >= BATCH_BYTES:
-                self._learn(new[start : i + 1])
-                start, held = i + 1, 0
-        self._learn(new[start:])
+    def __init__(self, compute, entries: int = MEMO_ENTRIES, unload=None):
+        self.kept: dict = {}
+        self.last: dict = {}
+        self.compute, self.entries, self.unload = compute, entries, unload
 
-    def _learn(self, words: list) -> None:
-        if words:
-            self.update(zip(words, self.compute(words), strict=True))
+    def clear(self) -> None:
+        self.kept.clear()
+        self.last.clear()
 
+    @classmethod
+    def drop(cls) -> None:
+        """Empty the memo in use and let go of its model; operators without one call this, since they share the workers."""
+        if cls.in_use:
+            cls.in_use.clear()
+            if cls.in_use.unload:
+                cls.in_use.unload()
+            cls.in_use = None
+            gc.collect()
+            if hasattr(LIBC, "malloc_trim"):
+                LIBC.malloc_trim(0)
 
-#: Bytes of text that one call of a tokenizer gets.
-BATCH_BYTES = 1 << 19
+    def of(self, lists) -> dict:
+        """The values of all words in the lists; unknown ones are computed in batches balanced by size."""
+        if Memo.in_use is not self:
+            Memo.drop()
+            Memo.in_use = self
+        needed = list(set().union(*lists)) if len(lists) != 1 else lists[0]
+        found = dict(zip(needed, map(self.kept.get, needed), strict=True))
+        new = [w for w, value in found.items() if value is None]
+        if new:
+            if len(self.kept) + len(new) > self.entries:
+                self.last, self.kept = self.kept, {}
+            again = {w: value for w in new if (value := self.last.get(w)) is not None}
+            found.update(again)
+            self.kept.update(again)
+            new = [w for w in new if w not in again]
+            start, held = 0, 0
+            for i, word in enumerate(new):
+                held += len(word) + 16
+                if held >= BATCH_CHARS or i == len(new) - 1:
+                    values = dict(zip(new[start : i + 1], self.compute(new[start : i + 1]), strict=True))
+                    found.update(values)
+                    self.kept.update(values)
+                    start, held = i + 1, 0
+        return found
 
 
-def groups_by_bytes(texts, most: int = BATCH_BYTES):
+def groups_by_chars(texts, most: int = GROUP_CHARS):
     """Consecutive texts in lists of about `most` characters; a longer text stands alone."""
     held, size = [], 0
     for text in texts:

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, arrow_batches, table, text_or_empty
 from .components import components
+from .memo import Memo
 
-SKETCH_BITS, SLICES = 22, 1024
+SKETCH_BITS, SLICES = 21, 1024
 BITMAP_WORDS = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 #: Bytes of text that are hashed at once.
@@ -76,6 +77,7 @@ def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
     """The hashes of each text's words, many short texts at a time and long ones in parts."""
+    Memo.drop()
     held: list[bytes] = []
     size = 0
 
@@ -169,7 +171,7 @@ def _slots(partials: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     out = np.zeros((SLICES, (1 << bits) // SLICES), "u4")
-    for row in partials.repartition(16, "slice").mapInArrow(add, "slice int, counts binary").toLocalIterator():
+    for row in partials.repartition("slice").mapInArrow(add, "slice int, counts binary").toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["counts"], "u4")
     return out.ravel()
 
@@ -196,7 +198,7 @@ def size_classes(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray
             for words in word_hashes(batch.column(0).to_pylist()):
                 held.append((shingle_set(words, n) >> np.uint64(64 - bits)).astype("u4"))
                 waiting += len(held[-1])
-                if waiting > 1 << 21:
+                if waiting > 1 << 20:
                     put()
         put()
         yield _partial(counts)

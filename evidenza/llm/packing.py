@@ -21,6 +21,10 @@ of the pieces are kept, and a column with an output's name is replaced.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, arrow_batches, table, text_or_empty
-from .memo import Memo, groups_by_bytes
+from .memo import Memo, groups_by_chars
 
 CAPACITY, END_ID = 4096, 1
 #: Numbers of groups that are tried; the plan of fewest sequences is kept.
@@ -40,48 +44,124 @@ _loaded: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of a tokenizers file that drops white space: parts between blanks encode alone."""
+    """Ids of a tokenizers file, of whole texts.
+
+    Where the file's rules are those below, a text of plain Latin-1 characters is lower-cased and cut into
+    pre-tokens here, and each distinct one goes to the BPE model once; such characters are their own NFC
+    form. Without apostrophes the cuts lie where the class of the character changes, so many texts are cut
+    and their pre-tokens told apart in numpy. All other texts, and all texts where a file has other rules,
+    go through the whole tokenizer.
+    """
+
+    #: Fixed rules of the file that are followed here.
+    RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    STEPS = ["NFC", "Replace", "Lowercase"]
+    CUT = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+    ODD = re.compile("[^\t\n\r -~À-ÿ]")
+
+    #: Classes of lower-case Latin-1 characters: 0 white space, 1 letter, 2 digit, 3 other.
+    CLASS = np.array([0 if chr(c) in "\t\n\r " else 1 if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA) else 2 if 48 <= c <= 57 else 3 for c in range(256)], "u1")
+    #: Characters of the longest pre-token that is told apart in numpy.
+    LONGEST = 512
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        probe = ["a b", "a  b", "a\n b", " a\nb ", "\na <|endoftext|> b"]
-        self.apart = all(self._ids([t])[0] == b"".join(self._ids(t.replace("\n", " ").split(" "))) for t in probe)
-        marks = [(i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-        self.mark_id, self.mark = marks[0] if marks else (None, None)
-        self.memo = Memo(self._many if marks else self._ids)
-
-    def _many(self, words: list[str]) -> list[bytes]:
-        """Ids of many short texts by one call: a special token, which is cut out first, stands between them."""
-        if any(self.mark in w for w in words):
-            return self._ids(words)
-        joined = [self.mark.join(words[i : i + 100]) for i in range(0, len(words), 100)]
-        found = [e.ids for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.array([x for part in found for x in (*part, self.mark_id)], "<u4")
-        at = np.flatnonzero(ids == self.mark_id)
-        if len(at) != len(words):
-            return self._ids(words)
-        raw, ends = ids.tobytes(), (4 * at).tolist()
-        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cut = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": self.RULES} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        self.known_rules = cut and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and steps == self.STEPS
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.letters = str.maketrans({chr(c): "".join(map(self._byte, chr(c).encode())) for c in range(0xC0, 0x100)})
+        self.memo = Memo(self._pretokens, unload=_loaded.clear)
+
+    @staticmethod
+    def _byte(b: int) -> str:
+        """The printable character that stands for a byte in byte-level vocabularies."""
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        return chr(b) if b in own else chr(256 + b - sum(x < b for x in own))
+
+    def _pretokens(self, parts: list[str]) -> list[bytes]:
+        tokenize, letters = self.model.model.tokenize, self.letters
+        return [array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(letters))]).tobytes() for p in parts]
+
+    def plain(self, text: str) -> bool:
+        return self.known_rules and not self.ODD.search(text) and not any(a in text for a in self.added)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pre-tokens of lower-case text without apostrophes."""
+        kind = np.concatenate([[0], self.CLASS[np.frombuffer(raw, "u1")], [0]])
+        change = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts = np.flatnonzero(change & (kind[1:] != 0))
+        ends = np.flatnonzero((change | (kind[:-1] == 2)) & (kind[:-1] != 0))
+        return starts, ends
+
+    @staticmethod
+    def _distinct(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """First place of each distinct pre-token, and for each pre-token its number among them; None if hashes clash."""
+        words = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))  # eight characters from each place on
+        size = ends - starts
+        keep = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], "u8")
+        parts = [words[starts] & keep[np.minimum(size, 8)]]
+        mix = lambda h: ((h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(29))
+        hashed, at, more = mix(parts[0] + size.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)), 8, np.flatnonzero(size > 8)
+        while len(more):
+            part = words[starts[more] + at] & keep[np.minimum(size[more] - at, 8)]
+            if at == 8:
+                parts.append(np.zeros_like(parts[0]))
+                parts[1][more] = part
+            hashed[more] = mix(hashed[more] * np.uint64(0x165667B19E3779F9) + part)
+            at += 8
+            more = more[size[more] > at]
+        order = np.argsort(hashed)
+        new = np.concatenate([[True], hashed[order[1:]] != hashed[order[:-1]]])
+        first, number = order[new], np.empty(len(order), "int64")
+        number[order] = np.cumsum(new) - 1
+        same = all((x[first][number] == x).all() for x in (size, *parts))
+        return (first, number) if same else None
+
+    def _many(self, texts: list[str]) -> list[bytes] | None:
+        """Ids of plain texts without apostrophes, all at once; None where that is not safe."""
+        raw = "\n".join(texts).lower().encode("latin-1")
+        starts, ends = self._cut(raw)
+        if not len(starts):
+            return [b""] * len(texts)
+        found = self._distinct(raw, starts, ends) if (ends - starts).max() <= self.LONGEST else None
+        if found is None:
+            return None
+        first, number = found
+        names = [raw[a:b].decode("latin-1") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        known = self.memo.of([names])
+        values = [known[n] for n in names]
+        ids, sizes = np.frombuffer(b"".join(values), "<u4"), np.array([len(v) // 4 for v in values])
+        begin = (np.cumsum(sizes) - sizes).astype("int32")
+        count = sizes[number].astype("int32")
+        upto = np.cumsum(count, dtype="int32")  # a group's ids are far fewer than 2^31
+        out = ids[np.repeat(begin[number] - upto + count, count) + np.arange(upto[-1], dtype="int32")]
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        ends_of = np.concatenate([[0], upto])[cuts].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *ends_of[:-1]], ends_of, strict=True)]
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for group in groups_by_bytes(texts):
-            if not self.apart:
-                yield from self._ids(group)
-                continue
-            split = [t.replace("\n", " ").split(" ") for t in group]
-            self.memo.fill(p for parts in split for p in parts)
-            for parts in split:
-                yield b"".join(map(self.memo.__getitem__, parts))
+        for group in groups_by_chars(texts):
+            plain = [self.plain(t) for t in group]
+            easy = [t for t, p in zip(group, plain, strict=True) if p and "'" not in t]
+            many = self._many(easy)
+            easy_ids = iter(many or [])
+            split = [self.CUT.findall(t.lower()) if p and (many is None or "'" in t) else None for t, p in zip(group, plain, strict=True)]
+            get = self.memo.of([parts for parts in split if parts]).__getitem__
+            other = iter(self.whole([t for t, p in zip(group, plain, strict=True) if not p]))
+            for t, p, parts in zip(group, plain, split, strict=True):
+                yield next(other) if not p else b"".join(map(get, parts)) if parts is not None else next(easy_ids)
 
 
 def word_ids(path: str) -> WordIds:

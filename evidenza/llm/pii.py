@@ -86,7 +86,7 @@ def word_features(word: str) -> list[str]:
     hexed = n >= 8 and all(c in "0123456789abcdefABCDEF" for c in core) and digits and letters
     parts = core.split(".")
     out = [
-        "bias", f"sh{shape(core)}", f"n{min(n, 24)}", f"d{min(digits, 20)}", f"l{min(letters, 12)}", f"dots{min(core.count('.'), 5)}", f"dash{min(core.count('-'), 4)}",
+        "bias", f"sh{shape(core)}", f"n{min(n, 24)}", f"d{min(digits, 20)}", f"l{min(letters, 12)}", f"dots{min(core.count('.'), 5)}", f"hyphen{min(core.count('-'), 4)}",
         f"dd{min(digits, 20)}_{min(n, 24)}", f"plus{w[:1] == '+'}", f"par{w[:1] == '('}{w[-1:] == ')'}", f"at{'@' in core}", f"eq{'=' in core}", f"hex{bool(hexed)}_{n >= 16}",
         f"mix{bool(digits and letters)}_{n >= 16}", f"quad{len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts)}", f"first{core[:1]}" if not letters else f"up{core[:4].isupper()}_{n >= 16}",
     ]
@@ -130,8 +130,8 @@ class Detector:
         if not where:
             return found
         triples = [self.context([texts[i][a:b] for a, b in w]) for i, w in where]
-        self.memo.fill(t for window in triples for t in window)
-        emit = np.frombuffer(b"".join(self.memo[t] for window in triples for t in window)).reshape(-1, len(self.LABELS))
+        get = self.memo.of(triples).__getitem__
+        emit = np.frombuffer(b"".join(b"".join(map(get, window)) for window in triples)).reshape(-1, len(self.LABELS))
         sizes = np.array([len(w) for _, w in where])
         best, at = self.crf.viterbi(emit, sizes), 0
         for (i, w), n in zip(where, sizes.tolist(), strict=True):

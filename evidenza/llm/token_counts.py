@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_batches, table, text_or_empty
-from .memo import Memo, groups_by_bytes
+from .memo import Memo, groups_by_chars
 
 SPACE = "▁"
 #: Characters of a long text that are taken to parts at once.
@@ -40,7 +40,7 @@ class PieceLengths:
         plain = all(self.model.encode(x, out_type=str) == y for x, y in (("a  b", ["▁a", "▁", "▁b"]), (" a", ["▁", "▁a"]), ("a ", ["▁a", "▁"]), ("½", ["▁", "½"])))
         self.safe = plain and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.lines = self.safe and not any("\n" in p for p in pieces)
-        self.memo = Memo(self._lengths)
+        self.memo = Memo(self._lengths, unload=_loaded.clear)
 
     def _lengths(self, parts: list[str]) -> list[int]:
         """A part that begins with a line feed stands inside a word: the space put in front does not count."""
@@ -81,10 +81,9 @@ class PieceLengths:
         if not self.safe:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         out = []
-        for group in groups_by_bytes(texts):
+        for group in groups_by_chars(texts):
             split = [self.split(t) for t in group]
-            self.memo.fill(p for parts in split if parts for p in parts)
-            get = self.memo.__getitem__
+            get = self.memo.of([p for p in split if p]).__getitem__
             out += [0 if not t else sum(map(get, parts)) if parts is not None else self.whole(t) for t, parts in zip(group, split, strict=True)]
         return out
 
@@ -112,7 +111,7 @@ class BatchLengths:
         self.model.no_padding()
 
     def count(self, texts: list[str]) -> list[int]:
-        return [len(e) for group in groups_by_bytes(texts) for e in self.model.encode_batch(group, add_special_tokens=False)]
+        return [len(e) for group in groups_by_chars(texts) for e in self.model.encode_batch(group, add_special_tokens=False)]
 
 
 def counter(path: str):
