@@ -10,12 +10,25 @@ import ctypes
 import gc
 
 LIBC = ctypes.CDLL(None)
-#: Entries of a generation; the last one is kept beside the one that fills: some 80 MB in all with keys and values.
-MEMO_ENTRIES = 120_000
+if hasattr(LIBC, "mallopt"):
+    # Large arrays are mapped on their own and go back to the system at once: -3 is M_MMAP_THRESHOLD, -8 M_ARENA_MAX.
+    LIBC.mallopt(-3, 2 << 20)
+    LIBC.mallopt(-8, 2)
+#: Entries of a generation; the last one is kept beside the one that fills: some 70 MB in all with keys and values.
+MEMO_ENTRIES = 100_000
 #: Characters that one call of a tokenizer gets, and of texts that are handled together.
 BATCH_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
 
 
+def settle() -> None:
+    """Give memory that is free back to the system, that of Arrow's pool too."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 class Memo:
     """word -> value; `compute` gives the values of many words in one call."""
 
@@ -25,6 +38,7 @@ class Memo:
         self.kept: dict = {}
         self.last: dict = {}
         self.compute, self.entries, self.unload = compute, entries, unload
+        self.calls = 0
 
     def clear(self) -> None:
         self.kept.clear()
@@ -39,14 +53,16 @@ class Memo:
                 cls.in_use.unload()
             cls.in_use = None
             gc.collect()
-            if hasattr(LIBC, "malloc_trim"):
-                LIBC.malloc_trim(0)
+            settle()
 
     def of(self, lists) -> dict:
         """The values of all words in the lists; unknown ones are computed in batches balanced by size."""
         if Memo.in_use is not self:
             Memo.drop()
             Memo.in_use = self
+        self.calls += 1
+        if self.calls % 16 == 0:
+            settle()
         needed = list(set().union(*lists)) if len(lists) != 1 else lists[0]
         found = dict(zip(needed, map(self.kept.get, needed), strict=True))
         new = [w for w, value in found.items() if value is None]
