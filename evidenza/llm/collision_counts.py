@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, table
+from .common import Scratch, once, table
 from .components import components
 from .vectors import stacked, taking_part
 
@@ -195,7 +195,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
         return out
 
     key = F.xxhash64("label", F.size("vector"), "tab", "cell")
-    posted = distinct.select("rep", "label", "vector", F.posexplode(cells_of("vector")).alias("tab", "cell")).select("rep", "tab", key.alias("key"))
+    posted = distinct.select("rep", "label", "vector", once(cells_of)("vector").alias("cells")).select("rep", "label", "vector", F.posexplode("cells").alias("tab", "cell")).select("rep", "tab", key.alias("key"))
     posted = scratch.save(posted)
     shared = posted.groupBy("key", "tab").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -64,5 +64,10 @@ class Scratch:
         self._delete(df._evidenza_path)
 
 
+def once(udf):
+    """Evaluate a costly function once for each row: the optimizer copies only deterministic ones into filters."""
+    return udf.asNondeterministic()
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, table, text_or_empty
+from .common import arrow_batches, once, table, text_or_empty
 from .crf import ChainCRF
 from .memo import Memo, groups_by_chars
 
@@ -173,7 +173,7 @@ def identify(df: DataFrame, model: Identifier, text_col: str = "text") -> DataFr
         for texts in batches:
             yield pd.DataFrame([x[:2] for x in _loaded[name].predict(texts.tolist())], columns=["lang_pred", "score"])
 
-    out = df.withColumn("_language", run(text_or_empty(text_col)))
+    out = df.withColumn("_language", once(run)(text_or_empty(text_col)))
     return out.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, table, text_or_empty
+from .common import arrow_batches, once, table, text_or_empty
 from .license_templates import TEMPLATES
 
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -186,7 +186,7 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict | None = None, p
             yield found.astype({"first_word": "Int64", "last_word": "Int64"})
 
     spans = F.arrays_zip(F.col("_scan.span_label").alias("label"), F.col("_scan.span_first").alias("first_word"), F.col("_scan.span_last").alias("last_word"), F.col("_scan.span_coverage").alias("coverage"))
-    out = df.withColumn("_scan", run(text_or_empty(text_col)))
+    out = df.withColumn("_scan", once(run)(text_or_empty(text_col)))
     return out.withColumns({**{n: F.col(f"_scan.{n}") for n in names[:5]}, "spans": spans}).drop("_scan")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, arrow_batches, table, text_or_empty
+from .common import Scratch, arrow_batches, once, table, text_or_empty
 from .components import components
 from .memo import Memo
 
@@ -238,7 +238,7 @@ class NgramJoin:
                     rows.append((len(keys), *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())), keys[: prefix_size(len(keys), percent)].tobytes() if len(keys) else b"", *bitmap(keys).tolist()))
                 yield pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", *BITS])
 
-        found = self.docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+        found = self.docs.select("doc_id", once(run)("text").alias("s")).select("doc_id", "s.*")
         return found.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
 
     def postings(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ class NgramJoin:
                 yield pd.Series([np.frombuffer(x, "<i8") for x in found], dtype=object)
 
         leaders = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2", "gid")
-        posted = docs.select("doc_id", "s1", "s2", "n", "prefix").join(leaders, ["doc_id", "s1", "s2"]).select("gid", F.col("n").cast("int").alias("n"), F.explode(tokens("prefix")).alias("token"))
+        posted = docs.select("doc_id", "s1", "s2", "n", "prefix").join(leaders, ["doc_id", "s1", "s2"]).select("gid", F.col("n").cast("int").alias("n"), once(tokens)("prefix").alias("tokens")).select("gid", "n", F.explode("tokens").alias("token"))
         like = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(self.percent / 100))).cast("int")
         order = Window.partitionBy("token").orderBy(like, F.xxhash64("gid", "token"))
         around = posted.withColumns({"before": F.lag("gid").over(order), "n_before": F.lag("n").over(order), "after": F.lead("gid").over(order)})

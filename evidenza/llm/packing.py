@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, arrow_batches, table, text_or_empty
+from .common import Scratch, arrow_batches, once, table, text_or_empty
 from .memo import Memo, groups_by_chars
 
 CAPACITY, END_ID = 4096, 1
@@ -180,6 +180,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             whole = [ids + end for ids in encode(texts.tolist())]
             yield pd.Series([[ids[i : i + step] for i in range(0, len(ids), step)] for ids in whole], dtype=object)
 
+    cut = once(cut)
     taken = {"piece", "start", "length", "ids", text_col}
     kept = [c for c in docs.columns if c not in taken]
     cuts = docs.select(*kept, cut(text_or_empty(text_col)).alias("cuts"))
@@ -349,6 +350,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
         past = rank.to_numpy("int64") - first[at]
         return pd.DataFrame({"sequence_id": sequence[at] + past // per[at], "offset": offset[at] + past % per[at] * length.to_numpy("int64")})
 
+    place = once(place)
     buckets = max(1, -(-max(counts.values(), default=1) // BUCKET_ROWS)) * 8
     order = [c for c in order if c in pieces.columns]
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, table, text_or_empty
+from .common import arrow_batches, once, table, text_or_empty
 from .crf import ChainCRF
 from .memo import Memo
 
@@ -267,7 +267,7 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"])
 
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"]
-    out = df.withColumn("_pii", run(text_or_empty(text_col)))
+    out = df.withColumn("_pii", once(run)(text_or_empty(text_col)))
     return out.withColumns({n: F.col(f"_pii.{n}") for n in names}).drop("_pii")
 
 
@@ -290,7 +290,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
             given = texts.tolist()
             yield pd.Series([mask(t, spans) if spans else t for t, (_, spans) in zip(given, all_spans(given), strict=True)], dtype=object)
 
-    masked = run(text_or_empty(text_col))
+    masked = once(run)(text_or_empty(text_col))
     return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), masked))
 
 
