@@ -10,8 +10,9 @@ sets of similarity t share one of their first |x| - ceil(t|x|) + 1 elements, the
 2. In each posting list, groups of like size are chained in a random order: neighbours are candidates.
    A hot cluster of k members gives k candidates to a list, not k squared, and still becomes connected.
 3. Candidates pass if their bitmaps and prefixes still allow the similarity, and their whole sets reach it.
-4. Then come all pairs of groups of different components within a list, filtered by size, bitmaps and prefixes;
-   what passes expands to its members of different components, which are verified. No pair of
+4. Then come all pairs of groups of different components within a list, filtered by what all members of a group
+   share: size, prefix and the bits that are alike in all their bitmaps. What passes expands to its members of
+   different components, which are filtered by their own bitmaps and verified. No similar pair of
    different components is left out, so the components are exact; pairs within one need no look.
 
 Sets stand in no shuffle but those of candidates, made again from the text of these documents alone.
@@ -40,6 +41,8 @@ from .memo import Memo
 SKETCH_BITS, SLICES = 21, 1024
 BITMAP_WORDS = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
+#: Of a group the bits that all its members agree on.
+ALIKE = [f"m{i}" for i in range(BITMAP_WORDS)]
 #: Bytes of text that are hashed at once.
 PART = 1 << 20
 #: A-Z to a-z, what parts words to spaces.
@@ -259,13 +262,22 @@ class NgramJoin:
     def _sizes(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
-    def _bits(self, a: str, b: str, na: str, nb: str):
-        """Bits that differ are at most the elements that differ, of which a similar pair has (100 - p) / (100 + p) of both sizes."""
-        differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITS[1:]), F.bit_count(F.col(f"{a}{BITS[0]}").bitwiseXOR(F.col(f"{b}{BITS[0]}"))))
+    def _bits(self, a: str, b: str, na: str, nb: str, groups: bool = False):
+        """Bits that differ are at most the elements that differ, of which a similar pair has (100 - p) / (100 + p) of both sizes.
+
+        Of groups only the bits count that are alike in all members of both.
+        """
+        differ = [F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}")) for x in BITS]
+        if groups:
+            differ = [d.bitwiseAND(F.col(f"{a}{m}")).bitwiseAND(F.col(f"{b}{m}")) for d, m in zip(differ, ALIKE, strict=True)]
+        differ = sum(map(F.bit_count, differ[1:]), F.bit_count(differ[0]))
         return differ * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
 
-    def prefix_filter(self, pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b) of group leaders whose prefixes allow the similarity."""
+    def prefix_filter(self, pairs: DataFrame, docs: DataFrame, sets: DataFrame, leaders_only: bool = False) -> DataFrame:
+        """Pairs (a, b) of groups, by their leaders, whose prefixes allow the similarity.
+
+        Where only the leaders themselves are candidates, their bitmaps have to allow it too; other members have other ones.
+        """
         percent = self.percent
 
         @F.pandas_udf("boolean")
@@ -278,7 +290,8 @@ class NgramJoin:
         side = docs.select("doc_id", "s1", "s2", "n", "prefix", *BITS).join(leaders, ["doc_id", "s1", "s2"])
         left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), *(F.col(x).alias(f"x_{x}") for x in BITS))
         right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
-        near = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & self._bits("x_", "y_", "na", "nb")).drop(right["b"])
+        met = pairs["b"] == right["b"]
+        near = pairs.join(left, "a").join(right, met & self._bits("x_", "y_", "na", "nb") if leaders_only else met).drop(right["b"])
         return near.filter(allow("pa", "na", "pb", "nb")).select("a", "b")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,9 +332,9 @@ class NgramJoin:
         save = self.scratch.save
         docs = save(self.documents())
         full = docs.filter("n > 0 and doc_id is not null")
-        reps = full.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("rep"))
+        reps = full.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("rep"), *(F.min(x).alias(x) for x in BITS))
         groups = reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
-        sets = save(reps.join(groups, ["n", "p1", "p2"]).select("rep", "s1", "s2", "n", "gid"))
+        sets = save(reps.join(groups, ["n", "p1", "p2"]).select("rep", "s1", "s2", "n", "gid", *BITS))
         posted = save(self.postings(full, sets))
 
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -329,22 +342,23 @@ class NgramJoin:
         within = Window.partitionBy("gid").orderBy(F.xxhash64("rep"))
         inside = sets.filter("rep <> gid").select("gid", "rep").union(sets.filter("rep = gid").select("gid", "rep")).distinct()
         inside = inside.withColumn("before", F.lag("rep").over(within)).filter("before is not null").select(*pair("rep", "before"))
-        links = save(self.verify(self.prefix_filter(chained, full, sets).union(inside), sets))
+        links = save(self.verify(self.prefix_filter(chained, full, sets, True).union(inside), sets))
         parts = save(components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch))
 
-        member = save(sets.select("rep", "gid").join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", F.coalesce("component", "rep").alias("part")))
-        span = member.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        bits = full.join(sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("gid"), *BITS)
-        lists = save(posted.select("token", "gid", "n").distinct().join(span, "gid").join(bits, "gid"))
+        member = save(sets.select("rep", "gid", "n", *BITS).join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", "n", *BITS, F.coalesce("component", "rep").alias("part")))
+        alike = [F.bitwise_not(F.bit_and(x).bitwiseXOR(F.bit_or(x))).alias(m) for x, m in zip(BITS, ALIKE, strict=True)]
+        span = member.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), *(F.bit_and(x).alias(x) for x in BITS), *alike)
+        lists = save(posted.select("token", "gid", "n").distinct().join(span, "gid"))
         x, y = lists.alias("x"), lists.alias("y")
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n"))
+        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n", True))
         across = save(across.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct())
         alone = span.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         open_pairs = self.prefix_filter(across, full, sets).union(alone)
-        left = member.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("part").alias("part_a"))
-        right = member.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("part").alias("part_b"))
-        expanded = open_pairs.join(left, "a").join(right, "b").filter("part_a <> part_b").select(*pair("ra", "rb")).distinct()
+        left = member.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("part").alias("part_a"), *(F.col(x).alias(f"x_{x}") for x in BITS))
+        right = member.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("part").alias("part_b"), *(F.col(x).alias(f"y_{x}") for x in BITS))
+        near = (left["part_a"] != right["part_b"]) & self._bits("x_", "y_", "na", "nb")
+        expanded = open_pairs.join(left, "a").join(right, (open_pairs["b"] == right["b"]) & near).select(*pair("ra", "rb")).distinct()
         more = save(self.verify(expanded, sets))
         both = links.union(more).select(F.col("b").alias("u"), F.col("a").alias("v"))
         parts = save(components(both, self.scratch))

@@ -79,6 +79,25 @@ def test_ngram_join_of_clusters_and_odd_rows(spark):
     assert ngram_join.ngram_join(frame.limit(0), 4, 85, 12).count() == 0
 
 
+def test_ngram_join_of_groups_whose_leader_is_far(spark):
+    """Chains a1, a2, b: where a1 and a2 have one prefix, b is near a2 alone, which does not lead the group."""
+    r = random.Random(8)
+    fresh = lambda: f"z{r.randint(0, 10**9)}"
+    texts = {}
+
+    def edited(words, places):
+        return [fresh() if i in places else w for i, w in enumerate(words)]
+
+    for i in range(0, 240, 3):
+        a1 = [fresh() for _ in range(203)]
+        a2 = edited(a1, {100})
+        texts |= {i + k: " ".join(w) for k, w in enumerate((a1, a2, edited(a2, {20, 60, 140, 180})))}
+    texts |= {i: " ".join(fresh() for _ in range(4000)) for i in range(300, 330)}  # these fill the sketch: the order is by hash
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = ngram_join.ngram_join(frame, 4, 85, 10).toPandas().set_index("doc_id")
+    assert found.component_id.to_dict() == parts(texts, near(word_sets(texts, 4), 85))
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = ["a b  c", "", "c\tB\x0ba", "é日 x"]
     alone = [np.concatenate(list(ngram_join.word_hashes([t]))) for t in texts]
