@@ -153,6 +153,26 @@ def test_permutation_index(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+@pytest.mark.parametrize("hot", [0, 2730, 5734])
+def test_permutation_index_on_a_full_block(spark, hot):
+    """8192 rows, where the least number of candidates has no part; some are noisy copies of one vector."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(permutation_index.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:hot] = x[0] + 0.05 * r.normal(size=(hot, 64))
+    x, ids = x[r.permutation(len(x))], np.arange(len(x))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = permutation_index.nearest_neighbours(frame, frame.filter("vec_id % 40 = 0")).toPandas()
+    hits, queries = 0, ids[ids % 40 == 0]
+    for q, own in found.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(own.vec_id) & set(np.lexsort((ids, -score))[:20].tolist()))
+    recall = hits / (20 * len(queries))
+    print(f"recall of {hot} hot rows: {recall:.3f}")
+    assert recall >= 0.9
+
+
 def test_permutation_index_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [5.0, 1.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [0.0, -2.0]), (40, None), (2, [1.0, 0.0])]
