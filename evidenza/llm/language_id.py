@@ -1,6 +1,7 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Each word has a label. Affixes, character n-grams and lexicon membership score it; learned
+Each word has a label; words of more than SEEN bytes, such as the runs of scripts without spaces, are cut
+at characters into pieces of at most so many, each with a label of its own. Affixes, character n-grams and lexicon membership score it; learned
 transitions, trained on sequences that switch between texts of several languages, carry the context;
 forward-backward gives each word's probabilities. A text's language is the one with the largest
 mean probability over its words, which is also the score.
@@ -35,12 +36,27 @@ LETTER = re.compile(r"[^\W\d_]")
 PART = bytes(i + 32 if 0x41 <= i <= 0x5A else i if i >= 0x80 or 0x61 <= i <= 0x7A else 32 for i in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(PART).split()
+#: Most bytes of a word, all of which its features see.
+SEEN = 24
 
 
-#: Bytes of a word that its features see: of a longer one the first and the last half of these.
-SEEN = 24
+def pieces(word: bytes) -> list[bytes]:
+    """The word in pieces of at most SEEN bytes, none of which ends within a character."""
+    out, at = [], 0
+    while len(word) - at > SEEN:
+        end = at + SEEN
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
+def words_of(text: str) -> list[bytes]:
+    words = text.lower().encode("utf-8", "surrogatepass").translate(PART).split()
+    if words and len(max(words, key=len)) > SEEN:
+        words = [p for w in words for p in pieces(w)]
+    return words
 
 
 class Features:
@@ -51,7 +67,7 @@ class Features:
         self.languages = sorted(set(lexicon.values()))
 
     def rows(self, words: list[bytes], rows: int) -> tuple[np.ndarray, np.ndarray]:
-        seen = [b"<" + (w if len(w) <= SEEN else w[: SEEN // 2] + w[-SEEN // 2 :]) + b">" for w in words]
+        seen = [b"<" + w + b">" for w in words]
         n, width = len(words), SEEN + 2
         text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in seen), "u1").reshape(n, width).astype("u8")
         size = np.array([len(w) for w in seen], "int64")

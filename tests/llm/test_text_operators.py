@@ -226,6 +226,21 @@ def test_languages_of_odd_rows(spark, odd, empty):
     assert language_id.training_rows(spark.createDataFrame([(1, "x", None), (2, None, "en"), (3, "y", "fr")], "doc_id long, text string, lang string")) == [("y", "fr")]
 
 
+def test_languages_of_text_without_spaces():
+    r = random.Random(9)
+    one, two = "天地玄黄宇宙洪荒日月盈昃辰宿列張", "あいうえおかきくけこさしすせそた"
+    run = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    model = language_id.Identifier.train([(run(x, 60), lang) for x, lang in ((one, "zh"), (two, "ja")) for _ in range(40)])
+    middle = run(one, 10) + run(two, 200) + run(one, 10)
+    found = list(model.predict([middle, f"{run(one, 8)} {run(one, 8)} {run(two, 400)}"]))
+    assert [x[0] for x in found] == ["ja", "ja"] and all(x[1] > 0.8 for x in found)
+    for word in (middle, "x" * 24, "x" * 25, "aé" * 40, "\ud800" * 30, ""):
+        raw = word.encode("utf-8", "surrogatepass")
+        cut = language_id.pieces(raw)
+        assert b"".join(cut) == raw and all(len(p) <= language_id.SEEN for p in cut)
+        assert "".join(p.decode("utf-8", "surrogatepass") for p in cut) == word
+
+
 def plain_spans(text):
     out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
