@@ -2,9 +2,10 @@
 
 The fixed patterns (e-mail, IP address, card, phone) are found in linear time over the whole text.
 The random field is trained from a small labelled table (`labelled_sentences`) and decoded by Viterbi
-in numpy batches. Only words with a digit or an at sign can begin or carry what it knows, so it reads
-stretches of such words with REACH words of context on either side; all others are outside by
-construction. What it adds never overlaps a fixed match.
+in numpy batches. Only words with a digit, an at or equals sign, the prefix of a key, or LONG characters can
+begin or carry what it knows, so it reads stretches of such words with REACH words of context on either
+side; all others are outside by construction. Secrets need no digit, all other kinds need one or an at
+sign. What it adds never overlaps a fixed match.
 
 Defined cases: null text counts as empty and has no spans; an empty table gives an empty result;
 repeated rows give repeated rows; at equal starts spans are ordered by kind as listed in KINDS;
@@ -25,7 +26,7 @@ from .crf import ChainCRF
 from .memo import Memo
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-REACH = 3
+REACH, LONG = 3, 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +34,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CLUE = re.compile(r"[0-9@]")
+#: What the random field looks at: also secrets without a digit.
+HINT = re.compile(rf"[0-9@=]|\S{{{LONG}}}|AKIA|ghp_|sk-|xox[a-z]-")
 WORD = re.compile(r"\S+")
 
 Span = tuple[int, int, str]
@@ -92,6 +95,11 @@ def word_features(word: str) -> list[str]:
     ]
     if digits == 0 and len(w) <= 10:
         out.append(f"w{w.lower().strip(':=')}")
+    if "=" in core:
+        out.append(f"key{core.partition('=')[0].lower()}")
+    if digits == 0 and n >= 12:
+        turns = sum(a.islower() and b.isupper() for a, b in zip(core, core[1:]))
+        out += [f"pre{core[:4]}", f"turns{min(turns, 4)}"]
     return [mark + f for f in out]
 
 
@@ -110,12 +118,12 @@ class Detector:
         return list(zip(["", *words[:-1]], words, [*words[1:], ""], strict=True))
 
     def windows(self, text: str) -> list[list[tuple[int, int]]]:
-        """Stretches of words near words with a clue."""
+        """Stretches of words near words with a hint."""
         words = [m.span() for m in WORD.finditer(text)]
         out: list[list[tuple[int, int]]] = []
         done = 0
         for i, (a, b) in enumerate(words):
-            if CLUE.search(text, a, b):
+            if HINT.search(text, a, b):
                 start = max(done, i - REACH)
                 if out and start == done and i - done <= REACH:
                     out[-1] += words[done : i + REACH + 1]
@@ -126,7 +134,7 @@ class Detector:
 
     def spans(self, texts: list[str]) -> list[list[Span]]:
         found: list[list[Span]] = [[] for _ in texts]
-        where = [(i, w) for i, t in enumerate(texts) if CLUE.search(t) for w in self.windows(t)]
+        where = [(i, w) for i, t in enumerate(texts) if HINT.search(t) for w in self.windows(t)]
         if not where:
             return found
         triples = [self.context([texts[i][a:b] for a, b in w]) for i, w in where]
@@ -158,7 +166,8 @@ class Detector:
                 b -= 1
             if kind == "secret" and "=" in text[a:b] and text[a:b].index("=") < b - a - 1:
                 a += text[a:b].index("=") + 1
-            if a < b and any(c.isdigit() or c == "@" for c in text[a:b]):
+            bare = kind == "secret" and text[b - 1] != "=" and any(c.isalpha() for c in text[a:b])
+            if a < b and (bare or any(c.isdigit() or c == "@" for c in text[a:b])):
                 trimmed.append((a, b, kind))
         return trimmed
 
@@ -223,6 +232,36 @@ def labelled_sentences(rows: int = 900, seed: int = 11) -> list[tuple[list[str],
             words.append(plain())
             labels.append("O")
         out.append((words, labels))
+    return out + undigited_sentences()
+
+
+def undigited_sentences(rows: int = 400, seed: int = 12) -> list[tuple[list[str], list[str]]]:
+    """More of the table: secrets without digits, and long or assigned words that are none."""
+    r = np.random.default_rng(seed)
+    pick = lambda options: options[int(r.integers(len(options)))]
+    code = lambda a, b, chars: "".join(pick(chars) for _ in range(int(r.integers(a, b))))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    both = lower + lower.upper()
+    plain = lambda: pick([code(1, 12, lower), code(1, 9, lower).capitalize(), code(4, 5, lower) + ",", code(6, 7, lower) + "."])
+    name = lambda: code(2, 9, lower)
+
+    def secret():
+        return pick([lambda: "AKIA" + code(16, 17, lower.upper()), lambda: pick(["password=", "secret=", "api_key=", "passwd="]) + code(8, 32, pick([lower, both])), lambda: pick(["ghp_", "sk-", "xoxb-"]) + code(24, 40, both)])()
+
+    def none():
+        return pick([
+            lambda: f"{pick(['class', 'lang', 'name', 'type', 'id', 'x', 'mode', name()])}={code(1, 20, lower)}", lambda: code(12, 36, lower) + pick(["", ",", "."]), lambda: code(12, 30, lower).capitalize() + pick(["", ",", "."]), *[lambda: code(12, 28, lower.upper()), lambda: code(20, 21, lower.upper())] * 2, lambda: "-".join(name() for _ in range(int(r.integers(2, 5)))),
+            lambda: "_".join(name() for _ in range(int(r.integers(2, 5)))), lambda: name() + "".join(name().capitalize() for _ in range(int(r.integers(1, 4)))), lambda: f"https://www.{name()}.org/" + "/".join(name() for _ in range(int(r.integers(0, 3)))), lambda: "/".join(name() for _ in range(int(r.integers(3, 6)))), lambda: "=", lambda: pick("=-_*.#") * int(r.integers(12, 30)), lambda: pick(["password", "secret", "token", "key"]),
+        ])()
+
+    out = []
+    for _ in range(rows):
+        words, labels = [], []
+        for _ in range(int(r.integers(1, 4))):
+            before, hidden = [plain() for _ in range(int(r.integers(0, 4)))], r.random() < 0.35
+            words += [*before, secret() + pick(["", "", ".", ","]) if hidden else none()]
+            labels += ["O"] * len(before) + ["B-secret" if hidden else "O"]
+        out.append((words, labels))
     return out
 
 
