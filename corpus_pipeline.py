@@ -34,12 +34,17 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id. Rows without doc_id stay."""
+    """One document of each group of near copies: the one of the smallest doc_id. Rows without doc_id stay.
+
+    Different texts that share a doc_id are documents of their own, told apart by a hash of both.
+    """
     arrow_batches(spark)
-    found = ngram_join(docs.select("doc_id", "text"), 5, 80)
-    first = found.filter("doc_id = component_id").select("doc_id")
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null")).select(docs.columns)
+    keyed = docs.filter("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = keyed.select("_row", "doc_id").distinct()
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    named = keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    return named.union(docs.filter("doc_id is null").select(docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,6 +254,20 @@ def test_the_count_is_calibrated():
     assert (lines.cells(pa) == lines.cells(pb)).any(1).mean() > 0.999
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark, data):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    r = random.Random(11)
+    text = lambda: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(60))
+    rows = []
+    for i in range(0, 80, 2):  # i and i + 1 share a text; i + 1 has one of its own as well, twice
+        shared, own = text(), text()
+        rows += [(i, shared), (i + 1, shared), (i + 1, own), (i + 1, own), (None, own)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = sorted((r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, frame, data).filter("doc_id is not null").collect())
+    assert kept == sorted({(i, t) for i, t in rows if i is not None} - {(i, t) for i, t in rows if i is not None and (i - 1, t) in rows})
+
+
 def test_pipeline(spark, data):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{data}/documents.parquet")
