@@ -163,7 +163,7 @@ def prefixes_allow(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int)
 
 
 def _slots(partials: DataFrame, bits: int) -> np.ndarray:
-    """Sum of partial counts, dealt by slice and added as they stream; the sum has a fixed size."""
+    """Sum of partial counts, dealt by slice and added as they stream; the sum has a fixed size (4 bytes a counter) and comes in one job."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -174,7 +174,7 @@ def _slots(partials: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     out = np.zeros((SLICES, (1 << bits) // SLICES), "u4")
-    for row in partials.repartition("slice").mapInArrow(add, "slice int, counts binary").toLocalIterator():
+    for row in partials.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
         out[row["slice"]] = np.frombuffer(row["counts"], "u4")
     return out.ravel()
 
