@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, once, table
-from .components import components
+from .components import components, roots
 from .vectors import stacked, taking_part
 
 #: Chance to overlook a pair at the least cosine: in all tables, and by the count.
@@ -118,23 +118,6 @@ def _pairs(key: np.ndarray, side: np.ndarray):
             yield i[keep], j[keep]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least position of each part."""
-    root = np.arange(n)
-    while len(a):
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], least)
-        np.minimum.at(root, root[b], least)
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        root = root[root]
-        on = root[a] != root[b]
-        a, b = a[on], b[on]
-    while (root != root[root]).any():
-        root = root[root]
-    return root
-
-
 def _bin(lines: Lines):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["work", "rep"], kind="stable").reset_index(drop=True)
@@ -164,7 +147,7 @@ def _bin(lines: Lines):
         _, one = np.unique(ids, return_index=True)
         place = one[np.searchsorted(ids[one], ids)]
         a, b = place[np.concatenate(left)], place[np.concatenate(right)]
-        root = _roots(len(ids), np.minimum(a, b), np.maximum(a, b))
+        root = roots(len(ids), np.minimum(a, b), np.maximum(a, b))
         least = ids.copy()
         np.minimum.at(least, root[place], ids)
         some = links > 0

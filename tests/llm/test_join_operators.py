@@ -123,13 +123,15 @@ def test_filters_never_lose_a_similar_pair():
             assert bits * 185 <= (len(a) + len(b)) * 15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_components(spark, block):
+    """In one block, and in many with rounds of stars between them."""
     r = random.Random(3)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5300)] + [(7, 7)]
-    found = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
+    found = components(spark.createDataFrame([*edges, (None, 4), (4, None)], "u long, v long"), Scratch(spark, "test"), block).collect()
     ids = {x for e in edges for x in e}
     assert {r["node"]: r["component"] for r in found} == {i: c for i, c in parts(ids, edges).items() if i != c}
-    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), block).count() == 0
 
 
 def vectors_of(spark, data):
