@@ -4,17 +4,21 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Sets are
 the whole corpus: by the size class of a count sketch over all documents, rare first, then by hash. Two
 sets of similarity t share one of their first |x| - ceil(t|x|) + 1 elements, the prefix. The steps:
 
-1. Equal sets become one; sets of equal prefix and size become one group. Each group posts its prefix.
+1. Equal sets become one; sets of equal prefix and size become one group, whose leader posts its prefix.
    Each set also has a bitmap of the parities of its hashed elements: two of these never differ in more
    bits than the sets in elements, so it rules out pairs inside a join, with no row made for them.
 2. In each posting list, groups of like size are chained in a random order: neighbours are candidates.
    A hot cluster of k members gives k candidates to a list, not k squared, and still becomes connected.
+   Lists that the sketch shows to be long are cut into several chains. Members are candidates with their leader.
 3. Candidates pass if their bitmaps and prefixes still allow the similarity, and their whole sets reach it.
-4. Then come all pairs of groups of different components within a list, filtered by what all members of a group
-   share: size, prefix and the bits that are alike in all their bitmaps. What passes expands to its members of
-   different components, which are filtered by their own bitmaps and verified. No similar pair of
-   different components is left out, so the components are exact; pairs within one need no look.
-
+4. Lists whose groups are all of one component are settled. In the others each group outside the list's largest
+   component meets all groups of other components, filtered by what all members of a group share: size, prefix
+   and the bits that are alike in all their bitmaps. What passes expands to its members of different
+   components, which are filtered by their own bitmaps and verified. No similar pair of different components
+   is left out, so the components are exact; pairs within one need no look.
+
+Sets are compared as 58 bits of 64-bit hashes: two different sets take a shingle of each other's for their own
+with a chance of about |x||y| / 2^58, some 1e-12 for sets of 500.
 Sets stand in no shuffle but those of candidates, made again from the text of these documents alone.
 All sizes on the driver or in a broadcast are fixed: the sketch has 2^SKETCH_BITS counters.
 
@@ -39,6 +43,8 @@ from .components import components
 from .memo import Memo
 
 SKETCH_BITS, SLICES = 21, 1024
+#: Binary logarithm of the groups of a chain, or 4 over that of the mean counter where this is more.
+CHAIN = 16
 BITMAP_WORDS = 8
 BITS = [f"b{i}" for i in range(BITMAP_WORDS)]
 #: Of a group the bits that all its members agree on.
@@ -222,11 +228,12 @@ def _sets(texts: list[str], n: int, levels: np.ndarray) -> Iterator[np.ndarray]:
 class NgramJoin:
     """One run over `docs` (doc_id, text) for shingles of n words and a similarity of `percent` or more."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS):
+    def __init__(self, docs: DataFrame, n: int, percent: int, bits: int = SKETCH_BITS, chain: int = CHAIN):
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.docs = docs.select("doc_id", text_or_empty("text").alias("text"))
         self.scratch = Scratch(self.spark, "ngrams")
-        self.levels = self.spark.sparkContext.broadcast(size_classes(self.docs, n, bits))  # 2^bits bytes
+        levels = size_classes(self.docs, n, bits)  # 2^bits bytes
+        self.levels, self.chain = self.spark.sparkContext.broadcast(levels), max(chain, int(levels.mean()) + 4)
 
     def documents(self) -> DataFrame:
         """doc_id, size and digest of the set, digests and keys of its prefix; an empty set has size 0."""
@@ -244,20 +251,30 @@ class NgramJoin:
         found = self.docs.select("doc_id", once(run)("text").alias("s")).select("doc_id", "s.*")
         return found.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
 
-    def postings(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(token, gid, n, class) of the groups' prefixes where a token has two groups at least, with the group before in random order."""
+    def leaders(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(gid, n, prefix, bitmap) of each group's leader."""
+        own = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2")
+        found = docs.select("doc_id", "s1", "s2", "n", "prefix", *BITS).join(own, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+        return found.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), "prefix", *BITS)
+
+    def postings(self, lead: DataFrame) -> DataFrame:
+        """(token, gid, n, before, n_before) of the groups' prefixes where a token may have two groups, with the group before in random order.
+
+        A token's key holds the size class of its counter; lists of far more than 2^chain groups are cut into chains of about so many.
+        """
 
         @F.pandas_udf("array<long>")
         def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for found in batches:
                 yield pd.Series([np.frombuffer(x, "<i8") for x in found], dtype=object)
 
-        leaders = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2", "gid")
-        posted = docs.select("doc_id", "s1", "s2", "n", "prefix").join(leaders, ["doc_id", "s1", "s2"]).select("gid", F.col("n").cast("int").alias("n"), once(tokens)("prefix").alias("tokens")).select("gid", "n", F.explode("tokens").alias("token"))
+        posted = lead.select("gid", "n", once(tokens)("prefix").alias("tokens")).select("gid", "n", F.explode("tokens").alias("token"))
         like = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(self.percent / 100))).cast("int")
-        order = Window.partitionBy("token").orderBy(like, F.xxhash64("gid", "token"))
-        around = posted.withColumns({"before": F.lag("gid").over(order), "n_before": F.lag("n").over(order), "after": F.lead("gid").over(order)})
-        return around.filter("before is not null or after is not null").drop("after")
+        over = F.shiftrightunsigned("token", 58).cast("int") - self.chain
+        chain = F.when(over > 0, F.pmod(F.xxhash64("token", "gid"), F.pow(F.lit(2.0), over).cast("long"))).otherwise(0)
+        order = Window.partitionBy("token", "chain").orderBy(like, F.xxhash64("gid", "token"))
+        around = posted.withColumn("chain", chain).withColumns({"before": F.lag("gid").over(order), "n_before": F.lag("n").over(order), "after": F.lead("gid").over(order)})
+        return around.filter((over > 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after", "chain")
 
     def _sizes(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
@@ -273,7 +290,7 @@ class NgramJoin:
         differ = sum(map(F.bit_count, differ[1:]), F.bit_count(differ[0]))
         return differ * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
 
-    def prefix_filter(self, pairs: DataFrame, docs: DataFrame, sets: DataFrame, leaders_only: bool = False) -> DataFrame:
+    def prefix_filter(self, pairs: DataFrame, lead: DataFrame, leaders_only: bool = False) -> DataFrame:
         """Pairs (a, b) of groups, by their leaders, whose prefixes allow the similarity.
 
         Where only the leaders themselves are candidates, their bitmaps have to allow it too; other members have other ones.
@@ -285,48 +302,51 @@ class NgramJoin:
             get = lambda x: np.frombuffer(x, "<u8")
             return pd.Series([prefixes_allow(get(x), i, get(y), j, percent) for x, i, y, j in zip(pa_, na, pb, nb, strict=True)], dtype=bool)
 
-        some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        leaders = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, "doc_id")
-        side = docs.select("doc_id", "s1", "s2", "n", "prefix", *BITS).join(leaders, ["doc_id", "s1", "s2"])
-        left = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), *(F.col(x).alias(f"x_{x}") for x in BITS))
-        right = side.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
+        left = lead.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), *(F.col(x).alias(f"x_{x}") for x in BITS))
+        right = lead.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
         met = pairs["b"] == right["b"]
         near = pairs.join(left, "a").join(right, met & self._bits("x_", "y_", "na", "nb") if leaders_only else met).drop(right["b"])
         return near.filter(allow("pa", "na", "pb", "nb")).select("a", "b")
 
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links among candidate pairs (a, b) of documents, by their whole sets."""
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs (a, b) of documents, by their whole sets.
+
+        A bitmap of the candidates' hashed ids, of 2^SKETCH_BITS bits, keeps most other texts from being hashed again.
+        """
         n, percent, levels = self.n, self.percent, self.levels
         pairs = self.scratch.save(pairs)
-        some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SKETCH_BITS)).cast("int")
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(1 << SKETCH_BITS, "u4")
-            for batch in batches:
-                counts[batch.column(0).to_numpy()] = 1
-            yield _partial(counts)
-
-        wanted = self.spark.sparkContext.broadcast(np.packbits(_slots(some.select(slot.alias("slot")).mapInArrow(mark, "slice int, counts binary"), SKETCH_BITS) > 0))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SKETCH_BITS))
+        marks = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits"))
+        mask = np.zeros((1 << SKETCH_BITS >> 15, 4096), "u1")
+        for row in marks.collect():
+            mask[row["part"]] = np.frombuffer(row["bits"], "u1")
+        wanted = self.spark.sparkContext.broadcast(mask)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(wanted.value).view(bool)
+            bits = np.unpackbits(wanted.value.ravel(), bitorder="little").view(bool)
+            seen: set[tuple] = set()
             for batch in batches:
                 batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
-                if batch.num_rows:
-                    keys = list(_sets(batch.column(1).to_pylist(), n, levels.value))
-                    digests = [_signed(xxhash.xxh3_128_intdigest(k.tobytes())) for k in keys]
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "s1": pa.array([d[0] for d in digests], pa.int64()), "s2": pa.array([d[1] for d in digests], pa.int64()), "keys": pa.array([k.tobytes() for k in keys], pa.binary())})
+                rows = []
+                for doc, keys in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist(), n, levels.value), strict=True):
+                    row = (doc, *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())))
+                    if row not in seen:  # rows that stand many times
+                        seen.add(row)
+                        rows.append((*row, keys.tobytes()))
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "s1", "s2", "keys"])
 
         @F.pandas_udf("boolean")
         def linked(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([similar(np.frombuffer(i, "<u8"), np.frombuffer(j, "<u8"), percent) for i, j in zip(x, y, strict=True)], dtype=bool)
 
         made = self.docs.filter("doc_id is not null").withColumn("slot", slot).mapInArrow(make, "doc_id long, s1 long, s2 long, keys binary")
-        own = sets.select(F.col("rep").alias("doc_id"), "s1", "s2").join(some, "doc_id")
-        keys = made.join(own, ["doc_id", "s1", "s2"]).groupBy("doc_id", "s1", "s2").agg(F.first("keys").alias("keys")).select("doc_id", "keys")
+        keys = made.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
         left, right = keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka")), keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-        return pairs.join(left, "a").join(right, "b").filter(linked("ka", "kb")).select("a", "b").distinct()
+        return pairs.join(left, "a").join(right, "b").filter(linked("ka", "kb")).select("a", "b")
 
     def run(self) -> DataFrame:
         save = self.scratch.save
@@ -335,33 +355,38 @@ class NgramJoin:
         reps = full.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("rep"), *(F.min(x).alias(x) for x in BITS))
         groups = reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
         sets = save(reps.join(groups, ["n", "p1", "p2"]).select("rep", "s1", "s2", "n", "gid", *BITS))
-        posted = save(self.postings(full, sets))
+        lead = save(self.leaders(full, sets))
+        posted = save(self.postings(lead))
 
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        chained = save(posted.filter(F.col("before").isNotNull() & (F.col("before") != F.col("gid")) & self._sizes("n", "n_before")).select(*pair("gid", "before")).distinct())
-        within = Window.partitionBy("gid").orderBy(F.xxhash64("rep"))
-        inside = sets.filter("rep <> gid").select("gid", "rep").union(sets.filter("rep = gid").select("gid", "rep")).distinct()
-        inside = inside.withColumn("before", F.lag("rep").over(within)).filter("before is not null").select(*pair("rep", "before"))
-        links = save(self.verify(self.prefix_filter(chained, full, sets, True).union(inside), sets))
-        parts = save(components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch))
+        chained = posted.filter(F.col("before").isNotNull() & (F.col("before") != F.col("gid")) & self._sizes("n", "n_before")).select(*pair("gid", "before")).distinct()
+        inside = sets.filter("rep <> gid").select(*pair("gid", "rep"))
+        links = save(self.verify(self.prefix_filter(chained, lead, True).union(inside)))
+        parts = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch)
 
         member = save(sets.select("rep", "gid", "n", *BITS).join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", "n", *BITS, F.coalesce("component", "rep").alias("part")))
         alike = [F.bitwise_not(F.bit_and(x).bitwiseXOR(F.bit_or(x))).alias(m) for x, m in zip(BITS, ALIKE, strict=True)]
-        span = member.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), *(F.bit_and(x).alias(x) for x in BITS), *alike)
-        lists = save(posted.select("token", "gid", "n").distinct().join(span, "gid"))
-        x, y = lists.alias("x"), lists.alias("y")
+        span = save(member.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), *(F.bit_and(x).alias(x) for x in BITS), *alike))
+        lists = save(posted.select("token", "gid", "n").join(span.select("gid", "low", "high"), "gid"))
+        self.scratch.drop(posted)
+        shares = lists.groupBy("token", "low").agg(F.count("*").alias("k"), F.max("high").alias("high"))
+        main = shares.groupBy("token").agg(F.max(F.struct("k", "low"))["low"].alias("main"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token", "main")
+        unsettled = save(lists.join(main, "token").withColumn("rest", F.expr("low <> main or high <> main")).drop("main").join(span.drop("low", "high"), "gid"))
+        x, y = unsettled.filter("rest").alias("x"), unsettled.alias("y")
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
-        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n", True))
-        across = save(across.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct())
+        once_each = ~F.col("y.rest") | (F.col("x.gid") < F.col("y.gid"))
+        across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & once_each & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n", True))
+        across = across.select(*pair("x.gid", "y.gid")).distinct()
         alone = span.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-        open_pairs = self.prefix_filter(across, full, sets).union(alone)
+        open_pairs = self.prefix_filter(across, lead).union(alone)
         left = member.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("part").alias("part_a"), *(F.col(x).alias(f"x_{x}") for x in BITS))
         right = member.select(F.col("gid").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("part").alias("part_b"), *(F.col(x).alias(f"y_{x}") for x in BITS))
         near = (left["part_a"] != right["part_b"]) & self._bits("x_", "y_", "na", "nb")
         expanded = open_pairs.join(left, "a").join(right, (open_pairs["b"] == right["b"]) & near).select(*pair("ra", "rb")).distinct()
-        more = save(self.verify(expanded, sets))
-        both = links.union(more).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        parts = save(components(both, self.scratch))
+        both = links.union(self.verify(expanded)).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        parts = components(both, self.scratch)
+        for done in (lead, links, member, span, lists, unsettled):
+            self.scratch.drop(done)
 
         own = sets.select("s1", "s2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("part"))
         found = docs.select("doc_id", "n", "s1", "s2").join(own, ["s1", "s2"], "left")
@@ -369,9 +394,9 @@ class NgramJoin:
         return found.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = SKETCH_BITS, chain: int = CHAIN) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
-    return NgramJoin(docs, n, percent, bits).run()
+    return NgramJoin(docs, n, percent, bits, chain).run()
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

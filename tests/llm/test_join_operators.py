@@ -98,6 +98,23 @@ def test_ngram_join_of_groups_whose_leader_is_far(spark):
     assert found.component_id.to_dict() == parts(texts, near(word_sets(texts, 4), 85))
 
 
+def test_ngram_join_of_a_large_cluster(spark):
+    """5,000 near copies whose rarest words all differ, beside clusters and texts of their own with the same words in their prefixes; chains are short."""
+    r = random.Random(9)
+    fresh = lambda: f"z{r.randint(0, 10**9)}"
+    base = [fresh() for _ in range(60)]
+    texts = {i: " ".join(base[:30] + [fresh()] + base[31:]) for i in range(5000)}
+    for i in range(5000, 5300, 3):
+        own = base[:14] + [fresh() for _ in range(12)]
+        texts |= {i: " ".join(own), i + 1: " ".join([*own, fresh()]), i + 2: " ".join([fresh(), *own])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = ngram_join.ngram_join(frame, 4, 85, 10, 4).toPandas().set_index("doc_id").sort_index()
+    sets = word_sets(texts, 4)
+    assert (found.component_id[:5000] == 0).all()
+    few = {i: s for i, s in sets.items() if i == 0 or i >= 5000}
+    assert found.component_id[found.index.isin(few)].to_dict() == parts(few, near(few, 85))
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = ["a b  c", "", "c\tB\x0ba", "é日 x"]
     alone = [np.concatenate(list(ngram_join.word_hashes([t]))) for t in texts]
