@@ -3,6 +3,9 @@
 A word's features are strings, hashed into rows of the weights. Sequences are handled many at a
 time; long ones are cut into segments whose exact messages are carried over by products of small
 transfer matrices, so the number of numpy calls does not follow the longest text.
+
+Defined cases: no labelled sequence leaves all weights at 0, so every label is equally likely; sequences have a word
+at least, and callers leave out empty ones; ties go to the first label; repeated sequences have equal results.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Rows of hashed weights; words of a segment in the exact forward-backward pass.
-ROWS, SEGMENT = 1 << 18, 32
+#: Rows of hashed weights; words of a segment in the exact forward-backward pass; places of a batch of sequences.
+ROWS, SEGMENT, CELLS = 1 << 18, 32, 1 << 17
 
 
 class ChainCRF:
@@ -153,25 +156,27 @@ class ChainCRF:
             message = np.where(real[:, i, None], b / b.sum(1, keepdims=True), 1)
         return message
 
-    def viterbi(self, emit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Best labels of each sequence, many sequences of like size at a time."""
+    def viterbi(self, emit: np.ndarray, sizes: np.ndarray, cells: int = CELLS) -> np.ndarray:
+        """Best labels of each sequence, many of like size at a time: at most `cells` places, or one sequence."""
         begin, out = np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()), "int64")
         order = np.argsort(sizes, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 512)):
-            if not len(part):
-                continue
-            n, longest = len(part), int(sizes[part].max())
-            back = np.zeros((longest, n, len(self.labels)), "int16")
-            best = emit[begin[part]].copy()
+        at = 0
+        while at < len(order):
+            held = sizes[order[at:]] * np.arange(1, len(order) - at + 1)  # places if padded to the longest so far
+            n = max(1, int(np.searchsorted(held, cells, "right")))
+            part, at = order[at : at + n], at + n
+            longest = int(sizes[part[-1]])
+            back = np.zeros((longest, n, len(self.labels)), "int8")
+            best = emit[begin[part]].astype("float64")
             for i in range(1, longest):
-                on = i < sizes[part]
+                on = slice(int(np.searchsorted(sizes[part], i, "right")), None)  # sizes ascend
                 reach = best[on][:, :, None] + self.moves
                 back[i, on] = reach.argmax(1)
                 best[on] = reach.max(1) + emit[begin[part][on] + i]
             label = best.argmax(1)
             for i in range(longest - 1, -1, -1):
-                on = i < sizes[part]
+                on = slice(int(np.searchsorted(sizes[part], i, "right")), None)
                 out[begin[part][on] + i] = label[on]
                 if i:
-                    label = np.where(on, back[i, np.arange(n), label], label)
+                    label[on] = back[i, np.arange(n)[on], label[on]]
         return out

@@ -5,7 +5,9 @@ The random field is trained from a small labelled table (`labelled_sentences`) a
 in numpy batches. Only words with a digit, an at or equals sign, the prefix of a key, or LONG characters can
 begin or carry what it knows, so it reads stretches of such words with REACH words of context on either
 side; all others are outside by construction. Secrets need no digit, all other kinds need one or an at
-sign. What it adds never overlaps a fixed match.
+sign, and a card a valid check digit. What it adds never overlaps a fixed match. Stretches of more than PIECE
+words are decoded in pieces that overlap by 2 * MARGIN words, of which each keeps the half next to it, so
+memory does not follow the longest text. The weights are trained once on the driver and broadcast (6 MB).
 
 Defined cases: null text counts as empty and has no spans; an empty table gives an empty result;
 repeated rows give repeated rows; at equal starts spans are ordered by kind as listed in KINDS;
@@ -15,6 +17,7 @@ other columns are kept, those with an output's name replaced. Offsets are code p
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from .memo import Memo
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 REACH, LONG = 3, 20
+#: Words of a stretch that are decoded together, words of context around a piece, words decoded in one batch.
+PIECE, MARGIN, BATCH = 2048, 32, 1 << 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +46,7 @@ WORD = re.compile(r"\S+")
 Span = tuple[int, int, str]
 
 
-def luhn(digits: str) -> bool:
+def luhn(digits: str | list[str]) -> bool:
     total = sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 if int(d) > 4 else 2 * int(d)) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
 
@@ -95,6 +100,8 @@ def word_features(word: str) -> list[str]:
     ]
     if digits == 0 and len(w) <= 10:
         out.append(f"w{w.lower().strip(':=')}")
+    if 12 <= digits <= 19 and digits == sum(c not in " -./" for c in core):
+        out.append(f"luhn{luhn([c for c in core if c.isdigit()])}")
     if "=" in core:
         out.append(f"key{core.partition('=')[0].lower()}")
     if digits == 0 and n >= 12:
@@ -108,44 +115,64 @@ class Detector:
 
     LABELS = ["O", *(f"{edge}-{kind}" for kind in KINDS for edge in "BI")]
 
-    def __init__(self, rounds: int = 60):
+    def __init__(self, weights: np.ndarray | None = None, moves: np.ndarray | None = None, rounds: int = 60):
+        """With the given weights, or with such as are trained here."""
         self.crf = ChainCRF(self.LABELS, lambda triple: [*word_features(triple[1]), *word_features("\x01" + triple[0])[:9], *word_features("\x02" + triple[2])[:9]], rows=1 << 16)
-        self.crf.fit([(self.context(words), [self.LABELS.index(x) for x in labels]) for words, labels in labelled_sentences()], rounds=rounds)
+        if weights is None:
+            self.crf.fit([(self.context(words), [self.LABELS.index(x) for x in labels]) for words, labels in labelled_sentences()], rounds=rounds)
+        else:
+            self.crf.weights, self.crf.moves = weights, moves
         self.memo = Memo(lambda triples: [row.tobytes() for row in self.crf.scores(triples)], 100_000)
 
     @staticmethod
     def context(words: list[str]) -> list[tuple[str, str, str]]:
         return list(zip(["", *words[:-1]], words, [*words[1:], ""], strict=True))
 
-    def windows(self, text: str) -> list[list[tuple[int, int]]]:
-        """Stretches of words near words with a hint."""
-        words = [m.span() for m in WORD.finditer(text)]
-        out: list[list[tuple[int, int]]] = []
-        done = 0
-        for i, (a, b) in enumerate(words):
-            if HINT.search(text, a, b):
-                start = max(done, i - REACH)
-                if out and start == done and i - done <= REACH:
-                    out[-1] += words[done : i + REACH + 1]
-                else:
-                    out.append(words[start : i + REACH + 1])
-                done = min(len(words), i + REACH + 1)
-        return out
+    def windows(self, text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+        """Stretches of words near words with a hint, in pieces: the words, and which of them count."""
+        held: list[tuple[int, int]] = []  # the words of an open stretch, or the last REACH words
+        until, first, i = 0, 0, -1  # a stretch ends before the word `until` if no hint follows within REACH words
+        for i, m in enumerate(WORD.finditer(text)):
+            held.append(m.span())
+            if HINT.search(text, *m.span()):
+                until = i + REACH + 1
+            if not until or i > until + REACH:
+                del held[:-REACH]
+            elif i == until + REACH:
+                n = len(held) - REACH - 1
+                yield held[:n], first, n
+                held, first = held[n + 1 :], 0
+            elif len(held) - first >= PIECE:
+                yield held, first, len(held) - MARGIN
+                held, first = held[-2 * MARGIN :], MARGIN
+        n = len(held) - max(0, i + 1 - until)
+        if until and i < until + REACH and n > first:
+            yield held[:n], first, n
 
     def spans(self, texts: list[str]) -> list[list[Span]]:
-        found: list[list[Span]] = [[] for _ in texts]
-        where = [(i, w) for i, t in enumerate(texts) if HINT.search(t) for w in self.windows(t)]
-        if not where:
-            return found
-        triples = [self.context([texts[i][a:b] for a, b in w]) for i, w in where]
-        get = self.memo.of(triples).__getitem__
-        emit = np.frombuffer(b"".join(b"".join(map(get, window)) for window in triples)).reshape(-1, len(self.LABELS))
-        sizes = np.array([len(w) for _, w in where])
-        best, at = self.crf.viterbi(emit, sizes), 0
-        for (i, w), n in zip(where, sizes.tolist(), strict=True):
-            found[i] += self._merge(texts[i], w, [self.LABELS[x] for x in best[at : at + n]])
-            at += n
-        return found
+        labelled: list[list[tuple[list[tuple[int, int]], list[str]]]] = [[] for _ in texts]
+        waiting, size = [], 0
+
+        def decode() -> None:
+            triples = [self.context([texts[i][a:b] for a, b in w]) for i, w, _, _ in waiting]
+            get = self.memo.of(triples).__getitem__
+            emit = np.frombuffer(b"".join(b"".join(map(get, window)) for window in triples)).reshape(-1, len(self.LABELS))
+            best, at = self.crf.viterbi(emit, np.array([len(w) for _, w, _, _ in waiting])).tolist(), 0
+            for i, w, first, last in waiting:
+                labelled[i].append((w[first:last], [self.LABELS[x] for x in best[at + first : at + last]]))
+                at += len(w)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for w, first, last in self.windows(text) if HINT.search(text) else ():
+                waiting.append((i, w, first, last))
+                size += len(w)
+                if size >= BATCH:
+                    decode()
+                    size = 0
+        if waiting:
+            decode()
+        return [[s for words, labels in parts for s in self._merge(text, words, labels)] for text, parts in zip(texts, labelled, strict=True)]
 
     @staticmethod
     def _merge(text: str, words: list[tuple[int, int]], labels: list[str]) -> list[Span]:
@@ -167,7 +194,9 @@ class Detector:
             if kind == "secret" and "=" in text[a:b] and text[a:b].index("=") < b - a - 1:
                 a += text[a:b].index("=") + 1
             bare = kind == "secret" and text[b - 1] != "=" and any(c.isalpha() for c in text[a:b])
-            if a < b and (bare or any(c.isdigit() or c == "@" for c in text[a:b])):
+            digits = [c for c in text[a:b] if "0" <= c <= "9"]
+            sound = kind != "card" or (12 <= len(digits) <= 19 and luhn(digits))
+            if a < b and sound and (bare or any(c.isdigit() or c == "@" for c in text[a:b])):
                 trimmed.append((a, b, kind))
         return trimmed
 
@@ -199,8 +228,12 @@ def labelled_sentences(rows: int = 900, seed: int = 11) -> list[tuple[list[str],
         kind, a, b, c = int(r.integers(5)), digits(3), digits(3), digits(4)
         return [[f"+{digits(1)}", f"({a})", f"{b}-{c}"], [f"+{digits(1)}-{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{digits(2)}", digits(3), digits(3), digits(4)]][kind]
 
+    def number(valid: bool):
+        whole = pick("3456") + digits(14)
+        return whole + next(d for d in (digits(1) for _ in range(1000)) if luhn(whole + d) == valid)
+
     def card():
-        whole = pick("3456") + digits(15)
+        whole = number(True)
         return [[whole], ["-".join(whole[i : i + 4] for i in range(0, 16, 4))], [whole[i : i + 4] for i in range(0, 16, 4)]][int(r.integers(3))]
 
     def ip():
@@ -209,7 +242,7 @@ def labelled_sentences(rows: int = 900, seed: int = 11) -> list[tuple[list[str],
     def none():
         year = str(int(r.integers(1900, 2100)))
         return pick([[year + pick(["", ".", ","])], [f"{year}-{digits(2)}-{digits(2)}"], [digits(int(r.integers(1, 10)))], [f"v{digits(1)}.{digits(1)}.{digits(1)}"], [f"{digits(1)}.{digits(1)}."], ["Version", "2.0."], ["CC", "BY-NC", "4.0."],
-                     [f"{digits(2)}:{digits(2)}"], [f"{digits(1)},{digits(3)}"], [f"${digits(2)}.{digits(2)}"], [f"{digits(2)}%"], [f"#{digits(3)}"], [letters(5) + digits(2)], [f"{digits(2)}/{digits(2)}/{year}"], ["version", "3."], [f"({digits(1)})"], [f"{digits(1)}th"], [f"{letters(1).upper()}{digits(2)}"], ["page", digits(3)], ["@", letters(4)], ["@" + letters(6)]])
+                     [f"{digits(2)}:{digits(2)}"], [f"{digits(1)},{digits(3)}"], [f"${digits(2)}.{digits(2)}"], [f"{digits(2)}%"], [f"#{digits(3)}"], [letters(5) + digits(2)], [f"{digits(2)}/{digits(2)}/{year}"], ["version", "3."], [f"({digits(1)})"], [f"{digits(1)}th"], [f"{letters(1).upper()}{digits(2)}"], ["page", digits(3)], ["@", letters(4)], ["@" + letters(6)], [number(False)], [digits(int(r.integers(11, 24)))[:11]]])
 
     kinds = {"email": email, "secret": secret, "phone": phone, "card": card, "ip": ip}
     out = []
@@ -265,18 +298,34 @@ def undigited_sentences(rows: int = 400, seed: int = 12) -> list[tuple[list[str]
     return out
 
 
-_loaded: list[Detector] = []
+_trained: list[Detector] = []
+_loaded: dict[str, Detector] = {}
 
 
 def detector() -> Detector:
-    if not _loaded:
-        _loaded.append(Detector())
-    return _loaded[0]
+    """The detector of this process, trained when first asked for."""
+    if not _trained:
+        _trained.append(Detector())
+    return _trained[0]
+
+
+def sent_detector(spark: SparkSession):
+    """A function that gives a worker its detector: the weights come from the driver."""
+    crf = detector().crf
+    sent, name = spark.sparkContext.broadcast((crf.weights, crf.moves)), zlib.crc32(crf.weights.tobytes()).to_bytes(4).hex()
+
+    def get() -> Detector:
+        if name not in _loaded:
+            _loaded.clear()
+            _loaded[name] = Detector(*sent.value)
+        return _loaded[name]
+
+    return get
 
 
-def all_spans(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
+def all_spans(texts: list[str], using: Detector | None = None) -> Iterator[tuple[list[Span], list[Span]]]:
     """Of each text the fixed matches, and those with what the random field adds."""
-    for text, more in zip(texts, detector().spans(texts), strict=True):
+    for text, more in zip(texts, (using or detector()).spans(texts), strict=True):
         base = fixed_spans(text)
         taken = sorted((a, b) for a, b, _ in base)
         starts = [a for a, _ in taken]
@@ -294,18 +343,19 @@ def written(spans: list[Span]) -> str:
 
 
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` with n_email, n_ip, n_card, n_phone and base_spans of the fixed patterns, and spans with all that was found."""
+    """`df` with n_email, n_ip, n_card, n_phone and base_spans of the fixed patterns, n_spans and spans of all that was found."""
+    get = sent_detector(df.sparkSession)
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_spans string, n_spans long, spans string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
-            for base, spans in all_spans(texts.tolist()):
+            for base, spans in all_spans(texts.tolist(), get()):
                 kinds = [k for _, _, k in base]
-                rows.append((*(kinds.count(k) for k in KINDS[:4]), written(base), written(spans)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"])
+                rows.append((*(kinds.count(k) for k in KINDS[:4]), written(base), len(spans), written(spans)))
+            yield pd.DataFrame(rows, columns=names)
 
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"]
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "n_spans", "spans"]
     out = df.withColumn("_pii", once(run)(text_or_empty(text_col)))
     return out.withColumns({n: F.col(f"_pii.{n}") for n in names}).drop("_pii")
 
@@ -322,12 +372,13 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with all personal data of `text_col` masked; null text stays null."""
+    get = sent_detector(df.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             given = texts.tolist()
-            yield pd.Series([mask(t, spans) if spans else t for t, (_, spans) in zip(given, all_spans(given), strict=True)], dtype=object)
+            yield pd.Series([mask(t, spans) if spans else t for t, (_, spans) in zip(given, all_spans(given, get()), strict=True)], dtype=object)
 
     masked = once(run)(text_or_empty(text_col))
     return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), masked))
@@ -336,4 +387,4 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
