@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -288,6 +289,41 @@ def test_the_random_field_adds_and_spares():
     assert {k for _, _, k in spans[3]} >= {"phone"}
 
 
+def test_numbers_without_a_valid_check_digit_are_no_cards():
+    r = random.Random(12)
+    numbers = [str(r.randint(10**15, 10**16 - 1)) for _ in range(400)]
+    texts = [f"the order {n} was sent" for n in numbers]
+    found = ["card" in pii.written(s) for _, s in pii.all_spans(texts)]
+    assert found == [pii.luhn(n) for n in numbers]
+
+
+def test_long_stretches_are_decoded_in_pieces():
+    d, r = pii.detector(), random.Random(13)
+    text = " ".join(r.choice(["x", "1", "2024", "a@b", "word"]) for _ in range(30_000))
+    pieces = list(d.windows(text))
+    assert max(len(w) for w, _, _ in pieces) <= pii.PIECE + pii.MARGIN
+    seen = [s for w, first, last in pieces for s in w[first:last]]
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    hints = [i for i, (a, b) in enumerate(words) if pii.HINT.search(text, a, b)]
+    near = {j for i in hints for j in range(max(0, i - pii.REACH), min(len(words), i + pii.REACH + 1))}
+    assert seen == sorted(set(seen)) and {words[i] for i in near} <= set(seen)
+    rows = [f"call {i} now" for i in range(300)]
+    long = " ".join(f"from abc{i % 90 + 10}@mail1.example.com and on" for i in range(5000))
+    spans = d.spans([long, *rows])
+    assert sum(k == "email" for _, _, k in spans[0]) > 4900 and spans[1:] == d.spans(rows)
+
+
+def test_viterbi_in_batches():
+    r = np.random.default_rng(14)
+    crf = ChainCRF(["a", "b", "c"], lambda w: [w])
+    crf.moves = r.normal(size=(3, 3))
+    sizes = r.integers(1, 40, 200)
+    emit = r.normal(size=(int(sizes.sum()), 3))
+    alone = np.concatenate([crf.viterbi(emit[e - n : e], np.array([n])) for n, e in zip(sizes, np.cumsum(sizes), strict=True)])
+    for cells in (1, 100, 1 << 20):
+        assert (crf.viterbi(emit, sizes, cells) == alone).all()
+
+
 def test_masking(spark, odd, empty):
     rows = spark.createDataFrame([(1, "write a.b@mail.example.com or 1.2.3.4, 4111 1111 1111 1111"), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(rows).orderBy("doc_id").collect()] == ["write <EMAIL> or <IP>, <CARD>", None, "clean"]
@@ -326,6 +362,14 @@ def test_odd_pages(spark, empty):
     assert html_text.extract(empty.select("doc_id", F.col("text").alias("html"))).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a b="', "<a b='", "<!x ", "</ ", "<!--", "<title>", '<a "x" ', "<a b='\"", "<p><td><div>", "<script "])
+def test_open_tags_take_linear_time(unit):
+    """Pages of a megabyte, in which no tag, quote, comment or element is ever closed."""
+    start = time.process_time()
+    html_text.Tree(unit * ((1 << 20) // len(unit)))
+    assert time.process_time() - start < 8  # seconds; the square of the length would take hours
+
+
 def test_tree_messages_are_exact():
     import itertools
 
