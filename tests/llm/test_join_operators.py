@@ -234,7 +234,8 @@ def test_collision_counts(spark, data):
 
 
 @pytest.mark.parametrize("size", [40, 2600])
-def test_collision_counts_of_a_large_cluster(spark, size):
+def test_collision_counts_of_a_large_cluster(spark, size, monkeypatch):
+    monkeypatch.setattr(collision_counts, "BLOCK", 700)
     r = np.random.default_rng(5)
     near_one = r.normal(size=16) + 0.02 * r.normal(size=(size, 16))
     apart = r.normal(size=(300, 16))
@@ -251,10 +252,10 @@ def test_collision_counts_of_a_large_cluster(spark, size):
 
 def test_collision_counts_of_odd_rows(spark):
     nan = float("nan")
-    rows = [(0, 1, [1.0, 0.0]), (1, 1, [2.0, 0.0]), (2, 2, [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, 1, None), (5, 1, [0.0, 0.0]), (6, 1, [nan, 1.0]), (7, 1, [1.0, None]), (8, 1, [1.0, 0.0]), (9, 1, [1.0, 0.0, 0.0]), (8, 1, [1.0, 0.0]), (None, 1, [1.0, 0.0])]
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [2.0, 0.0]), (2, 2, [1.0, 0.0]), (3, None, [1.0, 0.0]), (4, 1, None), (5, 1, [0.0, 0.0]), (6, 1, [nan, 1.0]), (7, 1, [1.0, None]), (8, 1, [1.0, 0.0]), (9, 1, [1.0, 0.0, 0.0]), (8, 1, [1.0, 0.0]), (None, 1, [1.0, 0.0]), (10, 1, [1.0, 0.0, 0.01])]
     frame = spark.createDataFrame([(i, lab, v, 0) for i, lab, v in rows], "vec_id long, label int, embedding array<double>, n_links int")
     found = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in collision_counts.near_duplicates(frame).collect()]
-    want = [(0, 3, 0, True), (1, 3, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 3, 0, False), (8, 3, 0, False), (9, 0, 9, True), (None, 0, None, None)]
+    want = [(0, 3, 0, True), (1, 3, 0, False), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 3, 0, False), (8, 3, 0, False), (9, 1, 9, True), (10, 1, 9, False), (None, 0, None, None)]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert collision_counts.near_duplicates(frame.limit(0)).count() == 0
 
@@ -268,9 +269,34 @@ def test_the_count_is_calibrated():
     side -= (side * a).sum(1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * side
+    lines.fit(a)
     pa, pb = lines.project(a), lines.project(b)
-    assert ((np.abs(pa - pb) <= lines.window).sum(1) >= lines.least).all()
-    assert (lines.cells(pa) == lines.cells(pb)).any(1).mean() > 0.999
+    near = np.abs(pa - pb) <= lines.window
+    n = lines.sorted_lines
+    assert (near[:, n : n + 8].sum(1) >= lines.least[0]).all() and (near[:, n:].sum(1) >= lines.least[1]).all()
+    assert near[:, :n].reshape(-1, lines.tables, lines.per_table).all(2).any(1).mean() > 0.999
+    strangers = np.abs(pa[:-1] - pa[1:])[:, n:] <= lines.window
+    assert (strangers.sum(1) >= lines.least[1]).mean() < 0.001
+
+
+def test_pairs_within_the_windows_meet_in_one_place():
+    r = np.random.default_rng(7)
+    lines = collision_counts.Lines.calibrated(0.98, 9000)
+    x = r.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lines.fit(x)
+    projected, met = lines.project(x), collections.Counter()
+    stands = collections.defaultdict(list)
+    for i, t, place, guest in zip(*lines.places(x), strict=True):
+        stands[t, place].append((i, guest))
+    for (t, _), members in stands.items():
+        met.update((t, min(i, j), max(i, j)) for k, (i, g) in enumerate(members) for j, h in members[k + 1 :] if not g & h)
+    for t in range(lines.tables):
+        own = projected[:, t * lines.per_table : (t + 1) * lines.per_table]
+        for i in range(len(x)):
+            for j in np.flatnonzero((np.abs(own[i] - own) <= lines.window).all(1)):
+                assert i >= j or met[t, i, j] == 1
+    assert lines.per_table > 2 and max(met.values()) == 1
 
 
 def test_pipeline_keeps_different_texts_of_one_id(spark, data):
