@@ -44,7 +44,7 @@ MISS = 1e-5
 #: The window in deviations of a pair at the least cosine; lines counted first and in all.
 WINDOW, COUNTED = 2.5, (8, 24)
 #: Rows of a place aimed at, of a block, of a bin; vectors that fix the cuts; rows handled at once in a place.
-PLACE, BLOCK, BIN, SAMPLE, STRIP = 512, 4096, 16384, 4096, 256
+PLACE, BLOCK, BIN, SAMPLE, STRIP = 512, 4096, 4096, 4096, 256
 #: Share of the rows that a range of a line holds with its guests, about.
 SHARE = 0.6
 

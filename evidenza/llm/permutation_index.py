@@ -1,126 +1,211 @@
 """Approximate nearest neighbours by a permutation index.
 
-PIVOTS vectors, a bounded sample drawn by a hash of vec_id with near copies left out, are fixed. A
-vector stands for itself by its NEAREST pivots in order. Every row is posted, with its positions, in
-the inverted files of these pivots, one set of files for each block of at most about BLOCK rows. A
-query goes through the files of its own pivots in every block and adds up, for each row met, what its
-footrule distance falls short of the largest one; a pivot that is missing counts as the position behind
-the last. The rows of least footrule distance, CANDIDATES of a block and at least LEAST (ties included), are ranked again by
-the exact inner product in double precision, and the best of all blocks win.
+Vectors of the sample become pivots, near copies left out. A vector stands for itself by its nearest pivots in
+order, its permutation: rows by POSTED of them, queries by ASKED. A row is posted in the inverted files of its own
+pivots. The files are kept in shards of pivots that lie near each other; a row is sent to the shards of its pivots, a
+query to the shards of its own and to no other. There it reads the files of its pivots alone. A pair that could meet
+in several shards is taken in that of the row's nearest pivot that the query knows. The rows met are ranked by
+footrule distance of the permutations, a pivot that is missing counting as the position behind the last, and of
+each shard the best SHARE (ties included, at least as many as are asked for) are ranked again by the exact inner
+product in double precision; the best of all shards win.
+
+There are about a twelfth as many pivots as rows, up to PIVOTS, so the share of the rows that a query reads falls
+while they grow: see the README for measured recall and shares. A shard with many rows is split into blocks, one
+with many queries into groups, so the memory of a task is bounded by BLOCK and QUERIES.
 
 Inner products become angles by one more component that brings all vectors to the largest length, so
-permutations also fit vectors of unequal lengths. Queries meet all blocks, in groups of at most
-QUERIES: memory and tasks are bounded, and the work is that of a stated query set against all rows.
+permutations also fit vectors of unequal lengths. Components are divided by the largest of all first.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows without
-vec_id and vectors of another than the most common size take no part; a query never finds rows of its own
-vec_id; repeated rows are found as often as they stand there; ties go to the smaller vec_id; fewer
-candidates than asked for are all returned; an empty table gives an empty result; other columns are not read.
+Bounds on the driver and in the broadcast: 2 * PIVOTS sampled vectors of each size, PIVOTS of them pivots.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components and rows without vec_id take
+no part; a vector meets only vectors of its own size; a query never finds rows of its own vec_id; repeated rows are
+found as often as they stand there; rows that share a query's vec_id ask once, with the least of their vectors; ties
+go to the smaller vec_id; fewer candidates than asked for are all returned; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import Scratch, arrow_batches, once, table
 from .vectors import stacked, taking_part
 
-#: The share is measured on blocks of BLOCK rows with a hot cluster; the floor acts below 1024 rows alone.
-PIVOTS, NEAREST, CANDIDATES, LEAST = 256, 64, 0.5, 512
+PIVOTS, POSTED, ASKED, SHARE = 4096, 8, 256, 0.6
+#: Least pivots, rows to a pivot, rows to a shard; rows and queries of a task.
+FEWEST, ROWS_PER_PIVOT, ROWS_PER_SHARD = 64, 12, 8192
 BLOCK, QUERIES = 8192, 4096
 
 
 def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
-    """The first rows of the sample that are no near copies of earlier ones."""
+    """The first rows of the sample, scaled to length 1, that are no near copies of earlier ones."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    kept: list[int] = []
-    for i in range(len(unit)):
-        if len(kept) < most and (not kept or (unit[kept] @ unit[i]).max() < 0.95):
-            kept.append(i)
-    return unit[kept]
+    kept, n = np.empty((min(most, len(unit)), unit.shape[1])), 0
+    for row in unit:
+        if n < most and (not n or (kept[:n] @ row).max() < 0.95):
+            kept[n] = row
+            n += 1
+    return kept[:n]
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Numbers of the nearest pivots, nearest first."""
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :nearest]
+    near = -(vectors @ pivots.T)
+    if nearest >= len(pivots):
+        return np.argsort(near, axis=1, kind="stable")
+    some = np.sort(np.argpartition(near, nearest - 1, axis=1)[:, :nearest], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
-class Files:
-    """Inverted files of one block: for each pivot the rows posted there and their positions."""
+@dataclass
+class Pivots:
+    """Pivots for vectors of one size, the shard of each, and what brings vectors to one length."""
 
-    def __init__(self, order: np.ndarray, pivots: int):
-        self.rows, self.nearest = len(order), order.shape[1]
-        flat = order.ravel()
-        by = np.argsort(flat, kind="stable")
-        row, position = by // self.nearest, (by % self.nearest).astype("int32")
-        cuts = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.posted = [(row[a:b], position[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    at: np.ndarray
+    shard: np.ndarray
+    scale: float
+    longest: float
 
-    def closeness(self, order: np.ndarray) -> np.ndarray:
-        """For each row half of what its footrule distance to the query falls short of the largest one.
+    @classmethod
+    def of(cls, sample: np.ndarray, scale: float, longest: float, rows: int, most: int) -> Pivots:
+        empty = cls(np.empty((0, 0)), np.empty(0, "int64"), scale, longest)
+        at = choose_pivots(empty.raised(sample), most)
+        anchors = max(1, min(len(at) // 16, rows // ROWS_PER_SHARD))
+        return cls(at, (at @ at[:anchors].T).argmax(1), scale, longest)
 
-        A pivot at i in the query and at j in the row saves (l - i) + (l - j) - |i - j| = 2 (l - max(i, j)).
-        """
-        saved = np.zeros(self.rows, "int32")
-        for i, pivot in enumerate(order):
-            row, position = self.posted[pivot]
-            saved[row] += self.nearest - np.maximum(position, i)
-        return saved
+    def raised(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.scale
+        return np.concatenate([x, np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1, keepdims=True), 0))], 1)
 
+    def orders(self, x: np.ndarray, nearest: int, queries: bool) -> np.ndarray:
+        x = np.concatenate([x / np.abs(x).max(1, keepdims=True), np.zeros((len(x), 1))], 1) if queries else self.raised(x)
+        return permutations(x, self.at, nearest)
 
-def _search(k: int, pivots: np.ndarray, longest: float, nearest: int, share: float, least: int):
-    out = ["query_id", "vec_id", "score"]
 
-    def level(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x**2).sum(1, keepdims=True), 0))], 1)
+class Files:
+    """Inverted files of one block of a shard: for each of the shard's pivots the rows posted there."""
+
+    def __init__(self, order: np.ndarray, shard_of: np.ndarray, shard: int):
+        self.order, self.shard_of, self.shard = order, shard_of, shard
+        row, position = np.nonzero(shard_of[order] == shard)
+        pivot = order[row, position]
+        by = np.argsort(pivot, kind="stable")
+        self.row, self.cuts = row[by], np.searchsorted(pivot[by], np.arange(len(shard_of) + 1))
+
+    def near(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows met by a query that are this shard's to rank, and their footrule distances to it."""
+        posted = self.order.shape[1]
+        place = np.full(len(self.shard_of), len(order), "int32")
+        place[order] = np.arange(len(order))
+        met = np.zeros(len(self.order), bool)
+        for pivot in order[self.shard_of[order] == self.shard]:
+            met[self.row[self.cuts[pivot] : self.cuts[pivot + 1]]] = True
+        rows = np.flatnonzero(met)
+        found = place[self.order[rows]]
+        first = (found < len(order)).argmax(1)
+        own = self.shard_of[self.order[rows, first]] == self.shard
+        # the query's pivots that the row lacks count as behind the row's last
+        rows, found = rows[own], found[own]
+        known = found < len(order)
+        lacking = np.maximum(np.arange(len(order)) - posted, 0).sum() - np.where(known, np.maximum(found - posted, 0), 0).sum(1)
+        return rows, np.abs(found - np.arange(posted)).sum(1) + lacking
+
+
+def _search(k: int, sent, share: float):
+    out = ["query_id", "vec_id", "score"]
 
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({c: [] for c in out})
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x, q = rows["vec_id"].to_numpy(), stacked(rows["vector"]), stacked(queries["vector"])
-        files = Files(permutations(level(x), pivots, nearest), len(pivots))
-        asked = permutations(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots, nearest)
-        n = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+        files = Files(np.stack(rows["order"].tolist()), sent.value[key[0]].shard, key[1])
         found = []
-        for query, own, order in zip(queries["query_id"].to_numpy(), q, asked, strict=True):
-            saved = files.closeness(order)
-            near = np.flatnonzero(saved >= np.partition(saved, len(saved) - n)[len(saved) - n])
-            near = near[ids[near] != query]
+        for query, own, order in zip(queries["query_id"].to_numpy(), q, queries["order"], strict=True):
+            near, far = files.near(np.asarray(order))
+            others = ids[near] != query
+            near, far = near[others], far[others]
+            if not len(near):
+                continue
+            n = min(len(near), max(k, int(np.ceil(share * len(near)))))
+            near = near[far <= np.partition(far, n - 1)[n - 1]]
             score = (x[near] * own).sum(1)
             best = np.lexsort((ids[near], -score))[:k]
             found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(found)[out]
+        return pd.concat(found)[out] if found else pd.DataFrame({c: [] for c in out})
 
     return run
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, nearest: int = NEAREST, share: float = CANDIDATES, least: int = LEAST, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
+def fit(known: DataFrame, most: int = PIVOTS) -> dict[int, Pivots]:
+    """Pivots for each size of the vectors (vec_id, size, vector), from samples drawn by a hash of vec_id."""
+    largest = F.aggregate("vector", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v.cast("double"))))
+    sizes = known.groupBy("size").agg(F.count("*").alias("n"), F.max(largest).alias("scale"))
+    draw = F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(1 << 30))
+    pivots = F.least(F.lit(most), F.greatest(F.lit(FEWEST), F.ceil(F.col("n") / ROWS_PER_PIVOT)))
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, v: s + (v.cast("double") / F.col("scale")) * (v.cast("double") / F.col("scale")))
+    scaled = known.join(sizes, "size")
+    longest = scaled.groupBy("size", "n", "scale", pivots.alias("pivots")).agg(F.sqrt(F.max(squares)).alias("longest")).collect()
+    drawn = scaled.filter(draw < F.ceil(4 * pivots / F.col("n") * (1 << 30)))
+    drawn = drawn.groupBy("size", "vec_id").agg(F.min("vector").alias("vector"), F.first(pivots).alias("pivots"))
+    order = Window.partitionBy("size").orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id")
+    sample = drawn.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 2 * F.col("pivots")).select("size", "at", "vector").collect()
+    held: dict[int, list] = {}
+    for r in sorted(sample, key=lambda r: (r["size"], r["at"])):
+        held.setdefault(r["size"], []).append(r["vector"])
+    return {r["size"]: Pivots.of(np.array(held[r["size"]], "float64"), r["scale"], r["longest"], r["n"], r["pivots"]) for r in longest}
+
+
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, posted: int = POSTED, asked: int = ASKED, share: float = SHARE, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows (vec_id, embedding) of largest inner product found for each query (vec_id, embedding)."""
-    known = rows.filter(taking_part("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").alias("vector"))
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sizes = known.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(length).alias("longest")).orderBy(F.desc("n"), "size").first()
-    schema = "query_id long, vec_id long, score double"
-    if sizes is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known = known.filter(F.size("vector") == sizes["size"])
-    sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
-    fixed = choose_pivots(np.array([r["vector"] for r in sample], "float64"), pivots)
-    raised = np.concatenate([fixed, np.zeros((len(fixed), 1))], 1)
-    asked = queries.filter(taking_part("embedding") & F.col("vec_id").isNotNull() & (F.size("embedding") == sizes["size"])).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    blocks, groups = -(-sizes["n"] // block), max(1, -(-asked.count() // group))
-    dealt = lambda column, n: F.pmod(F.xxhash64(F.lit("deal"), column), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = known.withColumn("block", dealt("vec_id", blocks)).withColumn("part", every(groups))
-    right = asked.withColumn("part", dealt("query_id", groups)).withColumn("block", every(blocks))
-    run = _search(k, raised, float(sizes["longest"]), min(nearest, len(fixed)), share, least)
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, schema)
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "permutations")
+    usable = lambda df: df.filter(taking_part("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.size("embedding").alias("size"), F.col("embedding").alias("vector"))
+    known = usable(rows)
+    sent = spark.sparkContext.broadcast(fit(known, pivots))
+
+    def orders(nearest: int, ask: bool):
+        @F.pandas_udf("struct<order:array<int>,shards:array<int>>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for vectors in batches:
+                order, shards, sizes = [None] * len(vectors), [None] * len(vectors), vectors.map(len).to_numpy()
+                for n in np.unique(sizes):
+                    at = np.flatnonzero(sizes == n)
+                    if int(n) not in sent.value:  # a query of a size that no row has
+                        continue
+                    own = sent.value[int(n)]
+                    for i, found in zip(at, own.orders(stacked(vectors.iloc[at]), nearest, ask).astype("int32"), strict=True):
+                        order[i], shards[i] = found, np.unique(own.shard[found]).astype("int32")
+                yield pd.DataFrame({"order": order, "shards": shards})
+
+        return once(run)("vector")
+
+    key = ["size", "shard"]
+    left = known.select("vec_id", "size", "vector", orders(posted, False).alias("at"), F.monotonically_increasing_id().alias("row"))
+    left = scratch.save(left.select("vec_id", "size", "vector", "at.order", "row", F.explode("at.shards").alias("shard")))
+    right = usable(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("size", "vector")).alias("v")).select("query_id", "v.*")
+    right = right.select("query_id", "size", "vector", orders(asked, True).alias("at"))
+    right = scratch.save(right.select("query_id", "size", "vector", "at.order", F.explode("at.shards").alias("shard")))
+    n_rows, n_queries = left.groupBy(*key).agg(F.count("*").alias("n")), right.groupBy(*key).agg(F.count("*").alias("m"))
+    loads = n_rows.join(n_queries, key).select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("m") / group).cast("int").alias("groups"))
+    loads = F.broadcast(scratch.save(loads))  # at most PIVOTS / 16 rows for each size of vectors
+    dealt = lambda n, *columns: F.pmod(F.xxhash64(F.lit("deal"), *columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(loads, key).withColumn("block", dealt("blocks", "vec_id", "row")).withColumn("part", every("groups")).select(*key, "block", "part", "vec_id", "vector", "order")
+    right = right.join(loads, key).withColumn("part", dealt("groups", "query_id")).withColumn("block", every("blocks")).select(*key, "block", "part", "query_id", "vector", "order")
+    unit = [*key, "block", "part"]
+    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(_search(k, sent, share), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(rows, rows.filter(F.col("vec_id") % 20 == 0))

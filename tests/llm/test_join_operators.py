@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,43 +173,64 @@ def test_permutation_index(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
-@pytest.mark.parametrize("hot", [0, 2730, 5734])
-def test_permutation_index_on_a_full_block(spark, hot):
-    """8192 rows, where the least number of candidates has no part; some are noisy copies of one vector."""
+@pytest.mark.parametrize("n, hot", [(3000, 0), (8192, 0), (8192, 2730), (8192, 5734), (24576, 0), (24576, 8192)])
+def test_recall_of_the_permutation_index(spark, n, hot, monkeypatch):
+    """Isotropic vectors, the hardest case; some are noisy copies of one vector. The share of rows that queries rank falls with their number."""
     r = np.random.default_rng(3)
-    x = r.normal(size=(permutation_index.BLOCK, 64))
+    x = r.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[:hot] = x[0] + 0.05 * r.normal(size=(hot, 64))
     x, ids = x[r.permutation(len(x))], np.arange(len(x))
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = permutation_index.nearest_neighbours(frame, frame.filter("vec_id % 40 = 0")).toPandas()
-    hits, queries = 0, ids[ids % 40 == 0]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = permutation_index.nearest_neighbours(frame, frame.filter("vec_id % 100 = 0"), block=4096, group=100).toPandas()
+    hits, queries = 0, ids[ids % 100 == 0]
     for q, own in found.groupby("query_id"):
         score = x @ x[q]
         score[q] = -np.inf
         hits += len(set(own.vec_id) & set(np.lexsort((ids, -score))[:20].tolist()))
+        assert len(own) == own.vec_id.nunique() == 20
     recall = hits / (20 * len(queries))
-    print(f"recall of {hot} hot rows: {recall:.3f}")
-    assert recall >= 0.9
+    index = permutation_index.fit(frame.select("vec_id", F.size("embedding").alias("size"), F.col("embedding").alias("vector")))[64]
+    rows, asked, ranked = index.orders(x, permutation_index.POSTED, False), index.orders(x[queries], min(permutation_index.ASKED, len(index.at)), True), 0
+    for shard in np.unique(index.shard):
+        files = permutation_index.Files(rows, index.shard, shard)
+        ranked += sum(len(files.near(o)[0]) for o in asked)
+    print(f"{n} rows, {hot} hot: recall {recall:.3f}, met {ranked / n / len(queries):.3f} of the rows, {len(index.at)} pivots in {index.shard.max() + 1} shards")
+    assert recall >= 0.9 and (n < 20_000 or ranked < 0.7 * n * len(queries))
 
 
 def test_permutation_index_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [5.0, 1.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [0.0, -2.0]), (40, None), (2, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 1.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [0.0, -2.0]), (40, None), (2, [1.0, 0.0]), (20, [0.0, -2.0]), (60, [1e200, 0.0, 1e200, 1.0]), (80, [1.0, 1.0, 1.0, 1.0]), (100, [1.0] * 5)]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     found = permutation_index.nearest_neighbours(frame, frame.filter("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 5.0), (0, 2, 1.0), (0, 2, 1.0), (0, 20, 0.0), (20, 0, 0.0), (20, 2, 0.0), (20, 2, 0.0), (20, 1, -2.0)]
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 1, 5.0), (0, 2, 1.0), (0, 2, 1.0), (0, 20, 0.0), (0, 20, 0.0), (20, 0, 0.0), (20, 2, 0.0), (20, 2, 0.0), (20, 1, -2.0), (60, 80, 2e200), (80, 60, 2e200)]
     assert permutation_index.nearest_neighbours(frame.limit(0), frame.limit(0)).count() == 0
     assert permutation_index.nearest_neighbours(frame, frame.filter("vec_id = 40")).count() == 0
 
 
 def test_footrule():
     r = np.random.default_rng(4)
-    order = np.array([r.permutation(30)[:10] for _ in range(40)])
-    files, query = permutation_index.Files(order, 30), r.permutation(30)[:10]
-    place = lambda o: {p: i for i, p in enumerate(o)}
-    far = [sum(abs(place(o).get(p, 10) - place(query).get(p, 10)) for p in range(30)) for o in order]
-    assert (files.closeness(query) * 2 == 110 - np.array(far)).all()
+    shard_of = r.integers(0, 3, 30)
+    order = np.array([r.permutation(30)[:5] for _ in range(40)])
+    query = r.permutation(30)[:10]
+    place = lambda o: {int(p): i for i, p in enumerate(o)}
+    want = {i: sum(abs(place(o).get(p, 5) - place(query).get(p, 10)) if p in place(o) or p not in place(query) else max(0, place(query)[p] - 5) for p in {*map(int, o), *map(int, query)}) for i, o in enumerate(order) if set(o) & set(query)}
+    found = {}
+    for shard in range(3):
+        rows, far = permutation_index.Files(order, shard_of, shard).near(query)
+        assert not found.keys() & set(rows)  # each row is one shard's alone
+        found |= dict(zip(rows, far, strict=True))
+    assert found == want
+
+
+def test_permutations():
+    r = np.random.default_rng(5)
+    x, pivots = r.normal(size=(50, 6)), permutation_index.choose_pivots(r.normal(size=(40, 6)))
+    whole = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+    assert all((permutation_index.permutations(x, pivots, n) == whole[:, :n]).all() for n in (1, 7, len(pivots), len(pivots) + 3))
+    copies = np.repeat(r.normal(size=(3, 6)), 10, 0) * r.uniform(1, 5, (30, 1))
+    assert len(permutation_index.choose_pivots(copies)) == 3
 
 
 def linked(labels, vectors, cosine=0.98):
