@@ -39,8 +39,8 @@ from .vectors import stacked, taking_part
 
 PIVOTS, POSTED, ASKED, SHARE = 4096, 8, 256, 0.6
 #: Least pivots, rows to a pivot, rows to a shard; rows and queries of a task.
-FEWEST, ROWS_PER_PIVOT, ROWS_PER_SHARD = 64, 12, 8192
-BLOCK, QUERIES = 8192, 4096
+FEWEST, ROWS_PER_PIVOT, ROWS_PER_SHARD = 64, 12, 32768
+BLOCK, QUERIES = 16384, 2048
 
 
 def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
@@ -92,29 +92,36 @@ class Files:
     """Inverted files of one block of a shard: for each of the shard's pivots the rows posted there."""
 
     def __init__(self, order: np.ndarray, shard_of: np.ndarray, shard: int):
-        self.order, self.shard_of, self.shard = order, shard_of, shard
-        row, position = np.nonzero(shard_of[order] == shard)
+        self.mine, self.rows = shard_of == shard, len(order)
+        row, position = np.nonzero(self.mine[order])
         pivot = order[row, position]
         by = np.argsort(pivot, kind="stable")
-        self.row, self.cuts = row[by], np.searchsorted(pivot[by], np.arange(len(shard_of) + 1))
+        self.row, self.cuts = row[by], np.searchsorted(pivot[by], np.arange(len(shard_of) + 1)).tolist()
+        self.at = np.ascontiguousarray(order.T)  # the rows' nearest pivots, their second ones, and so on
 
     def near(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows met by a query that are this shard's to rank, and their footrule distances to it."""
-        posted = self.order.shape[1]
-        place = np.full(len(self.shard_of), len(order), "int32")
-        place[order] = np.arange(len(order))
-        met = np.zeros(len(self.order), bool)
-        for pivot in order[self.shard_of[order] == self.shard]:
+        posted, asked = len(self.at), len(order)
+        met = np.zeros(self.rows, bool)
+        for pivot in order[self.mine[order]].tolist():
             met[self.row[self.cuts[pivot] : self.cuts[pivot + 1]]] = True
         rows = np.flatnonzero(met)
-        found = place[self.order[rows]]
-        first = (found < len(order)).argmax(1)
-        own = self.shard_of[self.order[rows, first]] == self.shard
-        # the query's pivots that the row lacks count as behind the row's last
-        rows, found = rows[own], found[own]
-        known = found < len(order)
-        lacking = np.maximum(np.arange(len(order)) - posted, 0).sum() - np.where(known, np.maximum(found - posted, 0), 0).sum(1)
-        return rows, np.abs(found - np.arange(posted)).sum(1) + lacking
+        place = np.full(len(self.mine), asked, "int32")
+        place[order] = np.arange(asked)
+        if not self.mine.all():  # a pair is taken in the shard of the row's first pivot that the query knows
+            own, open_ = np.zeros(len(rows), bool), np.ones(len(rows), bool)
+            for at in self.at:
+                pivot = at[rows]
+                known = open_ & (place[pivot] < asked)
+                own |= known & self.mine[pivot]
+                open_ &= ~known
+            rows = rows[own]
+        # pivots of the query that a row lacks count as behind the row's last
+        behind = np.where(place < asked, np.maximum(place - posted, 0), 0)
+        far = np.full(len(rows), int(behind[order].sum()))
+        for j, at in enumerate(self.at):
+            far += (np.abs(place - j) - behind)[at[rows]]
+        return rows, far
 
 
 def _search(k: int, sent, share: float):
@@ -126,7 +133,7 @@ def _search(k: int, sent, share: float):
         rows = rows.sort_values("vec_id", kind="stable")
         ids, x, q = rows["vec_id"].to_numpy(), stacked(rows["vector"]), stacked(queries["vector"])
         files = Files(np.stack(rows["order"].tolist()), sent.value[key[0]].shard, key[1])
-        found = []
+        found: list[list[np.ndarray]] = []
         for query, own, order in zip(queries["query_id"].to_numpy(), q, queries["order"], strict=True):
             near, far = files.near(np.asarray(order))
             others = ids[near] != query
@@ -136,9 +143,12 @@ def _search(k: int, sent, share: float):
             n = min(len(near), max(k, int(np.ceil(share * len(near)))))
             near = near[far <= np.partition(far, n - 1)[n - 1]]
             score = (x[near] * own).sum(1)
+            if len(near) > k:
+                high = score >= np.partition(score, len(score) - k)[len(score) - k]
+                near, score = near[high], score[high]
             best = np.lexsort((ids[near], -score))[:k]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(found)[out] if found else pd.DataFrame({c: [] for c in out})
+            found.append([np.full(len(best), query), ids[near][best], score[best]])
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) if found else [] for i, c in enumerate(out)})
 
     return run
 

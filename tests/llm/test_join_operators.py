@@ -176,6 +176,7 @@ def test_permutation_index(spark):
 @pytest.mark.parametrize("n, hot", [(3000, 0), (8192, 0), (8192, 2730), (8192, 5734), (24576, 0), (24576, 8192)])
 def test_recall_of_the_permutation_index(spark, n, hot, monkeypatch):
     """Isotropic vectors, the hardest case; some are noisy copies of one vector. The share of rows that queries rank falls with their number."""
+    monkeypatch.setattr(permutation_index, "ROWS_PER_SHARD", 4096)
     r = np.random.default_rng(3)
     x = r.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
