@@ -16,6 +16,7 @@ the template listed first; other columns are kept, those with an output's name r
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -39,21 +40,21 @@ def fold_words(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All substrings of several token sequences; a state knows one end position in each sequence that holds it."""
+    """All substrings of several token sequences; a state knows all its end positions in each sequence that holds it."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for k, sequence in enumerate(sequences):
             last = 0
             for at, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(k, at)
+                self.ends[last].setdefault(k, set()).add(at)
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for k, at in self.ends[state].items():
-                known = self.ends[self.link[state]]
-                known[k] = min(known.get(k, at), at)
+            for k, places in self.ends[state].items():
+                self.ends[self.link[state]].setdefault(k, set()).update(places)
+        self.ends = [{k: sorted(places) for k, places in found.items()} for found in self.ends]
 
     def _new(self, length: int, link: int, follow: dict[int, int]) -> int:
         self.next.append(follow)
@@ -110,10 +111,11 @@ class Scanner:
 
     @staticmethod
     def _code(ids: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches of MIN_MATCH words; equal ones are only a hint that the automaton then follows."""
         n = len(ids) - MIN_MATCH + 1
-        code = np.zeros(max(n, 0), "int64")
-        for k in range(MIN_MATCH):
-            code = code << 15 | (ids[k : k + n] + 1)
+        code = np.zeros(max(n, 0), "u8")
+        for k in range(MIN_MATCH if n > 0 else 0):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + (ids[k : k + n] + 1).astype("u8")
         return code
 
     def scan(self, text: str) -> tuple:
@@ -162,10 +164,12 @@ class Scanner:
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
     def _chain(self, chains: dict, first: int, end: int, state: int) -> None:
-        """Join a maximal match to the chain of each template that holds it, or begin one."""
-        for k, at in self.automaton.ends[state].items():
+        """Join a maximal match to the chain of each template that holds it, at its next place there, or begin one."""
+        for k, places in self.automaton.ends[state].items():
             own = chains.setdefault(k, [])
-            if own and first - own[-1][4] <= MAX_GAP and at > own[-1][3]:
+            later = bisect.bisect_right(places, own[-1][3]) if own else 0
+            at = places[later] if later < len(places) else places[0]
+            if own and first - own[-1][4] <= MAX_GAP and later < len(places):
                 new = end - max(first, own[-1][4])
                 own[-1][1:] = [end - 1, own[-1][2] + max(new, 0), at, end]
             else:
