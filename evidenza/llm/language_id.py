@@ -6,8 +6,8 @@ transitions, trained on sequences that switch between texts of several languages
 forward-backward gives each word's probabilities. A text's language is the one with the largest
 mean probability over its words, which is also the score.
 
-Training takes a bounded sample of labelled rows, drawn by a hash of doc_id over all of them:
-PER_LANGUAGE rows of each language, of at most TRAIN_CHARS characters each (longer rows are not
+Training takes a bounded sample of labelled rows, drawn by a hash of doc_id and text over all of them:
+PER_LANGUAGE rows of each of at most MOST_LANGUAGES languages, of at most TRAIN_CHARS characters each (longer rows are not
 drawn; predictions always take whole texts). Only text and label are learned from.
 
 Defined cases: null text, or text without a letter, gives `und` and score 0; with no labelled rows
@@ -17,7 +17,6 @@ repeated rows give repeated rows; other columns are kept, those with an output's
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +28,8 @@ from .common import arrow_batches, once, table, text_or_empty
 from .crf import ChainCRF
 from .memo import Memo, groups_by_chars
 
-PER_LANGUAGE, TRAIN_CHARS, LEXICON_WORDS = 160, 6000, 300
+PER_LANGUAGE, TRAIN_CHARS, LEXICON_WORDS, MOST_LANGUAGES = 160, 6000, 300, 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes below 0x80 that are not letters part words; what lies above belongs to words.
 PART = bytes(i + 32 if 0x41 <= i <= 0x5A else i if i >= 0x80 or 0x61 <= i <= 0x7A else 32 for i in range(256))
 
@@ -140,7 +138,7 @@ class Identifier:
             self.memo = Memo(self._emit, unload=_loaded.clear)
         k = len(self.labels)
         for group in groups_by_chars(texts):
-            split = [words_of(t) if LETTER.search(t) else [] for t in group]
+            split = [words_of(t) if any(map(str.isalpha, t)) else [] for t in group]
             sizes = np.array([len(w) for w in split], "int64")
             some = sizes > 0
             share = np.zeros((len(group), k))
@@ -156,14 +154,14 @@ class Identifier:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """A sample of PER_LANGUAGE rows or so of each language, bounded by the number of languages alone."""
+    """A sample of PER_LANGUAGE rows or so of each of the MOST_LANGUAGES most common languages; rows are drawn by a hash of id and text, equal ones once."""
     fit = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS) & F.col(id_col).isNotNull())
-    drawn = F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1 << 30))
-    have = {r[label_col]: r["count"] for r in fit.groupBy(label_col).count().collect()}
+    drawn = F.pmod(F.xxhash64(F.lit("language"), id_col, text_col), F.lit(1 << 30))
+    have = {r[label_col]: r["count"] for r in fit.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES).collect()}
     below = F.lit(0)
     for lang, n in sorted(have.items()):
         below = F.when(F.col(label_col) == lang, min(1 << 30, -(-(PER_LANGUAGE << 30) // n))).otherwise(below)
-    return [(r[text_col], r[label_col]) for r in fit.filter(drawn < below).select(text_col, label_col).collect()]
+    return [(r[text_col], r[label_col]) for r in fit.filter(drawn < below).select(text_col, label_col).distinct().collect()]
 
 
 def held_out(id_col: str = "doc_id"):

@@ -181,7 +181,7 @@ def test_suffix_automaton():
         for i, (state, n) in enumerate(automaton.statistics(text)):
             inside = lambda k, i=i: any(text[i + 1 - k : i + 1] == s[j : j + k] for s in held for j in range(len(s) - k + 1))
             assert n == max(k for k in range(i + 2) if not k or inside(k))
-            assert all(held[k][e + 1 - n : e + 1] == text[i + 1 - n : i + 1] for k, e in automaton.ends[state].items() if n)
+            assert all(held[k][e + 1 - n : e + 1] == text[i + 1 - n : i + 1] for k, places in automaton.ends[state].items() for e in places if n)
 
 
 def test_forward_backward_and_viterbi():
@@ -242,6 +242,18 @@ def test_languages_of_text_without_spaces():
         assert "".join(p.decode("utf-8", "surrogatepass") for p in cut) == word
 
 
+def test_texts_without_letters_have_no_language():
+    model = language_id.Identifier.train([("alpha beta gamma", "en"), ("uno dos tres", "es")])
+    found = [x[0] for x in model.predict(["½ ² ① Ⅷ 12", "", "12 +", "alpha ½", "天"])]
+    assert found[:3] == ["und"] * 3 and "und" not in found[3:]
+
+
+def test_training_rows_of_one_id(spark):
+    rows = [(7, f"text {i}", "en") for i in range(3000)] + [(7, "again", "en")] * 2000
+    found = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 20 < len(found) < 4 * language_id.PER_LANGUAGE and len(set(found)) == len(found)
+
+
 def test_secrets_without_digits():
     r = random.Random(10)
     code = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
@@ -289,6 +301,18 @@ def test_the_random_field_adds_and_spares():
     assert {k for _, _, k in spans[3]} >= {"phone"}
 
 
+def test_passages_that_recur_in_a_template_chain_at_their_next_place():
+    refrain = "all rights are hereby granted"
+    template = f"first clause one {refrain} second clause two {refrain} third clause three"
+    scanner = license_scan.Scanner({"x": [template]}, {"x": "no such phrase"})
+    for text, want in ((template, 1.0), (f"foreign {template} foreign", 1.0), (f"{refrain} foreign {refrain}", 0.0)):
+        spans = scanner._spans(np.array([scanner.vocabulary.get(w, -1) for w in license_scan.fold_words(text)]))
+        assert max([s[3] for s in spans], default=0.0) == want, text
+    cut = f"first clause one {refrain} foreign words {refrain} third clause three"
+    spans = scanner._spans(np.array([scanner.vocabulary.get(w, -1) for w in license_scan.fold_words(cut)]))
+    assert len(spans) == 1 and spans[0][1:3] == (0, 17)
+
+
 def test_numbers_without_a_valid_check_digit_are_no_cards():
     r = random.Random(12)
     numbers = [str(r.randint(10**15, 10**16 - 1)) for _ in range(400)]
