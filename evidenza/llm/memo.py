@@ -16,8 +16,8 @@ if hasattr(LIBC, "mallopt"):
     LIBC.mallopt(-8, 2)
 #: Entries of a generation; the last one is kept beside the one that fills: some 70 MB in all with keys and values.
 MEMO_ENTRIES = 100_000
-#: Characters that one call of a tokenizer gets, and of texts that are handled together.
-BATCH_CHARS, GROUP_CHARS = 1 << 18, 1 << 20
+#: Bytes that one call of a tokenizer gets; characters of texts that are handled together.
+BATCH_BYTES, GROUP_CHARS = 1 << 18, 1 << 20
 
 
 def settle() -> None:
@@ -75,8 +75,8 @@ class Memo:
             new = [w for w in new if w not in again]
             start, held = 0, 0
             for i, word in enumerate(new):
-                held += len(word) + 16
-                if held >= BATCH_CHARS or i == len(new) - 1:
+                held += (len(word.encode("utf-8", "surrogatepass")) if isinstance(word, str) else len(word)) + 16
+                if held >= BATCH_BYTES or i == len(new) - 1:
                     values = dict(zip(new[start : i + 1], self.compute(new[start : i + 1]), strict=True))
                     found.update(values)
                     self.kept.update(values)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_batches, table, text_or_empty
+from .common import arrow_batches, once, table, text_or_empty
 from .memo import Memo, groups_by_chars
 
 SPACE = "▁"
@@ -100,8 +100,22 @@ class PieceLengths:
         return out
 
 
+def groups_by_bytes(texts: list[str], most: int = WINDOW) -> Iterator[list[str]]:
+    """Consecutive texts in lists of about `most` bytes; a longer text stands alone."""
+    held, size = [], 0
+    for text in texts:
+        n = len(text.encode("utf-8", "surrogatepass"))
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += n
+    if held:
+        yield held
+
+
 class BatchLengths:
-    """Lengths by a tokenizers file; texts are encoded whole, in batches balanced by bytes."""
+    """Lengths by a tokenizers file, in batches balanced by bytes. Texts are encoded whole: no boundary is safe for every such file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -111,7 +125,7 @@ class BatchLengths:
         self.model.no_padding()
 
     def count(self, texts: list[str]) -> list[int]:
-        return [len(e) for group in groups_by_chars(texts) for e in self.model.encode_batch(group, add_special_tokens=False)]
+        return [len(e) for group in groups_by_bytes(texts) for e in self.model.encode_batch(group, add_special_tokens=False)]
 
 
 def counter(path: str):
@@ -129,7 +143,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
         for texts in batches:
             yield pd.Series(model.count(texts.tolist()), dtype="int64")
 
-    return df.withColumn(out_col, lengths(text_or_empty(text_col)))
+    return df.withColumn(out_col, once(lengths)(text_or_empty(text_col)))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
