@@ -1,7 +1,11 @@
 """A corpus pipeline of four stages: language, near copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but the last
-return the columns of documents.
+return the columns of documents, and no others.
+
+Defined cases of all stages: texts are read whole, however long; an empty table gives an empty result; equal rows
+are treated alike; columns whose names an operator uses for its results are kept as they came. Nulls, ties and
+repeated rows are stated with each stage.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ LEAST_SHARE = 0.4
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a missing label is filled in with what was found.
 
-    Where no document has a label, nothing can be learned, and only those without a letter go.
+    Null text and text without a letter go. Equal shares go to the language first in order; repeated rows stay as
+    often as they stand. Where no document has a label, nothing can be learned, and only those without a letter go.
     """
     arrow_batches(spark)
     model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
@@ -36,7 +41,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest doc_id. Rows without doc_id stay.
 
-    Different texts that share a doc_id are documents of their own, told apart by a hash of both.
+    Different texts that share a doc_id are documents of their own, told apart by a hash of both; of rows with equal
+    id and text one stays. Of several texts with the smallest doc_id of a group, the one with the smallest hash stays.
+    Null, empty and blank texts are near to nothing and stay.
     """
     arrow_batches(spark)
     keyed = docs.filter("doc_id is not null").withColumn("_row", F.xxhash64("doc_id", "text"))
@@ -48,14 +55,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, as often as they stand, personal data masked; null text stays null, n_chars is counted anew."""
     arrow_batches(spark)
     masked = redact(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of token sequences, with their places."""
+    """All documents, as often as they stand, as pieces of token sequences, with their places; null text packs as empty.
+
+    Ties between pieces of equal length are broken by doc_id, piece and start.
+    """
     import public_tokenizers
 
     arrow_batches(spark)
