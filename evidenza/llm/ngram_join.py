@@ -344,9 +344,12 @@ class NgramJoin:
             return pd.Series([similar(np.frombuffer(i, "<u8"), np.frombuffer(j, "<u8"), percent) for i, j in zip(x, y, strict=True)], dtype=bool)
 
         made = self.docs.filter("doc_id is not null").withColumn("slot", slot).mapInArrow(make, "doc_id long, s1 long, s2 long, keys binary")
-        keys = made.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+        keys = self.scratch.save(made.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).drop("s1", "s2"))  # so that a leader of many pairs is split
         left, right = keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka")), keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"))
-        return pairs.join(left, "a").join(right, "b").filter(linked("ka", "kb")).select("a", "b")
+        links = self.scratch.save(pairs.join(left, "a").join(right, "b").filter(linked("ka", "kb")).select("a", "b"))
+        self.scratch.drop(keys)
+        self.scratch.drop(pairs)
+        return links
 
     def run(self) -> DataFrame:
         save = self.scratch.save
@@ -361,7 +364,7 @@ class NgramJoin:
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         chained = posted.filter(F.col("before").isNotNull() & (F.col("before") != F.col("gid")) & self._sizes("n", "n_before")).select(*pair("gid", "before")).distinct()
         inside = sets.filter("rep <> gid").select(*pair("gid", "rep"))
-        links = save(self.verify(self.prefix_filter(chained, lead, True).union(inside)))
+        links = self.verify(self.prefix_filter(chained, lead, True).union(inside))
         parts = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch)
 
         member = save(sets.select("rep", "gid", "n", *BITS).join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", "n", *BITS, F.coalesce("component", "rep").alias("part")))
