@@ -104,21 +104,3 @@ def response_rows(inputs: DataFrame, provider: Callable[[], Provider], encoding:
     """(index, embedding, prompt_tokens) of inputs (index, text), as floats or base64."""
     out = inputs.withColumn("embedding", embed(F.col("text"), provider)).withColumn("prompt_tokens", usage_tokens(F.col("text")))
     return out.select("index", packed_base64("embedding").alias("embedding") if encoding == "base64" else "embedding", "prompt_tokens")
-
-
-def lsh_candidates(vectors: DataFrame, query: list[float], planes: int = 8, tables: int = 12, seed: int = 1) -> DataFrame:
-    """Claims that share all planes' sides with the query in some table: sign projections, wholly in column expressions."""
-    random = np.random.default_rng(seed).normal(size=(tables, planes, len(query)))
-    sides = (random @ np.asarray(query)) > 0
-
-    def side(plane: np.ndarray) -> Column:
-        terms = F.zip_with("values", F.array(*map(F.lit, map(float, plane))), lambda x, y: x.cast("double") * y)
-        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) > 0
-
-    hit = F.lit(False)
-    for t in range(tables):
-        same = F.lit(True)
-        for p in range(planes):
-            same = same & (side(random[t, p]) == bool(sides[t, p]))
-        hit = hit | same
-    return vectors.filter(hit)

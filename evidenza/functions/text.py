@@ -69,19 +69,33 @@ def sanitize_path(value: Column) -> Column:
     return F.regexp_replace(value, "[^A-Za-z0-9\\-_]", "_")
 
 
-def escape_field(value: Column) -> Column:
-    """Backslash, tab and line feed as two characters."""
-    return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
-
-
-#: A character of private use, which stands for an escaped backslash meanwhile.
-HELD = "\ue000"
+def escape_field(value: Column, returns: bool = False) -> Column:
+    """Backslash, tab and line feed as two characters; `returns`: carriage returns too, as segment files have them."""
+    out = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(out, F.lit("\r"), F.lit("\\r")) if returns else out
 
 
 def unescape_field(value: Column) -> Column:
-    """Undo escape_field."""
-    held = F.replace(value, F.lit("\\\\"), F.lit(HELD))
-    return F.replace(F.replace(F.replace(held, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit(HELD), F.lit("\\"))
+    """Undo escape_field, with or without carriage returns: what lies between escaped backslashes is decoded apart."""
+    parts = F.split(value, r"\\\\", -1)
+    plain = lambda p: F.replace(F.replace(F.replace(p, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(parts, plain), "\\")
+
+
+def url_decode(value: Column) -> Column:
+    """Plus signs to spaces, percent escapes to the bytes of UTF-8 text; null where an escape is broken."""
+    broken = value.rlike("%(?![0-9A-Fa-f]{2})")
+    return F.when(~broken, F.try_url_decode(value))
+
+
+def query_parameters(target: Column) -> Column:
+    """A map of the parameters of `path?a=b&c=d`, decoded; the last of equal names counts, a name alone has an empty value."""
+    raw = F.split_part(target, F.lit("?"), F.lit(2))
+    pairs = F.filter(F.split(raw, "&"), lambda p: p != "")
+    entry = lambda p: F.struct(url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("v"))
+    entries = F.transform(pairs, entry)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(last)
 
 
 def pack_strings(values: Column) -> Column:

@@ -48,6 +48,23 @@ def metadata(entities: list[str] | None, embeddings: list[str] | None) -> Column
     return F.coalesce(ok, F.lit(False))
 
 
+#: Columns of claims that filters read.
+METADATA = ("event_time_unix", "valid_from", "valid_to", "entities", "embedding_ids")
+
+
+def passes_options(columns: list[str]) -> Column:
+    """Time, entities and embedding ids by columns _time_from, _time_to, _entities and _embedding_ids, null where open."""
+    value = lambda c, kind: F.col(c) if c in columns else F.lit(None).cast(kind)
+    low, high = F.coalesce("_time_from", F.lit(-(1 << 63))), F.coalesce("_time_to", F.lit((1 << 63) - 1))
+    event, start, end = (value(c, "long") for c in METADATA[:3])
+    window = start.isNotNull() | end.isNotNull()
+    at = (event >= low) & (event <= high)
+    over = F.coalesce(start <= high, F.lit(True)) & F.coalesce(end >= low, F.lit(True))
+    time = F.when(F.col("_time_from").isNull() & F.col("_time_to").isNull(), True).when(low > high, False).when(event.isNotNull() & window, at & over).when(event.isNotNull(), at).when(window, over).otherwise(False)
+    any_of = lambda wanted, have, key: F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, True).otherwise(F.coalesce(F.arrays_overlap(F.transform(have, key), F.transform(wanted, key)), F.lit(False)))
+    return time & any_of(F.col("_entities"), value("entities", "array<string>"), index_key) & any_of(F.col("_embedding_ids"), value("embedding_ids", "array<string>"), F.trim)
+
+
 def stance_allows(mode: str) -> Column:
     return ~(F.col("contradicts") > F.col("supports")) if mode == "support_only" else F.lit(True)
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import index_key, tokenize
 from ..schema import Tables
+from ..sources.workspace import ranked
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -35,21 +43,48 @@ def graph_coverage(nodes: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, q: float) -> DataFrame:
-    """The sample at place round((n - 1) q) of the sorted samples, without gathering them: rank by a range sort's offsets."""
-    rows = values.select(column).filter(F.col(column).isNotNull()).repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id())
-    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1)
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.join(counts.select(F.col("_p").alias("_q"), F.col("_n").alias("_m")), F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
-    total = counts.agg(F.round((F.sum("_n") - 1) * q).cast("long").alias("_want"))
-    placed = own.join(F.broadcast(before), "_p").crossJoin(F.broadcast(total))  # one row per partition, and one row
-    return placed.filter(F.col("_r") + F.col("_before") == F.col("_want")).select(F.col(column).alias("value"))
+    """The sample at place round((n - 1) q) of the sorted samples, without gathering them."""
+    rows = ranked(values.select(column).filter(F.col(column).isNotNull()), column)
+    want = rows.agg(F.round((F.count("*") - 1) * q).cast("long").alias("_want"))
+    return rows.crossJoin(F.broadcast(want)).filter("_rank = _want").select(F.col(column).alias("value"))  # one row
+
+
+#: Rows of a key whose windows one task slides over, besides the window before them.
+SLIDE = 1 << 16
 
 
 def sliding_quantile(values: DataFrame, column: str, order: str, key: str, q: float, width: int = 2048) -> DataFrame:
-    """Nearest rank over the last `width` samples of each key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(width - 1), 0)
-    held = F.array_sort(F.collect_list(column).over(w))
-    return values.withColumn("quantile", F.element_at(held, (F.round((F.size(held) - 1) * q) + 1).cast("int")))
+    """Nearest rank over the last `width` samples of each key; null samples are none.
+
+    A key's rows are cut into stretches of SLIDE, each with the `width` - 1 rows before it, so a hot key is no one
+    task's; the sorted window is kept up to date row by row.
+    """
+    rows = ranked(values, key, order)
+    first = rows.groupBy(key).agg(F.min("_rank").alias("_first")).withColumnRenamed(key, "_key")
+    at = rows.join(first, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_at", F.col("_rank") - F.col("_first")).drop("_rank", "_first")
+    own = F.floor(F.col("_at") / SLIDE)
+    late = (F.floor((F.col("_at") + width - 1) / SLIDE)).cast("long")
+    dealt = at.withColumn("_cut", F.explode(F.sequence(own.cast("long"), late)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema) + ", quantile double"
+
+    names, slide = [*values.columns, "quantile"], SLIDE
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at", kind="stable")
+        cut, places, samples = int(part["_cut"].iloc[0]), part["_at"].to_numpy(), part[column].to_numpy("float64")
+        held: list[float] = []
+        out = np.full(len(part), np.nan)
+        for i, x in enumerate(samples):
+            if i >= width and not math.isnan(old := samples[i - width]):
+                held.pop(bisect.bisect_left(held, old))
+            if not math.isnan(x):
+                bisect.insort(held, x)
+            if held:
+                out[i] = held[int((len(held) - 1) * q + 0.5)]
+        mine = places >= cut * slide
+        return part.assign(quantile=pd.Series(out, part.index).astype(object).where(~np.isnan(out), None))[mine][names]
+
+    return dealt.groupBy("_key", "_cut").applyInPandas(run, schema)
 
 
 def visible_lag_ms(claims: DataFrame, now: int) -> DataFrame:
@@ -60,13 +95,25 @@ def visible_lag_ms(claims: DataFrame, now: int) -> DataFrame:
 def chain(events: DataFrame, order: str, payload: Column, key: str) -> DataFrame:
     """Hash-chained audit rows of each key: seq, prev_hash, hash.
 
-    A hash covers all before it, so a key's chain is folded in its order by one aggregate.
+    A hash covers all before it, so a key's chain is one task's, which streams over its rows in their order; memory
+    does not follow the chain's length.
     """
-    step = lambda s, p: F.struct(F.sha2(F.concat_ws("|", s["hash"], p), 256).alias("hash"), F.concat(s["out"], F.array(F.struct(p.alias("payload"), s["hash"].alias("prev_hash"), F.sha2(F.concat_ws("|", s["hash"], p), 256).alias("hash")))).alias("out"))
-    zero = F.struct(F.lit("0" * 64).alias("hash"), F.array().cast("array<struct<payload:string,prev_hash:string,hash:string>>").alias("out"))
-    grouped = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, payload.alias("payload")))).alias("rows"))
-    folded = grouped.select(key, F.aggregate(F.transform("rows", lambda r: r["payload"]), zero, step, lambda s: s["out"]).alias("chain"))
-    return folded.select(key, F.posexplode("chain").alias("seq", "c")).select(key, (F.col("seq") + 1).cast("long").alias("seq"), "c.payload", "c.prev_hash", "c.hash")
+    rows = events.select(key, F.col(order).alias("_order"), payload.alias("payload")).repartition(key).sortWithinPartitions(key, "_order", "payload")
+    schema = f"`{key}` {dict(events.dtypes)[key]}, seq long, payload string, prev_hash string, hash string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seq, last = object(), 0, "0" * 64
+        for batch in batches:
+            out = []
+            for k, text in zip(batch[key], batch["payload"], strict=True):
+                if k != now:
+                    now, seq, last = k, 0, "0" * 64
+                before, seq = last, seq + 1
+                last = hashlib.sha256(f"{before}|{text}".encode()).hexdigest()
+                out.append((k, seq, text, before, last))
+            yield pd.DataFrame(out, columns=[key, "seq", "payload", "prev_hash", "hash"])
+
+    return rows.drop("_order").mapInPandas(run, schema)
 
 
 def verify_chain(rows: DataFrame, key: str) -> DataFrame:
@@ -84,14 +131,21 @@ def verify_chain(rows: DataFrame, key: str) -> DataFrame:
 
 
 def index_stats(tables: Tables) -> DataFrame:
-    """One row per tenant: claims, distinct tokens, entities, embedding ids, event times, vectors."""
-    claims = tables.claims.withColumn("tokens", tokenize(F.col("canonical_text")))
-    terms = claims.select("tenant_id", F.explode("tokens").alias("x")).groupBy("tenant_id").agg(F.count_distinct("x").alias("terms"))
-    entities = claims.select("tenant_id", F.explode("entities").alias("x")).groupBy("tenant_id").agg(F.count_distinct(index_key(F.col("x"))).alias("entities"))
-    embeddings = claims.select("tenant_id", F.explode("embedding_ids").alias("x")).groupBy("tenant_id").agg(F.count_distinct("x").alias("embedding_ids"))
-    vectors = tables.vectors.join(tables.claims.select("claim_id", "tenant_id"), "claim_id").groupBy("tenant_id").agg(F.count("*").alias("vectors"))
-    base = tables.claims.groupBy("tenant_id").agg(F.count("*").alias("claims"), F.count("event_time_unix").alias("event_times"))
-    out = base
-    for part in (terms, entities, embeddings, vectors):
-        out = out.join(part, "tenant_id", "left")
-    return out.na.fill(0)
+    """One row per tenant: claims, distinct tokens, entities, embedding ids, event times, vectors.
+
+    Claims are read once: each gives the distinct values it holds, which are made distinct over all before they are counted.
+    """
+    claims = tables.claims.select("claim_id", "tenant_id", "event_time_unix", "entities", "embedding_ids", tokenize(F.col("canonical_text")).alias("tokens"))
+    kinds = {"terms": F.array_distinct("tokens"), "entities": F.array_distinct(F.transform("entities", index_key)), "embedding_ids": F.array_distinct("embedding_ids")}
+    tagged = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    one = F.array(F.struct(F.lit("claims").alias("kind"), F.lit(None).cast("string").alias("x")))
+    time = F.when(F.col("event_time_unix").isNotNull(), F.array(F.struct(F.lit("event_times").alias("kind"), F.lit(None).cast("string").alias("x")))).otherwise(F.array().cast("array<struct<kind:string,x:string>>"))
+    empty = F.array().cast("array<struct<kind:string,x:string>>")
+    values = claims.select("tenant_id", F.explode(F.concat(one, time, *(F.coalesce(tagged(k, v), empty) for k, v in kinds.items()))).alias("v"))
+    distinct = values.groupBy("tenant_id", "v.kind", "v.x").agg(F.count("*").alias("n"))
+    counted = distinct.groupBy("tenant_id").agg(
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("claims", "event_times")),
+        *(F.count_if((F.col("kind") == k) & F.col("x").isNotNull()).alias(k) for k in kinds),
+    )
+    vectors = tables.vectors.select("claim_id").join(tables.claims.select("claim_id", "tenant_id"), "claim_id").groupBy("tenant_id").agg(F.count("*").alias("vectors"))
+    return counted.join(vectors, "tenant_id", "left").na.fill(0, ["vectors"])

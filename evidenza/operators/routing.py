@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.hashing import ROUTING_BASIS, fnv1a
 from ..schema import ConflictError, StoreError
+from .projection import write_key
 
 ROLES, HEALTH = ("leader", "follower"), ("healthy", "degraded", "unavailable")
 PLACEMENT = "tenant_id string, shard_id long, epoch long, node_id string, role string, health string"
@@ -52,7 +55,12 @@ def shards_by_ring(tenant: Column, key: Column, shards: list[int], replicas: int
 
 def read_placements(spark: SparkSession, path: str) -> DataFrame:
     """Placement rows of a CSV file; raises on wrong columns, mixed epochs of a shard, or a node listed twice."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    return parse_placements(spark.read.text(path))
+
+
+def parse_placements(values: DataFrame) -> DataFrame:
+    """The same for lines (value); blank lines and comments are passed over."""
+    lines = values.select(F.trim("value").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     cut = F.split("line", ",", -1)
     parts = lines.select("line", F.size(cut).alias("n"), F.transform(cut, lambda c: F.trim(c)).alias("c"))
     rows = parts.select(
@@ -79,6 +87,37 @@ def placement_lines(placements: DataFrame) -> DataFrame:
     return placements.orderBy("tenant_id", "shard_id", "node_id").select(F.concat_ws(",", "tenant_id", F.col("shard_id").cast("string"), F.col("epoch").cast("string"), "node_id", "role", "health").alias("value"))
 
 
+def placements_from(spark: SparkSession, path: str | None, control_plane: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Placements of the control plane where there is one, else of the file."""
+    if control_plane is not None:
+        found = control_plane()
+        check_placements(found)
+        return found
+    if not path:
+        raise StoreError("placements need a control plane or a file")
+    return read_placements(spark, path)
+
+
+def claim_placements(claims: DataFrame, placements: DataFrame, shards: list[int], replicas: int = 1) -> DataFrame:
+    """Every placement of the shard that each claim (tenant_id, entities, claim_id) is written to."""
+    routed = claims.withColumn("key", write_key(F.col("entities"), F.col("claim_id")))
+    routed = routed.withColumn("shard_id", F.get(shards_by_ring(F.col("tenant_id"), F.col("key"), shards, replicas), F.lit(0)))
+    return routed.join(placements, ["tenant_id", "shard_id"])
+
+
+def local_writes(claims: DataFrame, placements: DataFrame, shards: list[int], node: str, policy: str = "one") -> DataFrame:
+    """(claim_id, shard_id, outcome): may this node write the claim?
+
+    No leader is healthy, too few replicas are healthy for the policy (degraded ones do not count), or another node leads.
+    """
+    state = placements.groupBy("tenant_id", "shard_id").agg(
+        F.count("*").alias("replicas"), F.count_if(F.col("health") == "healthy").alias("healthy"), F.max_by(F.when((F.col("role") == "leader") & (F.col("health") == "healthy"), F.col("node_id")), F.when((F.col("role") == "leader") & (F.col("health") == "healthy"), 1)).alias("leader")
+    )
+    routed = claims.withColumn("shard_id", F.get(shards_by_ring(F.col("tenant_id"), write_key(F.col("entities"), F.col("claim_id")), shards), F.lit(0)))
+    outcome = F.when(F.col("replicas").isNull(), "no_placement").when(F.col("leader").isNull(), "no_leader").when(F.col("healthy") < required(F.lit(policy), F.col("replicas")), "too_few_replicas").when(F.col("leader") != node, "not_leader").otherwise("accepted")
+    return routed.join(state, ["tenant_id", "shard_id"], "left").select("claim_id", "shard_id", outcome.alias("outcome"))
+
+
 def shard_ids(placements: DataFrame) -> DataFrame:
     return placements.select("shard_id").distinct().orderBy("shard_id")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions.hashing import fnv1a_hex
 from ..schema import IntegrityError
+from ..sources.workspace import ranked
 from .projection import tier
 
 TIERS = ("hot", "warm", "cold")
@@ -23,17 +27,12 @@ def preview(claims: DataFrame) -> DataFrame:
 def build(claims: DataFrame, size: int) -> DataFrame:
     """(tier, segment_id, claim_id): claims of a tier in order of claim_id, `size` to a segment.
 
-    Ranks come from a range sort over the tier and id with offsets by counted partition, so no tier is
-    numbered in one task.
+    Ranks come from a range sort over the tier and id, so no tier is numbered in one task.
     """
-    rows = preview(claims).repartitionByRange("tier", "claim_id").sortWithinPartitions("tier", "claim_id")
-    rows = rows.withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p", "tier").orderBy("claim_id")
-    counts = rows.groupBy("tier", "_p").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("tier").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = rows.withColumn("_r", F.row_number().over(own) - 1).join(F.broadcast(shift), ["tier", "_p"])  # a row per tier and partition
-    number = F.floor((F.col("_r") + F.col("_before")) / size).cast("long")
+    rows = ranked(preview(claims), "tier", "claim_id")
+    first = rows.groupBy("tier").agg(F.min("_rank").alias("_first"))
+    placed = rows.join(F.broadcast(first), "tier")  # a row per tier
+    number = F.floor((F.col("_rank") - F.col("_first")) / size).cast("long")
     return placed.select("tier", F.concat_ws("-", "tier", number.cast("string")).alias("segment_id"), "claim_id")
 
 
@@ -120,12 +119,47 @@ class SegmentStore:
             raise IntegrityError("segments and manifest differ")
         return self._data(found[-1])
 
-    def prune(self, keep: int = 2) -> list[int]:
-        """Remove all but the newest `keep` published generations, and what was never published before them."""
+    def _age_seconds(self, generation: int) -> float:
+        _, fs = self._files()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/generation={generation}")
+        return time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+
+    def prune(self, keep: int = 2, min_age_s: float = 0.0) -> list[int]:
+        """Remove generations before the newest but the newest `keep` published ones and those younger than `min_age_s`, which a reader may still read."""
         published = self.published()
         kept = set(published[-keep:])
-        gone = [g for g in self.generations() if g not in kept and published and g < published[-1]]
+        gone = [g for g in self.generations() if g not in kept and published and g < published[-1] and self._age_seconds(g) >= min_age_s]
         _, fs = self._files()
         for g in gone:
             fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/generation={g}"), True)
         return gone
+
+
+def maintain(spark: SparkSession, root: str, min_age_s: float, keep: int = 2) -> dict[str, list[int]]:
+    """A sweep over the tenants below `root`, each a segment store: what was removed of each."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tenants = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+    return {t: SegmentStore(spark, f"{root.rstrip('/')}/{t}").prune(keep, min_age_s) for t in tenants}
+
+
+class SegmentPrefilter:
+    """The claim ids of a tenant's published segments, looked up again after `ttl_s`; why there are none is said in `reason`."""
+
+    def __init__(self, store: SegmentStore, ttl_s: float = 1.0, clock: Callable[[], float] = time.monotonic):
+        self.store, self.ttl_s, self.clock = store, ttl_s, clock
+        self.read_at: float | None = None
+        self.generation: int | None = None
+        self.reason: str | None = None
+        self.refreshes = 0
+
+    def ids(self) -> DataFrame | None:
+        """Claim ids, or None if all claims have to be read: nothing published, or segments that differ from their manifest."""
+        if self.read_at is None or self.clock() - self.read_at >= self.ttl_s:
+            self.read_at, self.refreshes = self.clock(), self.refreshes + 1
+            try:
+                self.store.load()
+                self.generation, self.reason = self.store.published()[-1], None
+            except IntegrityError as error:
+                self.generation, self.reason = None, "missing_manifest" if "nothing" in str(error) else "invalid_segments"
+        return None if self.generation is None else self.store._data(self.generation).select("claim_id").distinct()

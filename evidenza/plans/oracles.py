@@ -187,12 +187,12 @@ count(DISTINCT lower(entity)) AS entities, count(DISTINCT embedding_id) AS embed
     "validate_claims": "SELECT CASE doc_id % 100 WHEN 1 THEN 'tenant_id' WHEN 2 THEN 'canonical_text' WHEN 3 THEN 'confidence' WHEN 4 THEN 'entities' WHEN 6 THEN 'valid_window' ELSE 'ok' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
     "validate_evidence": "SELECT CASE event_id % 10 WHEN 1 THEN 'source_quality' WHEN 2 THEN 'stance' WHEN 3 THEN 'span' WHEN 4 THEN 'span_order' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1",
     "extract_sentences": f"WITH {_SENTENCE_PARTS} SELECT doc_id, ordinal, sentence, CAST(place + strlen(raw) - strlen(regexp_replace(raw, '^\\s+', '')) AS BIGINT) AS span_start, CAST(place + strlen(raw) - (strlen(raw) - strlen(regexp_replace(raw, '\\s+$', ''))) - 1 AS BIGINT) AS span_end FROM ranked WHERE ordinal <= 32",
-    "extract_claims": f"WITH {_SENTENCE_PARTS} SELECT 'raw:' || lang || ':doc--' || CAST(doc_id AS VARCHAR) || ':c' || lpad(CAST(ordinal AS VARCHAR), 4, '0') AS claim_id, 'raw:' || lang || ':doc--' || CAST(doc_id AS VARCHAR) || ':e' || lpad(CAST(ordinal AS VARCHAR), 4, '0') AS evidence_id, 'sentence-' || CAST(ordinal AS VARCHAR) AS chunk_id, 'Doc #' || CAST(doc_id AS VARCHAR) AS doc_id FROM ranked JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE ordinal <= 3",
+    "extract_claims": f"WITH {_SENTENCE_PARTS} SELECT 'raw:' || lang || ':doc--' || CAST(doc_id AS VARCHAR) || ':c' || lpad(CAST(ordinal AS VARCHAR), 4, '0') AS claim_id, 'raw:' || lang || ':doc--' || CAST(doc_id AS VARCHAR) || ':e' || lpad(CAST(ordinal AS VARCHAR), 4, '0') AS evidence_id, 'sentence-' || CAST(ordinal AS VARCHAR) AS chunk_id, 'Doc #' || CAST(doc_id AS VARCHAR) AS doc_id FROM ranked JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE ordinal <= 32",
     "sanitize_ids": "SELECT page_id, CASE WHEN x = '' THEN 'raw' ELSE x END AS id, lower(trim(url)) AS key FROM (SELECT page_id, url, trim(left(lower(regexp_replace(url, '[^A-Za-z0-9_:-]', '-', 'g')), 24), '-') AS x FROM pages)",
     "replay_last_write": f"WITH {_LOG} SELECT claim_id, 't1' AS tenant_id, arg_max(body, \"offset\") AS canonical_text, max(\"offset\") AS \"offset\" FROM log WHERE kind = 'C' GROUP BY claim_id",
     "replay_vector_survival": f"WITH {_LOG}, v AS (SELECT claim_id, arg_max(body, \"offset\") AS body, max(\"offset\") AS latest FROM log WHERE kind = 'V' GROUP BY 1), c AS (SELECT claim_id, max(\"offset\") AS changed FROM log WHERE kind = 'C' GROUP BY 1) SELECT claim_id, CAST(body AS DOUBLE) AS first, CAST(2 AS BIGINT) AS n FROM v JOIN c USING (claim_id) WHERE latest > changed",
     "replication_window": f"WITH {_LOG} SELECT \"offset\", line FROM log WHERE \"offset\" >= 1000 AND \"offset\" < 1512",
-    "log_encode_claims": f"""{TABLES}, f AS (SELECT *, substr(canonical_text, 1, 200) AS body FROM claims)
+    "log_encode_claims": f"""{TABLES}, f AS (SELECT *, canonical_text AS body FROM claims)
 SELECT concat_ws(chr(9), 'C', claim_id, tenant_id, replace(replace(replace(body, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), '0.5', coalesce(CAST(event_time_unix AS VARCHAR), 'null'), CAST(strlen(entity) AS VARCHAR) || ':' || entity, CAST(strlen(embedding_id) AS VARCHAR) || ':' || embedding_id, 'null', coalesce(CAST(valid_from AS VARCHAR), 'null'), coalesce(CAST(valid_to AS VARCHAR), 'null'), 'null', 'null') AS line FROM f""",
     "commit_idempotency": "SELECT CASE WHEN o_orderkey % 2 <> 0 THEN 'new' WHEN o_orderstatus = 'O' THEN 'repeated' ELSE 'conflict' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "ack_quorum": "WITH a AS (SELECT event_id % 700 AS b, count(DISTINCT user_id % 5) AS acks FROM events GROUP BY 1), r AS (SELECT *, CASE b % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 5 END AS required FROM a) SELECT 'b' || CAST(b AS VARCHAR) AS commit_id, acks, CAST(required AS BIGINT) AS required, CASE WHEN acks >= required THEN 'quorum_met' ELSE 'pending' END AS status FROM r",
@@ -201,11 +201,10 @@ SELECT concat_ws(chr(9), 'C', claim_id, tenant_id, replace(replace(replace(body,
     "promote_replica": f"WITH {_PLACEMENTS}, t AS (SELECT tenant_id, shard_id FROM p WHERE node_id = 'node-1' AND role <> 'leader' AND health <> 'unavailable') SELECT p.tenant_id, p.shard_id, epoch + (t.shard_id IS NOT NULL)::BIGINT AS epoch, node_id, CASE WHEN t.shard_id IS NULL THEN role WHEN node_id = 'node-1' THEN 'leader' ELSE 'follower' END AS role, health FROM p LEFT JOIN t USING (tenant_id, shard_id)",
     "read_consistency": f"WITH {_PLACEMENTS} SELECT tenant_id, shard_id, count(*) FILTER (health <> 'unavailable') AS usable, CAST(2 AS BIGINT) AS required, count(*) FILTER (health <> 'unavailable') >= 2 AS met FROM p GROUP BY 1, 2",
     "access_decisions": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'revoked' WHEN c_custkey % 5 = 1 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 'allowed' ELSE 'forbidden' END WHEN c_custkey % 5 = 4 THEN 'unauthorized' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'allowed' ELSE 'forbidden' END AS decision FROM customer",
-    "recall_at_k": f"{TABLES}, x AS (SELECT claim_id, list_cosine_similarity(vals, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cos FROM vectors JOIN claims USING (claim_id) WHERE tenant_id = 'en' ORDER BY cos DESC, claim_id LIMIT 100) SELECT count(*) AS exact, count(*) FILTER (cos >= 0.05) AS hits, round(count(*) FILTER (cos >= 0.05) / count(*), 6) AS recall FROM x",
     "contradiction_f1": f"{_SIGNALS}, n AS (SELECT count(*) FILTER (contradicts > supports AND confidence < 0.5) AS tp, count(*) FILTER (contradicts > supports AND confidence >= 0.5) AS fp, count(*) FILTER (contradicts <= supports AND confidence < 0.5) AS fn FROM signals) SELECT tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n",
     "citation_coverage": f"{TABLES} SELECT count(*) AS n, count(*) FILTER (claim_id IN (SELECT claim_id FROM evidence)) AS covered, round(count(*) FILTER (claim_id IN (SELECT claim_id FROM evidence)) / count(*), 6) AS coverage FROM claims",
     "latency_quantile": "SELECT l_extendedprice AS value FROM lineitem ORDER BY l_extendedprice LIMIT 1 OFFSET (SELECT CAST(round((count(*) - 1) * 0.95) AS BIGINT) FROM lineitem)",
-    "sliding_latency": "SELECT event_id, round(w[CAST(round((len(w) - 1) * 0.95) + 1 AS BIGINT)], 6) AS quantile FROM (SELECT event_id, list_sort(list(value + 0.0) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)) AS w FROM events)",
+    "sliding_latency": "SELECT event_id, round(w[CAST(round((len(w) - 1) * 0.95) + 1 AS BIGINT)], 6) AS quantile FROM (SELECT event_id, list_sort(list(value + 0.0) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2047 PRECEDING AND CURRENT ROW)) AS w FROM events)",
     "visible_lag": f"{TABLES} SELECT round(avg(({TO} - event_time_unix) * 1000), 3) AS lag_ms FROM claims WHERE event_time_unix <= {TO}",
     "write_routing_key": "SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS claim_id, source AS key FROM documents",
     "audit_chain_verify": """WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS VARCHAR) || ',' || event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
@@ -222,3 +221,100 @@ UNION ALL SELECT 'tier_' || CASE WHEN confidence >= 0.85 THEN 'hot' WHEN confide
     "stream_event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value) + 0.0, 4) AS total FROM events GROUP BY 1, 2",
     "stream_ack_counts": "SELECT 'b' || CAST(event_id % 700 AS VARCHAR) AS commit_id, count(DISTINCT user_id % 5) AS acks FROM events GROUP BY 1",
 }
+
+# The hash over bytes, in 128-bit arithmetic modulo 2^64; bytes of a text by its hexadecimal digits.
+_NIBBLE = "(instr('0123456789ABCDEF', substr({h}, {i}, 1)) - 1)"
+
+
+def _bytes(text: str) -> str:
+    h = f"hex(encode({text}))"
+    return f"list_transform(range(1, strlen({text}) + 1), lambda i: 16 * {_NIBBLE.format(h=h, i='2 * i - 1')} + {_NIBBLE.format(h=h, i='2 * i')})"
+
+
+def _fnv(raw: str, basis: int = 14695981039346656037) -> str:
+    return f"list_reduce(list_prepend({basis}::UHUGEINT, list_transform({raw}, lambda b: b::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _little(n: str) -> str:
+    """A number below 256 as 8 bytes."""
+    return f"[{n}, 0, 0, 0, 0, 0, 0, 0]"
+
+
+_ROUTING = 1469598103934665603
+_RING = f"""points AS (SELECT s, {_fnv(_bytes("'shard:' || s::VARCHAR || ':vn:' || v::VARCHAR"), _ROUTING)} AS place FROM range(8) a(s), range(64) b(v)),
+ring AS (SELECT list(s ORDER BY place) AS owners, list(place ORDER BY place) AS places FROM points)"""
+_ROUTED = """turned AS (SELECT *, list_concat(owners[first:], owners[:first - 1]) AS turn FROM (SELECT *, CASE WHEN n = len(places) THEN 1 ELSE n + 1 END AS first FROM (SELECT h.*, ring.*, len(list_filter(places, lambda p: p < h.hash)) AS n FROM hashed h, ring)))"""
+
+
+def _signatures(bits: int) -> str:
+    """Bits of sign projections of the tenant's vectors and of the query's, by the planes' rule."""
+    m, two = "4294967296::UHUGEINT", "::UHUGEINT"
+    return f"""h0 AS (SELECT b, d, ((d + b * 64 + 1){two} * 2654435761) % {m} AS h FROM range({bits}) x(b), range(64) y(d)),
+h1 AS (SELECT b, d, (xor(h, h >> 15) * 2246822519::UHUGEINT) % {m} AS h FROM h0),
+h2 AS (SELECT b, d, (xor(h, h >> 13) * 3266489917::UHUGEINT) % {m} AS h FROM h1),
+planes AS (SELECT b, list(CASE WHEN h >> 31 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane FROM h2 GROUP BY b),
+mine AS (SELECT v.* FROM vectors v JOIN claims USING (claim_id) WHERE tenant_id = 'en'),
+bits AS (SELECT claim_id, b, list_dot_product(vals, plane) > 0 AS bit FROM mine, planes),
+asked AS (SELECT b, list_dot_product((SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {{vec}}), plane) > 0 AS bit FROM planes),
+apart AS (SELECT claim_id, count(*) FILTER (bits.bit <> asked.bit) AS apart FROM bits JOIN asked USING (b) GROUP BY 1)"""
+
+
+def _ann(vec: int, bits: int, budget: int, n: int) -> str:
+    return f"""{_signatures(bits).format(vec=vec)},
+reranked AS (SELECT claim_id, list_cosine_similarity(vals, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {vec})) AS cos FROM mine WHERE claim_id IN (SELECT claim_id FROM apart ORDER BY apart, claim_id LIMIT {budget})),
+annfound AS (SELECT claim_id, cos FROM reranked ORDER BY cos DESC, claim_id LIMIT {n})"""
+
+
+_BEST = "best AS (SELECT claim_id FROM (SELECT claim_id, list_cosine_similarity(vals, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cos FROM mine) ORDER BY cos DESC, claim_id LIMIT 100)"
+
+
+def _batch_of(i: int, **given) -> str:
+    return "SELECT * FROM (" + _retrieval(k=10, tail=f"SELECT CAST({i} AS BIGINT) AS query_id, row_number() OVER (ORDER BY score DESC, claim_id) AS rank, claim_id, round(score, 6) AS score FROM result", **given) + ")"
+
+
+ORACLES |= {
+    "hash_embeddings": f"""WITH words AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+'), lambda w: w <> '')) AS w FROM documents),
+hashes AS (SELECT w, {_fnv(_bytes('w'))} AS h FROM (SELECT DISTINCT w FROM words)),
+counts AS (SELECT doc_id, CAST(h % 64 AS BIGINT) AS "at", CAST(sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -1 ELSE 1 END) AS DOUBLE) AS x FROM words JOIN hashes USING (w) GROUP BY 1, 2),
+lengths AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM counts GROUP BY 1 HAVING sum(x * x) > 0)
+SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS claim_id, "at", CAST(CAST(x / norm AS FLOAT) AS DOUBLE) AS x FROM counts JOIN lengths USING (doc_id) WHERE x <> 0
+UNION ALL SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0'), 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lengths)""",
+    "payload_fingerprints": f"""WITH ids AS (SELECT doc_id // 100 AS "commit", 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id FROM documents),
+raw AS (SELECT "commit", list_concat({_little('count(*)')}, {_little('count(*)')}, flatten(list(list_concat({_little('strlen(id)')}, {_bytes('id')}) ORDER BY id))) AS raw FROM ids GROUP BY 1)
+SELECT "commit", lower(lpad(hex(CAST({_fnv('raw')} AS UBIGINT)), 16, '0')) AS fingerprint FROM raw""",
+    "ring_route": f"""WITH {_RING},
+keys AS (SELECT DISTINCT lang, source FROM documents),
+hashed AS (SELECT lang, source, {_fnv(_bytes("lang || '|' || source"), _ROUTING)} AS hash, CAST({_fnv(_bytes("lang || source"), _ROUTING)} % 8 AS BIGINT) AS modulo FROM keys),
+{_ROUTED},
+runs AS (SELECT *, list_filter(turn, lambda s, i: i = 1 OR s <> turn[i - 1]) AS run FROM turned),
+found AS (SELECT lang, source, modulo, list_concat([run[1]], list_filter(run[2:], lambda s: s <> run[1]))[1:3] AS shards FROM runs)
+SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS claim_id, array_to_string(shards, ',') AS shards, modulo FROM documents JOIN found USING (lang, source)""",
+    "write_admission": f"""WITH {_RING}, {_PLACEMENTS},
+docs AS (SELECT 't' || CAST(doc_id % 5 AS VARCHAR) AS tenant_id, source, count(*) AS n FROM documents GROUP BY 1, 2),
+hashed AS (SELECT tenant_id, source, n AS rows_, {_fnv(_bytes("tenant_id || '|' || source"), _ROUTING)} AS hash FROM docs),
+{_ROUTED},
+state AS (SELECT tenant_id, shard_id, count(*) AS replicas, count(*) FILTER (health = 'healthy') AS healthy, max(CASE WHEN role = 'leader' AND health = 'healthy' THEN node_id END) AS leader FROM p GROUP BY 1, 2)
+SELECT CASE WHEN replicas IS NULL THEN 'no_placement' WHEN leader IS NULL THEN 'no_leader' WHEN healthy < 2 THEN 'too_few_replicas' WHEN leader <> 'node-1' THEN 'not_leader' ELSE 'accepted' END AS outcome, CAST(sum(rows_) AS BIGINT) AS n
+FROM turned t LEFT JOIN state s ON s.tenant_id = t.tenant_id AND s.shard_id = t.turn[1] GROUP BY 1""",
+    "ann_vector_topk": f"{TABLES}, {_ann(0, 256, 40, 10)} SELECT claim_id, round(cos, 6) AS cos FROM annfound",
+    "recall_at_k": f"{TABLES}, {_ann(0, 1024, 1600, 100)}, {_BEST} SELECT count(*) AS exact, count(*) FILTER (claim_id IN (SELECT claim_id FROM annfound)) AS hits, round(count(*) FILTER (claim_id IN (SELECT claim_id FROM annfound)) / count(*), 6) AS recall FROM best",
+    "retrieve_inverted_range": "SELECT '' AS claim_id, 0.0::DOUBLE AS score, 0::BIGINT AS supports, 0::BIGINT AS contradicts, 0.0::DOUBLE AS quality WHERE false",
+    "retrieve_batch_filtered": "\nUNION ALL\n".join([
+        _batch_of(0, time=True), _batch_of(1, tenant="de", tokens=("der", "die", "und"), entities=["src1", "src7"], support_only=True), _batch_of(2, tokens=("thou", "reshes"), time=True, support_only=True),
+        _batch_of(3, tenant="fr", tokens=("le", "la", "zzzz"), entities=["src1", "src3"], embeddings=["emb-1", "emb-13", "emb-43"]),
+    ]),
+    "planner_debug": _retrieval(k=5, support_only=True, time=True, vector=0, tail=f"""SELECT (SELECT count(*) FROM own) AS tenant_claims, (SELECT count(*) FROM own WHERE list_has_any(toks, ['the', 'of', 'and'])) AS matched, (SELECT count(*) FROM own WHERE {_IN_RANGE}) AS allowed, (SELECT count(*) FROM cand) AS candidates,
+(SELECT count(*) FROM near) AS vector_candidates, CAST(4 AS BIGINT) AS query_tokens, CAST(100 AS BIGINT) AS vector_limit, true AS semantic, true AS time_filter, false AS metadata_filter, false AS allowed_filter, false AS short_circuit, 'support_only' AS stance_mode"""),
+    "validate_edges": "SELECT CASE o_orderkey % 10 WHEN 1 THEN 'strength' WHEN 2 THEN 'relation' WHEN 3 THEN 'to_claim_id' ELSE 'ok' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
+    "document_payloads": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN text END AS text FROM documents",
+    "request_targets": "SELECT doc_id, lang AS tenant_id, 'a b+ ' || source AS query, '7' AS top_k, '' AS flag, CAST(NULL AS VARCHAR) AS bad FROM documents",
+    "placement_file": f"WITH {_PLACEMENTS} SELECT tenant_id, shard_id, epoch, node_id, role, health FROM p",
+    "segment_manifest": f"{_SEGMENTS}, h AS (SELECT tier, n, claim_id, {_fnv(_bytes('claim_id'))} AS h FROM segs) SELECT tier, tier || '-' || CAST(n AS VARCHAR) AS segment_id, count(*) AS n_claims, CAST(sum(CAST(h // 16 AS HUGEINT)) AS VARCHAR) AS checksum FROM h GROUP BY 1, 2",
+    "checkpoint_replay": f"WITH {_LOG} SELECT claim_id, 't1' AS tenant_id, arg_max(body, ((\"offset\" % 4) // 2) * 1000000000 + \"offset\") AS canonical_text FROM log WHERE kind = 'C' GROUP BY claim_id",
+    "mirror_cold_start": f"WITH {_LOG}, v AS (SELECT claim_id, arg_max(body, \"offset\") AS body, max(\"offset\") AS latest FROM log WHERE kind = 'V' GROUP BY 1), c AS (SELECT claim_id, arg_max(body, \"offset\") AS canonical_text, max(\"offset\") AS changed FROM log WHERE kind = 'C' GROUP BY 1) SELECT claim_id, canonical_text, CASE WHEN latest > changed THEN CAST(body AS DOUBLE) END AS first FROM c LEFT JOIN v USING (claim_id)",
+}
+_NEAR = f"""{_ann(3, 1024, 100, 100)},
+near AS (SELECT claim_id FROM annfound)"""
+ORACLES["retrieve_semantic_ann"] = _retrieval(tokens=("thou", "reshes"), vector=3)
+_EXACT = ORACLES["retrieve_semantic_ann"].split("near AS (", 1)[1].split("),\ncand AS", 1)[0]
+ORACLES["retrieve_semantic_ann"] = ORACLES["retrieve_semantic_ann"].replace(f"near AS ({_EXACT})", _NEAR)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import embeddings, hashing
-from ..functions.text import index_key, sanitize_id, tokenize
-from ..functions.vectors import cosine, literal
+from ..functions.ann import AnnConfig
+from ..functions.text import index_key, query_parameters, sanitize_id, tokenize
+from ..schema import Tables
 from ..operators import extraction, filters, graph, metrics, projection, quality, ranking, routing, segments
-from ..sources import changelog, wire
+from ..sources import changelog, mirror, wire
 from ..sources.fixtures import claims, load, query_vector, table
+from ..sources.workspace import workspace
 from ..streaming import replication
-from .retrieve import Request, candidate_counts, candidates, citations, retrieve, retrieve_batch, vector_candidates, vector_limit
+from .retrieve import Request, ann_candidates, candidate_counts, candidates, citations, planner_snapshot, retrieve, retrieve_batch, vector_candidates, vector_limit
 
 QUERY = "the of and the"
 FROM, TO = 1704067200 + 86400, 1704067200 + 86400 * 20
@@ -333,7 +335,7 @@ def extract_sentences(spark, sf_dir):
 @query
 def extract_claims(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("tenant_id"), F.concat(F.lit("Doc #"), F.col("doc_id").cast("string")).alias("document_id"), F.col("source").alias("source_id"), "text")
-    found, evidence = extraction.claims_and_evidence(docs, max_claims=3)
+    found, evidence = extraction.claims_and_evidence(docs)
     return found.join(evidence, "claim_id").select("claim_id", "evidence_id", "chunk_id", "doc_id")
 
 
@@ -367,8 +369,7 @@ def replication_window(spark, sf_dir):
 
 @query
 def log_encode_claims(spark, sf_dir):
-    rows = claims(spark, sf_dir).withColumn("canonical_text", F.substring("canonical_text", 1, 200)).withColumn("confidence", F.lit(0.5))
-    return changelog.claim_lines(rows)
+    return changelog.claim_lines(claims(spark, sf_dir).withColumn("confidence", F.lit(0.5)))
 
 
 @query
@@ -425,10 +426,7 @@ def access_decisions(spark, sf_dir):
 @query
 def recall_at_k(spark, sf_dir):
     t, v = load(spark, sf_dir), query_vector(spark, sf_dir)
-    exact = vector_candidates(t, "en", v, 100)
-    own = t.vectors.join(t.claims.filter("tenant_id = 'en'").select("claim_id"), "claim_id")
-    near = own.withColumn("cos", cosine(F.col("values"), literal(v))).filter("cos >= 0.05").select("claim_id")
-    return quality.recall(near, exact).withColumn("recall", F.round("recall", 6))
+    return quality.recall(ann_candidates(t, "en", v, 100), vector_candidates(t, "en", v, 100)).withColumn("recall", F.round("recall", 6))
 
 
 @query
@@ -453,7 +451,7 @@ def latency_quantile(spark, sf_dir):
 @query
 def sliding_latency(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") + 0.0).alias("value"))
-    return quality.sliding_quantile(rows, "value", "event_id", "event_type", 0.95, 64).select("event_id", F.round("quantile", 6).alias("quantile"))
+    return quality.sliding_quantile(rows, "value", "event_id", "event_type", 0.95).select("event_id", F.round("quantile", 6).alias("quantile"))
 
 
 @query
@@ -497,13 +495,14 @@ def ingest_requests(spark, sf_dir):
 @query
 def hash_embeddings(spark, sf_dir):
     rows = claims(spark, sf_dir).select("claim_id", embeddings.embed(F.col("canonical_text"), lambda: embeddings.HashProvider(64)).alias("v"))
-    return rows.select("claim_id", F.posexplode("v").alias("at", "x")).filter("x <> 0")
+    return rows.select("claim_id", F.posexplode("v").alias("at", "x")).filter("x <> 0").select("claim_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"))
 
 
 @query
 def payload_fingerprints(spark, sf_dir):
-    rows = claims(spark, sf_dir).groupBy("tenant_id").agg(F.array_sort(F.collect_list("claim_id")).alias("ids"))
-    return rows.select("tenant_id", hashing.payload_fingerprint(F.size("ids").cast("long"), "ids").alias("fingerprint"))
+    """Commits of at most 100 claims."""
+    rows = claims(spark, sf_dir).groupBy(F.floor(F.substring("claim_id", 5, 8).cast("long") / 100).alias("commit")).agg(F.array_sort(F.collect_list("claim_id")).alias("ids"))
+    return rows.select("commit", hashing.payload_fingerprint(F.size("ids").cast("long"), "ids").alias("fingerprint"))
 
 
 @query
@@ -512,10 +511,98 @@ def ring_route(spark, sf_dir):
     return rows.select("claim_id", F.array_join(F.transform(routing.shards_by_ring(F.col("tenant_id"), F.col("key"), list(range(8)), 3), lambda s: s.cast("string")), ",").alias("shards"), routing.shard_by_modulo(F.col("tenant_id"), F.col("key"), 8).alias("modulo"))
 
 
+SMALL = AnnConfig(bits=256, factor=4, least=16)
+
+
 @query
-def lsh_vector_candidates(spark, sf_dir):
-    t = load(spark, sf_dir)
-    return embeddings.lsh_candidates(t.vectors, query_vector(spark, sf_dir)).select("claim_id")
+def ann_vector_topk(spark, sf_dir):
+    """Few candidates, so that not all vectors are reranked."""
+    return ann_candidates(load(spark, sf_dir), "en", query_vector(spark, sf_dir), 10, SMALL).select("claim_id", F.round("cos", 6).alias("cos"))
+
+
+@query
+def retrieve_semantic_ann(spark, sf_dir):
+    return _shown(retrieve(load(spark, sf_dir), Request("en", "thou reshes", 20, query_vector=query_vector(spark, sf_dir, 3), ann=AnnConfig(factor=1))))
+
+
+@query
+def retrieve_inverted_range(spark, sf_dir):
+    return _shown(retrieve(load(spark, sf_dir), Request("en", QUERY, 20, time_from=TO, time_to=FROM)))
+
+
+@query
+def retrieve_batch_filtered(spark, sf_dir):
+    asked = [(0, "en", "the of and the", FROM, TO, None, None, None), (1, "de", "der die und", None, None, ["SRC1 ", "src7"], None, "support_only"), (2, "en", "thou reshes", FROM, TO, None, None, "support_only"), (3, "fr", "le la zzzz", None, None, ["src1", "src3"], ["emb-1", "emb-13", "emb-43"], "balanced")]
+    schema = "query_id long, tenant_id string, query string, time_from long, time_to long, entities array<string>, embedding_ids array<string>, stance_mode string"
+    found = retrieve_batch(load(spark, sf_dir), spark.createDataFrame(asked, schema), 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "claim_id", F.round("score", 6).alias("score"))
+
+
+@query
+def planner_debug(spark, sf_dir):
+    return planner_snapshot(load(spark, sf_dir), Request("en", QUERY, 5, "support_only", FROM, TO, query_vector=query_vector(spark, sf_dir)))
+
+
+@query
+def validate_edges(spark, sf_dir):
+    n = F.substring("edge_id", 5, 20).cast("long") % 10
+    rows = load(spark, sf_dir).edges.withColumns({"strength": F.when(n == 1, 1.5).otherwise(F.col("strength")), "relation": F.when(n == 2, "odd").otherwise(F.col("relation")), "to_claim_id": F.when(n == 3, " ").otherwise(F.col("to_claim_id"))})
+    return rows.groupBy(F.coalesce(filters.edge_error(), F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query
+def document_payloads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    mime = F.element_at(F.array(*map(F.lit, ("text/plain; charset=utf-8", "Application/JSON", "image/png"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return docs.select("doc_id", extraction.document_text(mime, F.base64(F.encode("text", "UTF-8"))).alias("text"))
+
+
+@query
+def request_targets(spark, sf_dir):
+    target = F.concat(F.lit("/v1/retrieve?tenant_id="), "lang", F.lit("&query=a%20b%2B+"), "source", F.lit("&top_k="), F.col("doc_id").cast("string"), F.lit("&flag&top_k=%37"), F.when(F.col("doc_id") % 4 == 0, "&bad=%zz").otherwise(""))
+    p = table(spark, sf_dir, "documents").select("doc_id", query_parameters(target).alias("p"))
+    return p.select("doc_id", *(F.col("p")[k].alias(k) for k in ("tenant_id", "query", "top_k", "flag", "bad")))
+
+
+@query
+def placement_file(spark, sf_dir):
+    rows = _placements(spark)
+    lines = routing.placement_lines(rows).union(spark.createDataFrame([("# a comment",), ("  ",)], "value string"))
+    return routing.parse_placements(lines).select("tenant_id", "shard_id", "epoch", "node_id", "role", "health")
+
+
+@query
+def segment_manifest(spark, sf_dir):
+    return segments.manifest(segments.build(claims(spark, sf_dir).filter("tenant_id = 'en'"), 16))
+
+
+@query
+def write_admission(spark, sf_dir):
+    rows = claims(spark, sf_dir).select("claim_id", F.concat(F.lit("t"), (F.substring("claim_id", 5, 8).cast("long") % 5).cast("string")).alias("tenant_id"), "entities")
+    return routing.local_writes(rows, _placements(spark), list(range(8)), "node-1", "quorum").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def checkpoint_replay(spark, sf_dir):
+    """A log appended to, checkpointed, appended to again, and replayed."""
+    log = changelog.ChangeLog(spark, workspace(spark, "log"))
+    whole = _log(spark, sf_dir)
+    log.append(whole.filter("offset % 4 < 2").select("line", "offset"), "offset")
+    log.checkpoint()
+    log.append(whole.filter("offset % 4 >= 2").select("line", "offset"), "offset")
+    return changelog.claims(changelog.decode(log.read())).select("claim_id", "tenant_id", "canonical_text")
+
+
+@query
+def mirror_cold_start(spark, sf_dir):
+    """The mirror of a log's first half, and what the log has beyond it."""
+    log, half = _log(spark, sf_dir), 15000
+    records = changelog.decode(log.filter(F.col("offset") < half))
+    state = Tables(changelog.claims(records).drop("offset"), changelog.evidence(records), changelog.edges(records), changelog.vectors(records))
+    held = mirror.Mirror(spark, workspace(spark, "mirror"))
+    held.checkpoint(state, half)
+    found = mirror.cold_start(held, log)
+    return found.claims.join(found.vectors.select("claim_id", F.get("values", F.lit(0)).cast("double").alias("first")), "claim_id", "left").select("claim_id", "canonical_text", "first")
 
 
 def _events(spark, sf_dir):

@@ -1,18 +1,19 @@
 """Retrieval as one lazy plan: candidates, filters, scores, top k, projection.
 
 The tenant's filter reaches the scan. One aggregate over the tenant's tokens gives the corpus statistics
-and document frequencies of the query's terms; it is a single row. Evidence and edges are reduced to the
-candidates before they are aggregated.
+and document frequencies of the query's terms; it is a single row. Evidence and edges are reduced, by narrow columns
+alone, to claims that pass the filters before they are aggregated, so texts are read twice: for statistics and scores.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import ann
 from ..functions.text import tokenize, tokenize_text
-from ..functions.vectors import cosine, literal
+from ..functions.vectors import cosine_to
 from ..operators import filters, ranking
 from ..schema import STANCE_MODES, StoreError, Tables
 
@@ -28,14 +29,19 @@ class Request:
     entities: list[str] | None = None
     embedding_ids: list[str] | None = None
     query_vector: list[float] | None = field(default=None, repr=False)
+    #: Search signatures instead of all vectors, where these have them.
+    ann: ann.AnnConfig | None = None
 
     def check(self) -> None:
         if self.top_k <= 0:
             raise StoreError("top_k must be positive")
         if self.stance_mode not in STANCE_MODES:
             raise StoreError(f"stance_mode must be one of {STANCE_MODES}")
-        if self.time_from is not None and self.time_to is not None and self.time_from > self.time_to:
-            raise StoreError("time range is inverted")
+
+    @property
+    def empty(self) -> bool:
+        """An inverted time range holds nothing."""
+        return self.time_from is not None and self.time_to is not None and self.time_from > self.time_to
 
     @property
     def tokens(self) -> list[str]:
@@ -69,14 +75,26 @@ def vector_limit(top_k: int) -> int:
 def vector_candidates(tables: Tables, tenant_id: str, vector: list[float], n: int) -> DataFrame:
     """(claim_id, cos): the n nearest of a tenant, exact, ties by claim_id."""
     own = tables.claims.filter(F.col("tenant_id") == tenant_id).select("claim_id")
-    scored = tables.vectors.withColumn("cos", cosine(F.col("values"), literal(vector))).filter("cos is not null").select("claim_id", "cos")
-    return scored.join(own, "claim_id").orderBy(F.desc("cos"), "claim_id").limit(n)
+    scored = tables.vectors.join(own, "claim_id").select("claim_id", cosine_to(F.col("values"), vector).alias("cos")).filter("cos is not null")
+    return scored.orderBy(F.desc("cos"), "claim_id").limit(n)
+
+
+def ann_candidates(tables: Tables, tenant_id: str, vector: list[float], n: int, config: ann.AnnConfig = ann.AnnConfig()) -> DataFrame:
+    """The same by signatures; vectors without a signature column get one here."""
+    own = tables.claims.filter(F.col("tenant_id") == tenant_id).select("claim_id")
+    index = tables.vectors if "signature" in tables.vectors.columns else ann.indexed(tables.vectors, config)
+    return ann.nearest(index.join(own, "claim_id"), vector, n, config)
 
 
 def _tenant(tables: Tables, request: Request) -> DataFrame:
     return ranking.with_tokens(tables.claims.filter(F.col("tenant_id") == request.tenant_id))
 
 
+def _passes(request: Request) -> Column:
+    """The filters that need no text."""
+    return F.lit(not request.empty) & filters.matches_time(request.time_from, request.time_to) & filters.metadata(request.entities, request.embedding_ids)
+
+
 def candidates(tables: Tables, request: Request, allowed: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
     """The tenant's candidate claims with tokens and corpus statistics.
 
@@ -91,18 +109,19 @@ def candidates(tables: Tables, request: Request, allowed: DataFrame | None = Non
     else:
         hit = (F.col("n_matched") == 0) | ranking.has_any(F.col("pad"), query) if query else F.lit(True)
         if request.query_vector is not None:
-            near = vector_candidates(tables, request.tenant_id, request.query_vector, vector_limit(request.top_k)).select("claim_id", F.lit(True).alias("near"))
+            search = vector_candidates if request.ann is None else ann_candidates
+            near = search(tables, request.tenant_id, request.query_vector, vector_limit(request.top_k), *([request.ann] if request.ann else [])).select("claim_id", F.lit(True).alias("near"))
             found = found.join(near, "claim_id", "left")
             hit = hit | F.col("near").isNotNull()
         found = found.filter(hit)
-    found = found.filter(filters.matches_time(request.time_from, request.time_to)).filter(filters.metadata(request.entities, request.embedding_ids))
+    found = found.filter(_passes(request))
     if allowed is not None:
         found = found.join(allowed.select("claim_id").distinct(), "claim_id", "left_semi")
     return found.drop("near")
 
 
 def score(tables: Tables, request: Request, found: DataFrame) -> DataFrame:
-    ids, query = found.select("claim_id"), request.tokens
+    ids, query = tables.claims.filter(F.col("tenant_id") == request.tenant_id).filter(_passes(request)).select("claim_id"), request.tokens
     evidence = tables.evidence.join(ids, "claim_id", "left_semi")
     edges = tables.edges.join(ids, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("supports", "contradicts")} | {"quality": F.coalesce("quality", F.lit(0.0))}
@@ -111,7 +130,7 @@ def score(tables: Tables, request: Request, found: DataFrame) -> DataFrame:
     lexical = ranking.lexical_score(ranking.base_score(F.col("overlap"), F.col("supports"), F.col("contradicts"), F.col("quality"), F.col("confidence")), F.col("bm25"))
     if request.query_vector is None:
         return out.withColumn("score", lexical)
-    cos = tables.vectors.select("claim_id", cosine(F.col("values"), literal(request.query_vector)).alias("cos"))
+    cos = tables.vectors.join(ids, "claim_id", "left_semi").select("claim_id", cosine_to(F.col("values"), request.query_vector).alias("cos"))
     return out.join(cos, "claim_id", "left").withColumn("score", ranking.semantic_score(F.col("cos"), lexical))
 
 
@@ -141,12 +160,14 @@ def response(tables: Tables, results: DataFrame) -> DataFrame:
 def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFrame:
     """The k best claims of each row of `queries` (query_id, tenant_id, query), all in one plan.
 
-    Query tokens meet claim tokens by equi-joins, so the work follows the postings that match. A query of
-    which no token matches takes its whole tenant.
+    Query tokens meet claim tokens by equi-joins, so the work follows the postings that match. A query of which no
+    token matches takes its whole tenant. Optional columns, null where they do not count: time_from, time_to (inclusive),
+    entities, embedding_ids (arrays, any of them), stance_mode. Evidence and edges are reduced to the claims found.
     """
-    asked = queries.withColumn("qtokens", tokenize(F.col("query")))
-    used = asked.select("tenant_id").distinct()
-    own = ranking.with_tokens(tables.claims.join(F.broadcast(used), "tenant_id", "left_semi"))
+    given = {"time_from": "long", "time_to": "long", "entities": "array<string>", "embedding_ids": "array<string>", "stance_mode": "string"}
+    options = queries.select("query_id", *(F.col(c).cast(d).alias(f"_{c}") if c in queries.columns else F.lit(None).cast(d).alias(f"_{c}") for c, d in given.items()))
+    asked = queries.select("query_id", "tenant_id", tokenize(F.col("query")).alias("qtokens"))
+    own = ranking.with_tokens(tables.claims.join(asked.select("tenant_id").distinct(), "tenant_id", "left_semi"))
     stats = own.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.col("n_tokens").cast("double")), F.lit(1.0)).alias("avg_len"))
     terms = asked.select("query_id", "tenant_id", F.size("qtokens").alias("n_terms"), F.explode("qtokens").alias("token"))
     terms = terms.groupBy("query_id", "tenant_id", "n_terms", "token").agg(F.count("*").alias("times"))
@@ -156,18 +177,36 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     df = posted.groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))
     gain = F.col("times") * ranking.idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * 2.2) / (F.col("tf") + norm)
-    hits = terms.join(posted, ["tenant_id", "token"]).join(df, ["tenant_id", "token"]).join(F.broadcast(stats), "tenant_id")
+    hits = terms.join(posted, ["tenant_id", "token"]).join(df, ["tenant_id", "token"]).join(stats, "tenant_id")
     lexical = hits.groupBy("query_id", "tenant_id", "claim_id").agg(F.sum(gain).alias("bm25"), (F.sum("times") / F.first("n_terms")).alias("overlap"))
     missed = asked.select("query_id", "tenant_id").join(lexical.select("query_id").distinct(), "query_id", "left_anti")
     whole = missed.join(own.select("tenant_id", "claim_id"), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
-    found = lexical.union(whole).join(own.select("claim_id", "confidence"), "claim_id")
-    found = found.join(ranking.signals(tables.evidence, tables.edges), "claim_id", "left")
+    narrow = tables.claims.select("claim_id", "confidence", *(c for c in filters.METADATA if c in tables.claims.columns))
+    found = lexical.union(whole).join(narrow, "claim_id").join(options, "query_id")
+    found = found.filter(filters.passes_options(tables.claims.columns)).select("query_id", "tenant_id", "claim_id", "bm25", "overlap", "confidence", "_stance_mode")
+    hit = lexical.union(whole).select("claim_id").distinct()
+    evidence = tables.evidence.join(hit, "claim_id", "left_semi")
+    edges = tables.edges.join(hit, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
+    found = found.join(ranking.signals(evidence, edges), "claim_id", "left")
     found = found.withColumns({"supports": F.coalesce("supports", F.lit(0)), "contradicts": F.coalesce("contradicts", F.lit(0)), "quality": F.coalesce("quality", F.lit(0.0))})
+    found = found.filter(~F.coalesce(F.col("_stance_mode") == "support_only", F.lit(False)) | filters.stance_allows("support_only")).drop("_stance_mode")
     base = ranking.base_score(F.col("overlap"), F.col("supports"), F.col("contradicts"), F.col("quality"), F.col("confidence"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "claim_id")
     return found.withColumn("score", ranking.lexical_score(base, F.col("bm25"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def planner_snapshot(tables: Tables, request: Request, allowed: DataFrame | None = None) -> DataFrame:
+    """One row of what the plan does for a request: counts on the way, limits, and which parts are in use."""
+    counts = candidate_counts(tables, request, allowed)
+    vector = request.query_vector is not None
+    near = vector_candidates(tables, request.tenant_id, request.query_vector, vector_limit(request.top_k)).agg(F.count("*").alias("vector_candidates")) if vector else counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("vector_candidates"))
+    shown = counts.crossJoin(near)  # one row each
+    return shown.withColumns({
+        "query_tokens": F.lit(len(request.tokens)).cast("long"), "vector_limit": F.lit(vector_limit(request.top_k) if vector else 0).cast("long"), "semantic": F.lit(vector), "time_filter": F.lit(request.time_from is not None or request.time_to is not None),
+        "metadata_filter": F.lit(bool(request.entities or request.embedding_ids)), "allowed_filter": F.lit(allowed is not None), "short_circuit": F.lit(request.empty), "stance_mode": F.lit(request.stance_mode),
+    })
+
+
 def candidate_counts(tables: Tables, request: Request, allowed: DataFrame | None = None) -> DataFrame:
     """One row: claims of the tenant, claims with a query token, claims that pass the filters, candidates."""
     own, query = _tenant(tables, request), request.tokens

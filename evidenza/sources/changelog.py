@@ -7,12 +7,18 @@ edges are all kept, and a commit id must not return with another payload.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import escape_field, pack_floats, pack_strings, unescape_field, unpack_floats
+from ..operators.filters import claim_error, edge_error, evidence_error, vector_error
 from ..schema import ConflictError, StoreError
+from .workspace import ranked
 
+#: First line of a snapshot or an export as text.
 SNAPSHOT_HEADER = "SNAP\t1"
 KINDS = {"C": "claim", "E": "evidence", "G": "edge", "V": "vector", "B": "commit"}
 WIDTHS = {"C": (6, 8, 13), "E": (6, 9, 12), "G": (6,), "V": (3,), "B": (5,)}
@@ -149,13 +155,7 @@ def needs_resync(log: DataFrame, start: int) -> bool:
 
 def numbered(lines: DataFrame, first: int = 0, *order: str) -> DataFrame:
     """(offset, line): lines numbered in the given order without a task that holds them all."""
-    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
-    ranked = rows.withColumn("_id", F.monotonically_increasing_id())
-    parts = ranked.withColumn("_p", F.shiftright("_id", 33)).groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    shift = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = ranked.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(shift), "_p")
-    return placed.select((F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + first).alias("offset"), "line")
+    return ranked(lines, *order).select((F.col("_rank") + first).alias("offset"), "line")
 
 
 class ChangeLog:
@@ -196,6 +196,41 @@ class ChangeLog:
         out.write.mode("append").parquet(self._log(self.generation()))
         return first
 
+    def write(self, records: DataFrame) -> None:
+        records.write.mode("append").parquet(self._log(self.generation()))
+
+    def tail(self) -> DataFrame:
+        """What came after the newest snapshot."""
+        path = self._log(self.generation())
+        return self.spark.read.schema("offset long, line string").parquet(path) if self._fs().exists(self._path(f"log/{self.generation()}")) else self.spark.createDataFrame([], "offset long, line string")
+
+    def _files(self) -> set[str]:
+        path = self._path(f"log/{self.generation()}")
+        return {s.getPath().getName() for s in self._fs().listStatus(path)} if self._fs().exists(path) else set()
+
+    def rollback_point(self) -> tuple[int, frozenset[str]]:
+        """The generation and the files of its log as they are now."""
+        return self.generation(), frozenset(self._files())
+
+    def rollback(self, point: tuple[int, frozenset[str]]) -> None:
+        """Remove what was appended since; a checkpoint in between cannot be undone."""
+        g, kept = point
+        if g != self.generation():
+            raise StoreError("the log was checkpointed since")
+        for name in self._files() - kept:
+            self._fs().delete(self._path(f"log/{g}/{name}"), True)
+
+    def export(self) -> DataFrame:
+        """The whole log, for a follower that starts anew, under its generation."""
+        return self.read().withColumn("generation", F.lit(self.generation()))
+
+    def replace(self, export: DataFrame) -> int:
+        """Become the exported log: checked and written as a snapshot of its own, then switched to."""
+        decode(export).write.format("noop").mode("overwrite").save()
+        at = max(self.generation() + 1, (export.agg(F.max("generation")).first()[0] or 0))
+        export.select("offset", "line").write.mode("overwrite").parquet(f"{self.root}/snapshot/{at}")
+        return at
+
     def boundary(self) -> dict[str, int]:
         row = self.read().agg(F.count("*").alias("n"), F.coalesce(F.max("offset") + 1, F.lit(0)).alias("next_offset")).first()
         return {"records": row["n"], "next_offset": row["next_offset"], "generation": self.generation()}
@@ -211,24 +246,126 @@ class ChangeLog:
         numbered(lines.withColumn("part", order), 0, "part", "line").write.parquet(f"{self.root}/snapshot/{g + 1}")
         return g + 1
 
+    def snapshot_text(self, path: str) -> None:
+        """The state's records as text below the header, in one order."""
+        header = self.spark.createDataFrame([(-1, SNAPSHOT_HEADER)], "offset long, line string")
+        header.union(self.read().select("offset", "line")).repartitionByRange("offset").sortWithinPartitions("offset").select("line").write.text(path)
+
+
+def read_snapshot_text(spark: SparkSession, path: str) -> DataFrame:
+    """(offset, line) of a snapshot written as text; refused without its header."""
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    if not lines.filter(F.col("line") == SNAPSHOT_HEADER).limit(1).count():
+        raise StoreError("not a snapshot")
+    return numbered(lines.filter(F.col("line") != SNAPSHOT_HEADER), 0, "line")
+
+
+@dataclass(frozen=True)
+class CheckpointPolicy:
+    """Checkpoint when the log beyond the snapshot has this many records or bytes; none of either: never."""
+
+    records: int | None = None
+    bytes: int | None = None
+
 
-def ingest(log: ChangeLog, commit: str, claim_rows: DataFrame, lines: list[DataFrame], fingerprint: str, most: int = 128) -> str:
-    """One batch: refused if empty, too large or of several tenants; nothing is written twice under a commit id."""
-    facts = claim_rows.agg(F.count("*").alias("n"), F.count_distinct("tenant_id").alias("tenants"), F.array_sort(F.collect_set("claim_id")).alias("ids")).first() if claim_rows.limit(most + 1).count() <= most else None
-    if facts is None or not facts["n"]:
+def checkpoint_due(log: ChangeLog, policy: CheckpointPolicy) -> bool:
+    facts = log.tail().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes")).first()
+    return any(most is not None and now >= most for most, now in ((policy.records, facts["n"]), (policy.bytes, facts["bytes"])))
+
+
+def _refuse(rows: DataFrame | None, error, what: str) -> None:
+    wrong = rows.select(error.alias("error")).filter("error is not null").first() if rows is not None else None
+    if wrong:
+        raise StoreError(f"{what}: {wrong['error']}")
+
+
+def ingest(
+    log: ChangeLog, commit: str, claim_rows: DataFrame, evidence_rows: DataFrame | None = None, edge_rows: DataFrame | None = None, vector_rows: DataFrame | None = None,
+    fingerprint: str | None = None, most: int = 128, policy: CheckpointPolicy | None = None, publish: Callable[[DataFrame], object] | None = None,
+) -> str:
+    """One batch, all or nothing: claims with their evidence, edges and vectors.
+
+    Refused before anything is written: an empty or too large batch, claims of several tenants, a record that the
+    validation rejects, evidence or edges of claims that are neither in the batch nor in the log, a commit id that
+    stands for another payload. If the write or `publish` fails, the log is as it was. `policy` may ask for a checkpoint.
+    """
+    if claim_rows.limit(most + 1).count() > most:
+        raise StoreError("a batch needs 1 to %d items" % most)
+    facts = claim_rows.agg(F.count("*").alias("n"), F.count_distinct("tenant_id").alias("tenants"), F.array_sort(F.collect_set("claim_id")).alias("ids")).first()
+    if not facts["n"]:
         raise StoreError("a batch needs 1 to %d items" % most)
     if facts["tenants"] > 1:
         raise StoreError("a batch has one tenant")
-    known = commits(decode(log.read())).filter(F.col("commit_id") == commit).first()
+    _refuse(claim_rows.withColumns({c: F.lit(None).cast(kind) for c, kind in (("valid_from", "long"), ("valid_to", "long"), ("entities", "array<string>"), ("embedding_ids", "array<string>")) if c not in claim_rows.columns}), claim_error(), "claim")
+    if evidence_rows is not None:
+        _refuse(evidence_rows.withColumns({c: F.lit(None).cast("long") for c in ("span_start", "span_end") if c not in evidence_rows.columns}), evidence_error(), "evidence")
+    _refuse(edge_rows, edge_error(), "edge")
+    _refuse(vector_rows, vector_error(), "vector")
+    records = decode(log.read())
+    ids = claims(records).select("claim_id").union(claim_rows.select("claim_id"))
+    for rows, key, what in ((evidence_rows, "claim_id", "evidence"), (edge_rows, "from_claim_id", "edge"), (vector_rows, "claim_id", "vector")):
+        if rows is not None and rows.join(ids, rows[key] == ids["claim_id"], "left_anti").limit(1).count():
+            raise StoreError(f"{what} of an unknown claim")
+    parts = [claim_lines(claim_rows), *([evidence_lines(evidence_rows)] if evidence_rows is not None else []), *([edge_lines(edge_rows)] if edge_rows is not None else []), *([vector_lines(vector_rows)] if vector_rows is not None else [])]
+    mark = fingerprint or _payload_of(parts)
+    known = commits(records).filter(F.col("commit_id") == commit).first()
     if known:
-        if sorted(known["claim_ids"]) != facts["ids"]:
+        if sorted(known["claim_ids"]) != sorted([f"#{mark}", *facts["ids"]]):
             raise ConflictError("the commit id stands for another payload")
         return "repeated"
     spark = log.spark
-    mark = commit_lines(spark.createDataFrame([(commit, facts["n"], 0, facts["ids"])], "commit_id string, batch_size long, ts_unix_ms long, claim_ids array<string>"))
+    parts.append(commit_lines(spark.createDataFrame([(commit, facts["n"], 0, [f"#{mark}", *facts["ids"]])], "commit_id string, batch_size long, ts_unix_ms long, claim_ids array<string>")))
     whole = None
-    for i, part in enumerate([*lines, mark]):
+    for i, part in enumerate(parts):
         part = part.withColumn("part", F.lit(i))
         whole = part if whole is None else whole.union(part)
-    log.append(whole, "part", "line")
+    point = log.rollback_point()
+    try:
+        log.append(whole, "part", "line")
+        if publish:
+            publish(claim_rows)
+    except Exception:
+        log.rollback(point)
+        raise
+    if policy and checkpoint_due(log, policy):
+        log.checkpoint()
     return "committed"
+
+
+def _payload_of(parts: list[DataFrame]) -> str:
+    """A fingerprint of a batch's lines that their order does not change."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    row = whole.agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("s")).first()
+    return f"{row['n']}-{row['s']}"
+
+
+def apply_delta(log: ChangeLog, delta: DataFrame, next_offset: int) -> int:
+    """Append a leader's records (offset, line) all or nothing; refused where they leave a gap, overlap, or contradict the state."""
+    facts = delta.agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.count_distinct("offset").alias("distinct")).first()
+    here = log.boundary()["next_offset"]
+    if not facts["n"]:
+        return here
+    if facts["first"] != here or facts["last"] - facts["first"] + 1 != facts["n"] or facts["distinct"] != facts["n"] or facts["last"] + 1 != next_offset:
+        raise StoreError("the delta does not continue the log")
+    both = decode(log.read().union(delta.select("offset", "line")))
+    claims(both).write.format("noop").mode("overwrite").save()  # a claim that changes its tenant is refused here
+    if commits(both).filter("conflict").limit(1).count():
+        raise ConflictError("a commit id stands for another payload")
+    log.write(delta.select("offset", "line"))
+    return next_offset
+
+
+def pull(follower: ChangeLog, leader: ChangeLog, node: str, most: int = 512) -> dict[str, object]:
+    """One tick of a follower: the next records, or the whole log where its offset is beyond the leader's or the leader
+    made a checkpoint since; then the acknowledgement. A follower makes no checkpoints of its own."""
+    here, there = follower.boundary(), leader.boundary()
+    if here["next_offset"] > there["next_offset"] or there["generation"] > here["generation"]:
+        follower.replace(leader.export())
+        outcome, applied = "resync", follower.boundary()["next_offset"]
+    else:
+        delta = window(leader.read(), here["next_offset"], most)
+        applied = apply_delta(follower, delta, min(here["next_offset"] + most, there["next_offset"]))
+        outcome = "delta" if applied > here["next_offset"] else "idle"
+    return {"node": node, "outcome": outcome, "next_offset": applied, "lag": there["next_offset"] - applied}

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evidenza.plans.oracles import ORACLES
@@ -27,7 +28,7 @@ def _text(v):
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(_text(v) if v == v else "null" for v in row) for row in frame.itertuples(index=False))
+    return sorted(tuple("null" if v is None or pd.api.types.is_scalar(v) and pd.isna(v) else _text(v) for v in row) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

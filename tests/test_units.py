@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evidenza.functions import embeddings, hashing, text, vectors
+from evidenza.functions import ann, embeddings, hashing, text, vectors
 from evidenza.operators import extraction, filters, graph, metrics, quality, ranking, routing, segments
 from evidenza.plans.retrieve import Request, response, retrieve, vector_limit
 from evidenza.schema import ConflictError, IntegrityError, StoreError, Tables
@@ -118,12 +118,12 @@ def test_retrieval_fallbacks_and_filters(tables):
     assert ids(entities=["Z"]) == ["a2"] and ids(entities=[" X"], embedding_ids=["e2"]) == ["a2"]
     assert sorted(ids(time_from=150, time_to=200)) == ["a2"] and sorted(ids(time_from=100, time_to=100)) == ["a1", "a2"]
     assert ids(query="Company", top_k=1) == ids(query="Company")[:1]
-    assert ids(tenant_id="nobody") == []
+    assert ids(tenant_id="nobody") == [] and ids(time_from=200, time_to=100) == []
     assert "a1" in ids(query="weather", query_vector=[1.0, 0.0])
 
 
 def test_requests_are_checked():
-    for bad in ({"top_k": 0}, {"stance_mode": "odd"}, {"time_from": 2, "time_to": 1}):
+    for bad in ({"top_k": 0}, {"stance_mode": "odd"}):
         with pytest.raises(StoreError):
             Request("t", "q", **bad).check()
     assert Request.from_query({"tenant_id": "t", "query": "q", "entity_filters": "a, b"}).entities == ["a", "b"]
@@ -212,15 +212,140 @@ def test_old_record_widths(spark):
 def test_commits_are_idempotent(spark, tables, tmp_path):
     log = changelog.ChangeLog(spark, str(tmp_path / "log"))
     own = tables.claims.filter("tenant_id = 't'")
-    send = lambda rows: changelog.ingest(log, "k1", rows, [changelog.claim_lines(rows)], "f")
+    send = lambda rows: changelog.ingest(log, "k1", rows)
     assert send(own) == "committed" and send(own) == "repeated"
     with pytest.raises(ConflictError):
         send(own.limit(1))
     with pytest.raises(StoreError):
-        changelog.ingest(log, "k2", tables.claims, [], "f")
+        changelog.ingest(log, "k2", tables.claims)
     assert [r["commit_id"] for r in changelog.commit_ids(changelog.decode(log.read())).collect()] == ["k1"]
 
 
+def test_ingest_is_all_or_nothing(spark, tables, tmp_path):
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"))
+    own = tables.claims.filter("tenant_id = 't'")
+    known = own.select("claim_id")
+    evidence, edges = tables.evidence.join(known, "claim_id", "left_semi").drop("seq"), tables.edges.join(known.withColumnRenamed("claim_id", "from_claim_id"), "from_claim_id", "left_semi")
+    bad = [
+        {"claim_rows": own.withColumn("confidence", F.lit(2.0))}, {"evidence_rows": evidence.withColumn("stance", F.lit("odd"))}, {"evidence_rows": evidence.withColumn("claim_id", F.lit("nobody"))},
+        {"edge_rows": edges.withColumn("strength", F.lit(-1.0))}, {"vector_rows": spark.createDataFrame([("a1", [])], "claim_id string, values array<float>")}, {"claim_rows": own.limit(0)}, {"most": 1},
+    ]
+    for given in bad:
+        with pytest.raises(StoreError):
+            changelog.ingest(log, "k", **({"claim_rows": own} | given))
+    assert log.boundary()["records"] == 0
+
+    def fails(rows):
+        raise OSError("publishing failed")
+
+    with pytest.raises(OSError):
+        changelog.ingest(log, "k", own, evidence, edges, publish=fails)
+    assert log.boundary()["records"] == 0
+    assert changelog.ingest(log, "k", own, evidence, edges, tables.vectors.join(known, "claim_id", "left_semi")) == "committed"
+    n = log.boundary()["records"]
+    assert n == 1 + own.count() + evidence.count() + edges.count() + tables.vectors.join(known, "claim_id", "left_semi").count()
+    with pytest.raises(ConflictError):  # the same claims, other evidence
+        changelog.ingest(log, "k", own, evidence.limit(1))
+    assert changelog.ingest(log, "k2", own.limit(1), policy=changelog.CheckpointPolicy(records=n)) == "committed" and log.generation() == 1
+    assert not changelog.checkpoint_due(log, changelog.CheckpointPolicy(records=1, bytes=1)) and not changelog.checkpoint_due(log, changelog.CheckpointPolicy())
+    log.snapshot_text(str(tmp_path / "text"))
+    again = changelog.read_snapshot_text(spark, str(tmp_path / "text"))
+    assert sorted(r["line"] for r in again.collect()) == sorted(r["line"] for r in log.read().collect())
+    with pytest.raises(StoreError):
+        changelog.read_snapshot_text(spark, str(tmp_path / "log/log/0"))
+
+
+def test_followers_pull_and_resync(spark, tables, tmp_path):
+    leader, follower = (changelog.ChangeLog(spark, str(tmp_path / x)) for x in ("leader", "follower"))
+    lines = lambda log: sorted((r["offset"], r["line"]) for r in log.read().collect())
+    leader.append(changelog.claim_lines(tables.claims))
+    assert changelog.pull(follower, leader, "n1", 2) == {"node": "n1", "outcome": "delta", "next_offset": 2, "lag": tables.claims.count() - 2}
+    while changelog.pull(follower, leader, "n1", 2)["outcome"] != "idle":
+        pass
+    assert lines(follower) == lines(leader)
+    gap = spark.createDataFrame([(99, "G\te\ta\tb\tsupports\t0.5")], "offset long, line string")
+    with pytest.raises(StoreError):
+        changelog.apply_delta(follower, gap, 100)
+    moved = leader.boundary()["next_offset"]
+    with pytest.raises(Exception, match="changes its tenant"):
+        changelog.apply_delta(follower, spark.createDataFrame([(moved, "C\ta1\tother\ttext\t0.5\tnull")], "offset long, line string"), moved + 1)
+    assert lines(follower) == lines(leader)
+    leader.checkpoint()
+    leader.append(changelog.edge_lines(tables.edges))
+    assert changelog.pull(follower, leader, "n1")["outcome"] == "resync" and lines(follower) == lines(leader)
+    assert changelog.pull(follower, leader, "n1")["outcome"] == "idle"
+
+
+def test_segment_sweep_and_prefilter(spark, tables, tmp_path):
+    store = segments.SegmentStore(spark, str(tmp_path / "root/t1"))
+    now = [0.0]
+    seen = segments.SegmentPrefilter(store, 1.0, lambda: now[0])
+    assert seen.ids() is None and seen.reason == "missing_manifest"
+    for _ in range(4):
+        store.publish(segments.build(tables.claims, 2))
+    assert seen.ids() is None and seen.refreshes == 1
+    now[0] = 2.0
+    assert sorted(r[0] for r in seen.ids().collect()) == sorted(r[0] for r in tables.claims.select("claim_id").collect()) and seen.reason is None
+    assert segments.maintain(spark, str(tmp_path / "root"), 3600) == {"t1": []}
+    assert segments.maintain(spark, str(tmp_path / "root"), 0) == {"t1": [1, 2]} and store.published() == [3, 4]
+    spark.createDataFrame([("hot", "hot-0", "stray")], "tier string, segment_id string, claim_id string").write.mode("append").partitionBy("tier").parquet(f"{store.root}/generation=4/segments")
+    now[0] = 4.0
+    assert seen.ids() is None and seen.reason == "invalid_segments"
+
+
+def test_signatures_find_what_exact_search_finds(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 32))
+    rows = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("none", None), ("blank", []), ("short", [1.0])], "claim_id string, values array<double>")
+    index, config = ann.indexed(rows), ann.AnnConfig()
+    cos = x @ x[7] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[7])
+    best = {f"c{i:04d}" for i in np.argsort(-cos)[:100]}
+    found = ann.nearest(index, x[7].tolist(), 100, config).collect()
+    assert found[0]["claim_id"] == "c0007" and len(found) == 100 and len(best & {f["claim_id"] for f in found}) >= 98
+    assert [f["claim_id"] for f in ann.nearest(index, [2.0], 5).collect()] == ["short"]
+    assert ann.nearest(index, [2.0, 1.0, 1.0], 5).count() == 0
+    plain = rows.withColumn("signature", F.lit(None).cast("array<long>"))
+    assert ann.nearest(plain, x[7].tolist(), 3).first()["claim_id"] == "c0007"  # nothing is indexed: compared exactly
+    assert ann.AnnConfig(factor=2, least=10, most=50).budget(3) == 10 and ann.AnnConfig(factor=2, most=100).budget(90) == 100
+    with pytest.raises(StoreError):
+        ann.AnnConfig(bits=100)
+
+
+def test_targets_and_escapes(spark):
+    get = lambda t: one(spark, text.query_parameters(F.col("t")), t=t)
+    assert get("/a?x=1&y=a%20b+c&x=2&flag&=v") == {"x": "2", "y": "a b c", "flag": "", "": "v"}
+    assert get("/a") == {} and get("/a?q=%zz&ok=%C3%A9") == {"q": None, "ok": "é"}
+    for raw in ("\ue000", "a\\tb", "\\\\n", "tab\t\\", "line\nfeed\\t\\", "", "\\"):
+        assert one(spark, text.unescape_field(text.escape_field(F.col("t"))), t=raw) == raw
+        assert one(spark, text.unescape_field(text.escape_field(F.col("t"), True)), t=raw + "\r") == raw + "\r"
+
+
+def test_sliding_quantiles_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLIDE", 7)
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, r.random(), 0.5])) for i in range(200)]
+    found = quality.sliding_quantile(spark.createDataFrame(rows, "i long, k string, v double"), "v", "i", "k", 0.95, 10).collect()
+    for row in found:
+        last = [v for i, k, v in rows if k == row["k"] and i <= row["i"]][-10:]
+        held = sorted(v for v in last if v is not None)
+        assert row["quantile"] == (held[int((len(held) - 1) * 0.95 + 0.5)] if held else None)
+    assert len(found) == 200
+
+
+def test_writes_are_admitted_by_the_local_leader(spark):
+    rows = spark.createDataFrame([("c1", "t", ["x"]), ("c2", "t", ["x"]), ("c3", "u", [])], "claim_id string, tenant_id string, entities array<string>")
+    place = lambda *r: spark.createDataFrame(list(r), routing.PLACEMENT)
+    decide = lambda placements, policy="quorum": {r["claim_id"]: r["outcome"] for r in routing.local_writes(rows, placements, [0], "n1", policy).collect()}
+    three = lambda a, b, c: place(("t", 0, 1, "n1", "leader", a), ("t", 0, 1, "n2", "follower", b), ("t", 0, 1, "n3", "follower", c))
+    assert decide(three("healthy", "healthy", "degraded")) == {"c1": "accepted", "c2": "accepted", "c3": "no_placement"}
+    assert decide(three("healthy", "degraded", "degraded"))["c1"] == "too_few_replicas" and decide(three("healthy", "degraded", "degraded"), "one")["c1"] == "accepted"
+    assert decide(three("degraded", "healthy", "healthy"))["c1"] == "no_leader"
+    assert decide(place(("t", 0, 1, "n2", "leader", "healthy")))["c1"] == "not_leader"
+    assert routing.claim_placements(rows, three("healthy", "healthy", "healthy"), [0]).count() == 6
+    with pytest.raises(StoreError):
+        routing.placements_from(spark, None)
+
+
 def test_follower_stream(spark, tables, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("source", "target", "check"))
     lines = changelog.numbered(changelog.claim_lines(tables.claims), 0, "line")
