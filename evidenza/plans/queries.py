@@ -12,7 +12,7 @@ from ..functions.text import index_key, query_parameters, sanitize_id, tokenize
 from ..schema import Tables
 from ..operators import extraction, filters, graph, metrics, projection, quality, ranking, routing, segments
 from ..sources import changelog, mirror, wire
-from ..sources.fixtures import claims, load, query_vector, table
+from ..sources.fixtures import claims, documents, load, query_vector, table
 from ..sources.workspace import workspace
 from ..streaming import replication
 from .retrieve import Request, ann_candidates, candidate_counts, candidates, citations, planner_snapshot, retrieve, retrieve_batch, vector_candidates, vector_limit
@@ -328,13 +328,13 @@ def validate_evidence(spark, sf_dir):
 
 @query
 def extract_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return extraction.sentences(docs).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "sentence", "span_start", "span_end")
 
 
 @query
 def extract_claims(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("tenant_id"), F.concat(F.lit("Doc #"), F.col("doc_id").cast("string")).alias("document_id"), F.col("source").alias("source_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("lang").alias("tenant_id"), F.concat(F.lit("Doc #"), F.col("doc_id").cast("string")).alias("document_id"), F.col("source").alias("source_id"), "text")
     found, evidence = extraction.claims_and_evidence(docs)
     return found.join(evidence, "claim_id").select("claim_id", "evidence_id", "chunk_id", "doc_id")
 

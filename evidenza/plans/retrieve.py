@@ -16,6 +16,7 @@ from ..functions.text import tokenize, tokenize_text
 from ..functions.vectors import cosine_to
 from ..operators import filters, ranking
 from ..schema import STANCE_MODES, StoreError, Tables
+from ..sources.workspace import written
 
 
 @dataclass(frozen=True)
@@ -161,8 +162,9 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     """The k best claims of each row of `queries` (query_id, tenant_id, query), all in one plan.
 
     Query tokens meet claim tokens by equi-joins, so the work follows the postings that match. A query of which no
-    token matches takes its whole tenant. Optional columns, null where they do not count: time_from, time_to (inclusive),
-    entities, embedding_ids (arrays, any of them), stance_mode. Evidence and edges are reduced to the claims found.
+    token matches takes its whole tenant. Texts are read twice, for lengths and for the postings of the queries' tokens,
+    which are written once to the shared folder. Optional columns, null where they do not count: time_from, time_to (inclusive),
+    entities, embedding_ids (arrays, any of them), stance_mode. Evidence and edges are reduced to the claims of the tenants.
     """
     given = {"time_from": "long", "time_to": "long", "entities": "array<string>", "embedding_ids": "array<string>", "stance_mode": "string"}
     options = queries.select("query_id", *(F.col(c).cast(d).alias(f"_{c}") if c in queries.columns else F.lit(None).cast(d).alias(f"_{c}") for c, d in given.items()))
@@ -173,20 +175,20 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     terms = terms.groupBy("query_id", "tenant_id", "n_terms", "token").agg(F.count("*").alias("times"))
     wanted = terms.select("tenant_id", "token").distinct()
     posted = own.select("claim_id", "tenant_id", F.col("n_tokens").cast("double").alias("len"), F.explode(F.split(F.trim("pad"), "  ")).alias("token")).join(wanted, ["tenant_id", "token"])
-    posted = posted.groupBy("tenant_id", "token", "claim_id", "len").agg(F.count("*").alias("tf"))
+    posted = written(posted.groupBy("tenant_id", "token", "claim_id", "len").agg(F.count("*").alias("tf")), "postings")
     df = posted.groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))
     gain = F.col("times") * ranking.idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * 2.2) / (F.col("tf") + norm)
     hits = terms.join(posted, ["tenant_id", "token"]).join(df, ["tenant_id", "token"]).join(stats, "tenant_id")
     lexical = hits.groupBy("query_id", "tenant_id", "claim_id").agg(F.sum(gain).alias("bm25"), (F.sum("times") / F.first("n_terms")).alias("overlap"))
-    missed = asked.select("query_id", "tenant_id").join(lexical.select("query_id").distinct(), "query_id", "left_anti")
-    whole = missed.join(own.select("tenant_id", "claim_id"), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
+    missed = asked.select("query_id", "tenant_id").join(terms.join(df, ["tenant_id", "token"]).select("query_id").distinct(), "query_id", "left_anti")
+    whole = missed.join(tables.claims.select("tenant_id", "claim_id"), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
     narrow = tables.claims.select("claim_id", "confidence", *(c for c in filters.METADATA if c in tables.claims.columns))
     found = lexical.union(whole).join(narrow, "claim_id").join(options, "query_id")
     found = found.filter(filters.passes_options(tables.claims.columns)).select("query_id", "tenant_id", "claim_id", "bm25", "overlap", "confidence", "_stance_mode")
-    hit = lexical.union(whole).select("claim_id").distinct()
-    evidence = tables.evidence.join(hit, "claim_id", "left_semi")
-    edges = tables.edges.join(hit, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
+    ids = tables.claims.join(asked.select("tenant_id").distinct(), "tenant_id", "left_semi").select("claim_id")  # narrow columns of the tenants asked for
+    evidence = tables.evidence.join(ids, "claim_id", "left_semi")
+    edges = tables.edges.join(ids, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
     found = found.join(ranking.signals(evidence, edges), "claim_id", "left")
     found = found.withColumns({"supports": F.coalesce("supports", F.lit(0)), "contradicts": F.coalesce("contradicts", F.lit(0)), "quality": F.coalesce("quality", F.lit(0.0))})
     found = found.filter(~F.coalesce(F.col("_stance_mode") == "support_only", F.lit(False)) | filters.stance_allows("support_only")).drop("_stance_mode")

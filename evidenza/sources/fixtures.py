@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in fewer splits than there are cores, such as one small file, are dealt to all; larger ones stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _claim_id(number):
     return F.concat(F.lit("doc-"), F.lpad(number.cast("string"), 8, "0"))
 
@@ -18,7 +28,7 @@ def _claim_id(number):
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     start = F.lit(1704067200) + d * 1800
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         _claim_id(d).alias("claim_id"),
         F.col("lang").alias("tenant_id"),
         F.col("text").alias("canonical_text"),

@@ -37,6 +37,13 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to a folder of its own and read back, where several parts of a plan need it."""
+    path, schema = workspace(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` with `_rank`, their number from 0 in the given order (in the order they stand, without one).
 
