@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..schema import StoreError
 from .hashing import hash_embedding
 from .text import usage_tokens
 
@@ -33,6 +34,47 @@ class HashProvider:
         return hash_embedding(self.dimensions, self.lower).func(pd.Series(texts, dtype=object)).tolist()
 
 
+class CommandProvider:
+    """Vectors that a shell command prints for each text: numbers between commas or spaces, with or without brackets."""
+
+    name = "command"
+
+    def __init__(self, command: str, dimensions: int | None = None):
+        self.command, self.dimensions = command, dimensions
+
+    @staticmethod
+    def parse(printed: str) -> list[float]:
+        bare = printed.strip()
+        if not bare:
+            raise StoreError("the embedding command printed nothing")
+        out = []
+        for token in bare.lstrip("[").rstrip("]").replace(",", " ").split():
+            try:
+                with np.errstate(over="ignore"):
+                value = float(np.float32(token))
+            except ValueError:
+                raise StoreError(f"the embedding command printed no number: {token}") from None
+            if not np.isfinite(value):
+                raise StoreError("the embedding command printed a number that is not finite")
+            out.append(value)
+        if not out:
+            raise StoreError("the embedding command printed no numbers")
+        return out
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        from ..operators.extraction import run_command
+
+        found = []
+        for text in texts:
+            printed, error = run_command(self.command, text.encode())
+            if error:
+                raise StoreError(error)
+            found.append(self.parse(printed))
+            if self.dimensions and len(found[-1]) != self.dimensions:
+                raise StoreError(f"the embedding has {len(found[-1])} dimensions, not {self.dimensions}")
+        return found
+
+
 class CircuitOpenError(RuntimeError):
     pass
 

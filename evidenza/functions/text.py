@@ -54,6 +54,14 @@ def index_key(value: Column) -> Column:
     return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: What trimming takes away at the ends.
+BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(value: Column) -> Column:
+    return F.trim(value, F.lit(BLANKS))
+
+
 def normalize_whitespace(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, "(?U)\\s+", " "))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import SENTENCE_END, decode_base64, normalize_whitespace, sanitize_id
+from ..functions.text import SENTENCE_END, decode_base64, normalize_whitespace, sanitize_id, trimmed
 
 MIN_CHARS, MAX_CLAIMS, MOST_CLAIMS = 24, 32, 512
 TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml", "application/csv", "application/markdown")
@@ -65,6 +65,60 @@ def document_text(mime: Column, payload: Column) -> Column:
     return F.when(kind.startswith("text/") | kind.isin(*TEXT_TYPES), F.decode(decode_base64(payload), "UTF-8"))
 
 
+#: Variable of a parser command's environment that holds the document's type.
+MIME_VARIABLE = "DOCUMENT_MIME_TYPE"
+
+
+def parse_documents(requests: DataFrame, command: str | None = None, variable: str = MIME_VARIABLE) -> DataFrame:
+    """Document requests (mime_type, text, content_base64) with `body`, `parser` and, where there is no text, `error`.
+
+    Text given in the request counts first; else the payload is decoded. Text types are UTF-8; other types go as bytes
+    to `command`, a shell command that prints their text, and are an error without one. What the request holds besides
+    is kept. Texts are trimmed.
+    """
+    kind = F.lower(trimmed(F.coalesce("mime_type", F.lit(""))))
+    plain = F.split_part(kind, F.lit(";"), F.lit(1))
+    given, payload = trimmed(F.coalesce("text", F.lit(""))), F.regexp_replace(F.coalesce("content_base64", F.lit("")), "(?U)\\s+", "")
+    broken = payload.rlike("[^A-Za-z0-9+/_=-]") | payload.rlike("=[^=]") | (F.length(F.regexp_replace(payload, "=", "")) % 4 == 1)
+    rows = requests.withColumns({"_kind": kind, "_text": F.trim(plain).startswith("text/") | F.trim(plain).isin(*TEXT_TYPES), "_raw": F.when((given == "") & (payload != "") & ~broken, decode_base64(payload))})
+    error = F.when(kind == "", "mime_type is required").when(given != "", None).when(payload == "", "either text or content_base64 is required").when(broken, "content_base64 is not valid")
+    utf8 = F.is_valid_utf8(F.col("_raw").cast("string")) if hasattr(F, "is_valid_utf8") else F.lit(True)
+    body = F.when(given != "", given).when(F.col("_text") & utf8, trimmed(F.decode("_raw", "UTF-8")))
+    parser = F.when(given != "", "inline_text").when(F.col("_text"), "builtin").when(F.lit(command is not None), "command")
+    error = error.when(given != "", None).when(F.col("_text") & ~utf8, "payload is not valid UTF-8").when(~F.col("_text") & F.lit(command is None), F.concat(F.lit("no parser for "), kind))
+    rows = rows.withColumns({"body": body, "parser": parser, "error": error})
+    if command is not None:
+        rows = rows.withColumn("_out", _commanded(command, variable)(F.when(F.col("error").isNull() & (F.col("parser") == "command"), F.col("_raw")), F.col("_kind")))
+        rows = rows.withColumns({"error": F.coalesce("error", "_out.error"), "body": F.coalesce("body", trimmed(F.col("_out.text")))}).drop("_out")
+    empty = F.col("error").isNull() & (F.coalesce("body", F.lit("")) == "")
+    rows = rows.withColumn("error", F.when(empty, "document parser yielded empty text").otherwise(F.col("error")))
+    return rows.withColumn("body", F.when(F.col("error").isNull(), F.col("body"))).drop("_kind", "_text", "_raw")
+
+
+def _commanded(command: str, variable: str):
+    @F.pandas_udf("text string, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for raws, kinds in batches:
+            yield pd.DataFrame([run_command(command, raw, {variable: kind}) if raw is not None else (None, None) for raw, kind in zip(raws, kinds, strict=True)], columns=["text", "error"])
+
+    return run.asNondeterministic()
+
+
+def run_command(command: str, given: bytes, environment: dict[str, str] | None = None) -> tuple[str | None, str | None]:
+    """What a shell command prints for the given input, or what went wrong."""
+    import os
+    import subprocess
+
+    out = subprocess.run(["sh", "-c", command], input=bytes(given), capture_output=True, env=os.environ | (environment or {}), check=False)
+    if out.returncode:
+        said = out.stderr.decode(errors="replace").strip()
+        return None, f"command exited with status {out.returncode}" + (f": {said}" if said else "")
+    try:
+        return out.stdout.decode(), None
+    except UnicodeDecodeError:
+        return None, "command output is not valid UTF-8"
+
+
 def by_command(rows: DataFrame, command: list[str], text_col: str = "text", out_col: str = "line") -> DataFrame:
     """Each text through an external command's standard input; one row per line that it prints."""
     kept = [c for c in rows.columns if c not in (text_col, out_col)]

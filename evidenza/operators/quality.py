@@ -38,6 +38,12 @@ def coverage(rows: DataFrame, covered: Column) -> DataFrame:
     return counts.withColumn("coverage", F.coalesce(F.col("covered") / F.nullif("n", F.lit(0)), F.lit(0.0)))
 
 
+def span_coverage(results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Of results (claim_id) the share with evidence that names its document and the span in it."""
+    spanned = evidence.filter("doc_id is not null and span_start is not null and span_end is not null").select("claim_id").distinct().withColumn("spanned", F.lit(True))
+    return coverage(results.select("claim_id").join(spanned, "claim_id", "left"), F.col("spanned").isNotNull())
+
+
 def graph_coverage(nodes: DataFrame) -> DataFrame:
     return nodes.agg((F.count("graph_score") / F.nullif(F.count("*"), F.lit(0))).alias("coverage"), F.max("support_path_count").alias("most_paths"), F.max("contradiction_chain_depth").alias("deepest"))
 

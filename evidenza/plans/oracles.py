@@ -318,3 +318,17 @@ near AS (SELECT claim_id FROM annfound)"""
 ORACLES["retrieve_semantic_ann"] = _retrieval(tokens=("thou", "reshes"), vector=3)
 _EXACT = ORACLES["retrieve_semantic_ann"].split("near AS (", 1)[1].split("),\ncand AS", 1)[0]
 ORACLES["retrieve_semantic_ann"] = ORACLES["retrieve_semantic_ann"].replace(f"near AS ({_EXACT})", _NEAR)
+
+ORACLES |= {
+    "baseline_hybrid_top": f"{TABLES} SELECT claim_id, round({_OVERLAP}, 6) AS overlap FROM tokens JOIN claims USING (claim_id, tenant_id) WHERE tenant_id = 'en' AND lower(entity) IN ('src1', 'src3') AND embedding_id IN ('emb-1', 'emb-13', 'emb-43') ORDER BY overlap DESC, claim_id LIMIT 1",
+    "api_answer": _retrieval(k=5, time=True, tail="SELECT 1").rsplit("SELECT 1", 1)[0] + f""", start AS (SELECT claim_id FROM result), depths AS (SELECT claim_id AS node, 0 AS depth FROM start), {_reasoning(1)}
+SELECT r.claim_id, round(r.score, 6) AS score, round(r.quality, 6) AS quality, CASE WHEN r.supports + r.contradicts > 0 THEN round(r.contradicts / (r.supports + r.contradicts), 6) END AS risk, round(graph_score, 6) AS graph_score,
+CAST(r.supports AS BIGINT) AS supports, CAST(r.contradicts AS BIGINT) AS contradicts, (SELECT count(*) FROM evidence e WHERE e.claim_id = r.claim_id) AS citations, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band,
+CASE WHEN r.supports > r.contradicts THEN 'supports' WHEN r.contradicts > r.supports THEN 'contradicts' WHEN r.supports > 0 THEN 'balanced' END AS dominant,
+CASE WHEN event_time_unix IS NOT NULL AND ({_HAS}) THEN 'event_and_validity_window' WHEN event_time_unix IS NOT NULL THEN 'event_time' WHEN {_HAS} THEN 'validity_window' ELSE 'no_temporal_data' END AS temporal_mode, {_IN_RANGE} AS in_range,
+paths, depth, CASE WHEN confidence >= 0.3 THEN 'base' ELSE 'delta' END AS origin FROM result r JOIN own USING (claim_id) JOIN scores USING (claim_id)""",
+    "span_coverage": f"WITH {_SENTENCE_PARTS}, kept_ AS (SELECT doc_id FROM ranked WHERE ordinal <= 32) SELECT count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS covered, round(count(*) FILTER (doc_id % 10 <> 0) / count(*), 6) AS coverage FROM kept_",
+    "parse_document_requests": """SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN 'inline ' || CAST(doc_id AS VARCHAR) WHEN 7 THEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)) END AS body,
+CASE WHEN doc_id % 8 = 2 THEN 'inline_text' WHEN doc_id % 8 > 1 THEN 'builtin' END AS parser,
+CASE doc_id % 8 WHEN 0 THEN 'mime_type is required' WHEN 1 THEN 'no parser for application/pdf' WHEN 3 THEN 'either text or content_base64 is required' WHEN 4 THEN 'content_base64 is not valid' WHEN 5 THEN 'document parser yielded empty text' WHEN 6 THEN 'payload is not valid UTF-8' END AS error FROM documents""",
+}

@@ -15,7 +15,7 @@ from ..sources import changelog, mirror, wire
 from ..sources.fixtures import claims, documents, load, query_vector, table
 from ..sources.workspace import workspace
 from ..streaming import replication
-from .retrieve import Request, ann_candidates, candidate_counts, candidates, citations, planner_snapshot, retrieve, retrieve_batch, vector_candidates, vector_limit
+from .retrieve import Request, ann_candidates, api_query, candidate_counts, candidates, citations, planner_snapshot, retrieve, retrieve_batch, vector_candidates, vector_limit
 
 QUERY = "the of and the"
 FROM, TO = 1704067200 + 86400, 1704067200 + 86400 * 20
@@ -88,6 +88,40 @@ def baseline_overlap_top(spark, sf_dir):
     return scored.orderBy(F.desc("overlap"), "claim_id").limit(1)
 
 
+@query
+def baseline_hybrid_top(spark, sf_dir):
+    own = ranking.with_tokens(claims(spark, sf_dir).filter("tenant_id = 'en'").filter(filters.metadata([" SRC1 ", "src3"], ["emb-1", "emb-13", "emb-43"])))
+    scored = own.select("claim_id", F.round(ranking.overlap(F.col("pad"), QUERY.split()), 6).alias("overlap"))
+    return scored.orderBy(F.desc("overlap"), "claim_id").limit(1)
+
+
+@query
+def api_answer(spark, sf_dir):
+    t = load(spark, sf_dir)
+    found = api_query(t, Request("en", QUERY, 5, time_from=FROM, time_to=TO), _base(t.claims.filter("tenant_id = 'en'")))
+    rounded = [F.round(c, 6).alias(c) for c in ("score", "quality", "risk", "graph_score")]
+    return found.select("claim_id", *rounded, F.col("supports").cast("long").alias("supports"), F.col("contradicts").cast("long").alias("contradicts"), F.size("citations").cast("long").alias("citations"), "band", "dominant", "temporal_mode", "in_range", F.col("support_path_count").cast("long").alias("paths"), F.col("contradiction_chain_depth").cast("long").alias("depth"), "origin")
+
+
+@query
+def span_coverage(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(F.col("lang").alias("tenant_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_id"), "text")
+    found, evidence = extraction.claims_and_evidence(docs)
+    spoiled = evidence.withColumn("span_end", F.when(F.col("doc_id").cast("long") % 10 != 0, F.col("span_end")))
+    return quality.span_coverage(found, spoiled).withColumn("coverage", F.round("coverage", 6))
+
+
+@query
+def parse_document_requests(spark, sf_dir):
+    n = F.col("doc_id") % 8
+    encoded = F.base64(F.encode("text", "UTF-8"))
+    rows = documents(spark, sf_dir).select(
+        "doc_id", F.when(n == 0, "").when(n == 1, "application/pdf").otherwise(" Text/Plain; charset=utf-8 ").alias("mime_type"), F.when(n == 2, F.concat(F.lit("  inline "), F.col("doc_id").cast("string"))).alias("text"),
+        F.when(n == 3, None).when(n == 4, "!!").when(n == 5, F.base64(F.lit("  ").cast("binary"))).when(n == 6, F.base64(F.unhex(F.lit("C328")))).otherwise(encoded).alias("content_base64"),
+    )
+    return extraction.parse_documents(rows).select("doc_id", "body", "parser", "error")
+
+
 @query
 def vector_topk_exact(spark, sf_dir):
     return vector_candidates(load(spark, sf_dir), "en", query_vector(spark, sf_dir), vector_limit(5)).select("claim_id", F.round("cos", 6).alias("cos"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ann
 from ..functions.text import tokenize, tokenize_text
 from ..functions.vectors import cosine_to
-from ..operators import filters, ranking
+from ..operators import filters, graph, projection, ranking, segments
 from ..schema import STANCE_MODES, StoreError, Tables
 from ..sources.workspace import written
 
@@ -197,6 +197,22 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     return found.withColumn("score", ranking.lexical_score(base, F.col("bm25"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def api_query(tables: Tables, request: Request, base: DataFrame | None = None, config: graph.GraphConfig = graph.GraphConfig(max_hops=1)) -> DataFrame:
+    """The whole answer to a request, a row for each result: score, stances, citations, bands, time notes, graph score, and
+    whether it came from `base` (claim ids) or the delta beyond it."""
+    own = tables.claims.filter(F.col("tenant_id") == request.tenant_id)
+    results = retrieve(tables, request)
+    cited = citations(tables, results).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("position", "evidence_id", "source_id", "stance", "source_quality"))).alias("citations"))
+    reasoned = graph.reasoning(results, graph.traverse(results, tables.edges, config.max_hops), config)
+    seen = segments.visible(own, base) if base is not None else own.select("claim_id", F.lit("delta").alias("origin"))
+    s, c = F.col("supports"), F.col("contradicts")
+    out = results.join(cited, "claim_id", "left").join(reasoned, "claim_id", "left").join(seen, "claim_id", "left")
+    return out.withColumns({
+        "citations": F.coalesce("citations", F.array().cast(cited.schema["citations"].dataType)), "band": projection.confidence_band(F.col("confidence")), "dominant": projection.dominant_stance(s, c), "risk": projection.contradiction_risk(s, c),
+        "temporal_mode": projection.temporal_mode(request.time_from, request.time_to), "in_range": projection.temporal_match(request.time_from, request.time_to),
+    }).select("claim_id", "canonical_text", "score", "supports", "contradicts", "quality", "citations", "band", "dominant", "risk", "temporal_mode", "in_range", "graph_score", "support_path_count", "contradiction_chain_depth", "origin")
+
+
 def planner_snapshot(tables: Tables, request: Request, allowed: DataFrame | None = None) -> DataFrame:
     """One row of what the plan does for a request: counts on the way, limits, and which parts are in use."""
     counts = candidate_counts(tables, request, allowed)

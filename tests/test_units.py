@@ -346,6 +346,24 @@ def test_writes_are_admitted_by_the_local_leader(spark):
         routing.placements_from(spark, None)
 
 
+def test_parsers_and_embeddings_by_command(spark):
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    rows = [(1, "application/pdf", None, b64(b"abc")), (2, "image/x", None, b64(b"fail")), (3, "text/plain", None, b64("é ".encode())), (4, "text/plain", None, b64(b"\xff\xfe")), (5, "application/pdf", " given ", "%%"), (6, None, "x", None), (7, "application/pdf", None, b64(b" "))]
+    frame = spark.createDataFrame(rows, "id long, mime_type string, text string, content_base64 string")
+    command = 'read x; if [ "$x" = fail ]; then echo no >&2; exit 3; fi; [ -n "$x" ] && echo "$DOCUMENT_MIME_TYPE $x"; true'
+    found = {r["id"]: (r["body"], r["parser"], r["error"]) for r in extraction.parse_documents(frame, command).collect()}
+    assert found[1] == ("application/pdf abc", "command", None) and found[3] == ("é", "builtin", None) and found[5] == ("given", "inline_text", None)
+    assert found[2][0] is None and found[2][2] == "command exited with status 3: no"
+    assert found[4][2] == "payload is not valid UTF-8" and found[6][2] == "mime_type is required" and found[7][2] == "document parser yielded empty text"
+    provider = embeddings.CommandProvider("wc -c | tr -d ' ' | sed 's/.*/[&, 0.5]/'", 2)
+    assert provider.embed(["abc", ""]) == [[3.0, 0.5], [0.0, 0.5]]
+    for printed in ("", "[]", "[a]", "[1e99]"):
+        with pytest.raises(StoreError):
+            embeddings.CommandProvider.parse(printed)
+    with pytest.raises(StoreError):
+        embeddings.CommandProvider("exit 1").embed(["x"])
+
+
 def test_follower_stream(spark, tables, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("source", "target", "check"))
     lines = changelog.numbered(changelog.claim_lines(tables.claims), 0, "line")
