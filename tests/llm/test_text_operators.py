@@ -242,6 +242,34 @@ def test_languages_of_text_without_spaces():
         assert "".join(p.decode("utf-8", "surrogatepass") for p in cut) == word
 
 
+def test_whole_language_query_against_plain_forward_backward(spark, data, documents):
+    """Every document of the table: the query's labels and scores against messages passed word by word."""
+    rows = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.train(rows.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
+    found = by_id(QUERIES["op8_language_id"](spark, data))
+    moves = np.exp(model.crf.moves - model.crf.moves.max())
+    for d, t in zip(documents.doc_id, documents.text, strict=True):
+        assert found.held_out[d] == (zlib.crc32(str(d).encode()) % 4 == 2)
+        words = language_id.words_of(t or "")
+        if not any(map(str.isalpha, t or "")):
+            assert (found.lang_pred[d], found.score[d]) == ("und", 0.0)
+            continue
+        emit = np.exp((e := model.crf.scores(words).astype("float32").astype("f8")) - e.max(1, keepdims=True))
+        ahead, message = [], np.ones(len(model.labels))
+        for e in emit:
+            message = message @ moves * e
+            message /= message.sum()
+            ahead.append(message)
+        share, back = np.zeros(len(model.labels)), np.ones(len(model.labels))
+        for i in range(len(emit) - 1, -1, -1):
+            both = ahead[i] * back
+            share += both / both.sum()
+            back = moves @ (emit[i] * back)
+            back /= back.sum()
+        share /= len(emit)
+        assert found.lang_pred[d] == model.labels[share.argmax()] and abs(found.score[d] - share.max()) < 1e-6
+
+
 def test_texts_without_letters_have_no_language():
     model = language_id.Identifier.train([("alpha beta gamma", "en"), ("uno dos tres", "es")])
     found = [x[0] for x in model.predict(["½ ² ① Ⅷ 12", "", "12 +", "alpha ½", "天"])]
