@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import SENTENCE_END, decode_base64, normalize_whitespace, sanitize_id, trimmed
 
 MIN_CHARS, MAX_CLAIMS, MOST_CLAIMS = 24, 32, 512
-TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml", "application/csv", "application/markdown")
+#: Types, beside text/*, whose payload is read as text.
+TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml", "application/markdown", "application/csv")
 
 
 def sentence_array(text: Column, min_chars: int = MIN_CHARS, max_claims: int = MAX_CLAIMS) -> Column:
