@@ -4,10 +4,10 @@ Vectors of the sample become pivots, near copies left out. A vector stands for i
 order, its permutation: rows by POSTED of them, queries by ASKED. A row is posted in the inverted files of its own
 pivots. The files are kept in shards of pivots that lie near each other; a row is sent to the shards of its pivots, a
 query to the shards of its own and to no other. There it reads the files of its pivots alone. A pair that could meet
-in several shards is taken in that of the row's nearest pivot that the query knows. The rows met are ranked by
-footrule distance of the permutations, a pivot that is missing counting as the position behind the last, and of
-each shard the best SHARE (ties included, at least as many as are asked for) are ranked again by the exact inner
-product in double precision; the best of all shards win.
+in several shards is taken in that of the row's nearest pivot that the query knows. The rows met are ranked by the
+footrule distance of the permutations over the row's pivots: how far each stands from its place in the query's, one
+that the query does not know counting as behind its last. Of each shard the best SHARE (ties included, at least as many
+as are asked for) are ranked again by the exact inner product in double precision; the best of all shards win.
 
 There are about a twelfth as many pivots as rows, up to PIVOTS, so the share of the rows that a query reads falls
 while they grow: see the README for measured recall and shares. A shard with many rows is split into blocks, one
@@ -101,7 +101,7 @@ class Files:
 
     def near(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows met by a query that are this shard's to rank, and their footrule distances to it."""
-        posted, asked = len(self.at), len(order)
+        asked = len(order)
         met = np.zeros(self.rows, bool)
         for pivot in order[self.mine[order]].tolist():
             met[self.row[self.cuts[pivot] : self.cuts[pivot + 1]]] = True
@@ -116,11 +116,9 @@ class Files:
                 own |= known & self.mine[pivot]
                 open_ &= ~known
             rows = rows[own]
-        # pivots of the query that a row lacks count as behind the row's last
-        behind = np.where(place < asked, np.maximum(place - posted, 0), 0)
-        far = np.full(len(rows), int(behind[order].sum()))
+        far = np.zeros(len(rows), "int64")
         for j, at in enumerate(self.at):
-            far += (np.abs(place - j) - behind)[at[rows]]
+            far += np.abs(place - j)[at[rows]]
         return rows, far
 
 
