@@ -18,23 +18,25 @@ def sentence_array(text: Column, min_chars: int = MIN_CHARS, max_claims: int = M
     """Structs (text, span_start, span_end) of a text's sentences; spans are bytes, the end inclusive.
 
     A part's place is the bytes of the parts before it and one for each end mark, so the spans come from
-    running sums of byte lengths; nothing leaves the JVM.
+    running sums of byte lengths; nothing leaves the JVM. Only kept parts are held, so time is linear in the text.
     """
+    most = min(max_claims, MOST_CLAIMS)
     parts = F.split(text, SENTENCE_END, -1)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<raw:string,at:bigint>>").alias("out"))
     placed = F.aggregate(
         parts, start,
-        lambda s, p: F.struct((s["at"] + F.octet_length(p) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(p.alias("raw"), s["at"].alias("at")))).alias("out")),
+        lambda s, p: F.struct(
+            (s["at"] + F.octet_length(p) + 1).alias("at"),
+            F.when((F.size(s["out"]) < most) & (F.length(normalize_whitespace(p)) >= max(1, min_chars)), F.concat(s["out"], F.array(F.struct(p.alias("raw"), s["at"].alias("at"))))).otherwise(s["out"]).alias("out"),
+        ),
         lambda s: s["out"],
     )
     lead = lambda r: F.octet_length(r) - F.octet_length(F.regexp_replace(r, "(?U)^\\s+", ""))
     tail = lambda r: F.octet_length(r) - F.octet_length(F.regexp_replace(r, "(?U)\\s+$", ""))
-    kept = F.filter(placed, lambda p: (F.length(normalize_whitespace(p["raw"])) >= min_chars) & (normalize_whitespace(p["raw"]) != ""))
-    shown = F.transform(
-        kept,
+    return F.transform(
+        placed,
         lambda p: F.struct(normalize_whitespace(p["raw"]).alias("text"), (p["at"] + lead(p["raw"])).alias("span_start"), (p["at"] + F.octet_length(p["raw"]) - tail(p["raw"]) - 1).alias("span_end")),
     )
-    return F.slice(shown, 1, min(max_claims, MOST_CLAIMS))
 
 
 def sentences(docs: DataFrame, min_chars: int = MIN_CHARS, max_claims: int = MAX_CLAIMS, text_col: str = "text") -> DataFrame:
