@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,11 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that run within go as these end.
+
+    Otherwise they stay until the driver happens to collect its garbage, and those of many steps add up.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
     Intermediate tables can be dropped as soon as nothing lazy reads them; the rest go when the
-    interpreter ends.
+    interpreter ends. The shuffle files of writing a table go as it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -58,7 +75,8 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        with brief_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._evidenza_path = path
         return out

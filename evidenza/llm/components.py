@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, brief_shuffles
 
 #: Edges of a block: 16 MB of ids.
 BLOCK_EDGES = 1 << 20
@@ -74,7 +74,8 @@ def components(edges: DataFrame, scratch: Scratch, block: int = BLOCK_EDGES) ->
     """(node, component): the smallest node that edges (u, v) reach; nodes that are their own component are left out."""
     now, known = scratch.save(edges.filter("u <> v")), None
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with brief_shuffles(scratch.spark):
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         blocks = -(-seen[0] // block)
         if seen == known or not blocks:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

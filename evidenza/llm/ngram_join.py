@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, arrow_batches, once, table, text_or_empty
+from .common import Scratch, arrow_batches, brief_shuffles, once, table, text_or_empty
 from .components import components
 from .memo import Memo
 
@@ -180,7 +180,9 @@ def _slots(partials: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(sums, pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     out = np.zeros((SLICES, (1 << bits) // SLICES), "u4")
-    for row in partials.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
+    with brief_shuffles(partials.sparkSession):
+        rows = partials.repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
+    for row in rows:
         out[row["slice"]] = np.frombuffer(row["counts"], "u4")
     return out.ravel()
 
@@ -236,31 +238,33 @@ class NgramJoin:
         self.levels, self.chain = self.spark.sparkContext.broadcast(levels), max(chain, int(levels.mean()) + 4)
 
     def documents(self) -> DataFrame:
-        """doc_id, size and digest of the set, digests and keys of its prefix; an empty set has size 0."""
+        """doc_id, size and digest of the set, digests, keys and last key of its prefix; an empty set has size 0."""
 
         n, percent, levels = self.n, self.percent, self.levels
 
-        @F.pandas_udf("n long, s1 long, s2 long, prefix binary, " + ", ".join(f"{b} long" for b in BITS))
+        @F.pandas_udf("n long, s1 long, s2 long, prefix binary, last long, " + ", ".join(f"{b} long" for b in BITS))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
                 rows = []
                 for keys in _sets(texts.tolist(), n, levels.value):
-                    rows.append((len(keys), *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())), keys[: prefix_size(len(keys), percent)].tobytes() if len(keys) else b"", *bitmap(keys).tolist()))
-                yield pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", *BITS])
+                    prefix = keys[: prefix_size(len(keys), percent)] if len(keys) else keys
+                    rows.append((len(keys), *_signed(xxhash.xxh3_128_intdigest(keys.tobytes())), prefix.tobytes(), int(prefix[-1]) if len(keys) else 0, *bitmap(keys).tolist()))
+                yield pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "last", *BITS])
 
         found = self.docs.select("doc_id", once(run)("text").alias("s")).select("doc_id", "s.*")
         return found.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(1), "prefix")})
 
     def leaders(self, docs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(gid, n, prefix, bitmap) of each group's leader."""
+        """(gid, n, prefix, last, bitmap) of each group's leader."""
         own = sets.filter("rep = gid").select(F.col("rep").alias("doc_id"), "s1", "s2")
-        found = docs.select("doc_id", "s1", "s2", "n", "prefix", *BITS).join(own, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-        return found.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), "prefix", *BITS)
+        found = docs.select("doc_id", "s1", "s2", "n", "prefix", "last", *BITS).join(own, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+        return found.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), "prefix", "last", *BITS)
 
     def postings(self, lead: DataFrame) -> DataFrame:
         """(token, gid, n, before, n_before) of the groups' prefixes where a token may have two groups, with the group before in random order.
 
         A token's key holds the size class of its counter; lists of far more than 2^chain groups are cut into chains of about so many.
+        They are dealt before the window, which would send its order's columns along.
         """
 
         @F.pandas_udf("array<long>")
@@ -273,7 +277,7 @@ class NgramJoin:
         over = F.shiftrightunsigned("token", 58).cast("int") - self.chain
         chain = F.when(over > 0, F.pmod(F.xxhash64("token", "gid"), F.pow(F.lit(2.0), over).cast("long"))).otherwise(0)
         order = Window.partitionBy("token", "chain").orderBy(like, F.xxhash64("gid", "token"))
-        around = posted.withColumn("chain", chain).withColumns({"before": F.lag("gid").over(order), "n_before": F.lag("n").over(order), "after": F.lead("gid").over(order)})
+        around = posted.withColumn("chain", chain).repartition("token", "chain").withColumns({"before": F.lag("gid").over(order), "n_before": F.lag("n").over(order), "after": F.lead("gid").over(order)})
         return around.filter((over > 0) | F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after", "chain")
 
     def _sizes(self, a: str, b: str):
@@ -290,11 +294,24 @@ class NgramJoin:
         differ = sum(map(F.bit_count, differ[1:]), F.bit_count(differ[0]))
         return differ * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
 
-    def prefix_filter(self, pairs: DataFrame, lead: DataFrame, leaders_only: bool = False) -> DataFrame:
-        """Pairs (a, b) of groups, by their leaders, whose prefixes allow the similarity.
+    def _shared(self, a: str, b: str):
+        """So many elements of their prefixes two similar groups have in common, at least.
 
-        Where only the leaders themselves are candidates, their bitmaps have to allow it too; other members have other ones.
+        Up to the end of the prefix that ends first all common elements are known; behind it this set has the rest of its own.
         """
+        na, nb, end_a, end_b = (F.col(f"{x}{y}") for y in ("n", "last") for x in (a, b))
+        first = F.when(end_a < end_b, na).when(end_b < end_a, nb).otherwise(F.least(na, nb))
+        behind = F.floor(first * self.percent / 100)  # n less prefix_size(n) is ceil(percent n / 100) - 1
+        return F.ceil((na + nb) * self.percent / F.lit(100 + self.percent) - 1e-6).cast("long") - behind
+
+    def bitmap_filter(self, pairs: DataFrame, lead: DataFrame) -> DataFrame:
+        """Pairs (a, b) of leaders whose own bitmaps allow the similarity; other members of their groups have other ones."""
+        left = lead.select(F.col("gid").alias("a"), F.col("n").alias("na"), *(F.col(x).alias(f"x_{x}") for x in BITS))
+        right = lead.select(F.col("gid").alias("b"), F.col("n").alias("nb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
+        return pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & self._bits("x_", "y_", "na", "nb")).drop(right["b"]).select("a", "b")
+
+    def prefix_filter(self, pairs: DataFrame, lead: DataFrame) -> DataFrame:
+        """Pairs (a, b) of groups, by their leaders, whose prefixes allow the similarity."""
         percent = self.percent
 
         @F.pandas_udf("boolean")
@@ -302,10 +319,9 @@ class NgramJoin:
             get = lambda x: np.frombuffer(x, "<u8")
             return pd.Series([prefixes_allow(get(x), i, get(y), j, percent) for x, i, y, j in zip(pa_, na, pb, nb, strict=True)], dtype=bool)
 
-        left = lead.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), *(F.col(x).alias(f"x_{x}") for x in BITS))
-        right = lead.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), *(F.col(x).alias(f"y_{x}") for x in BITS))
-        met = pairs["b"] == right["b"]
-        near = pairs.join(left, "a").join(right, met & self._bits("x_", "y_", "na", "nb") if leaders_only else met).drop(right["b"])
+        left = lead.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        right = lead.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        near = pairs.join(left, "a").join(right, "b")
         return near.filter(allow("pa", "na", "pb", "nb")).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -319,7 +335,9 @@ class NgramJoin:
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SKETCH_BITS))
         marks = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits"))
         mask = np.zeros((1 << SKETCH_BITS >> 15, 4096), "u1")
-        for row in marks.collect():
+        with brief_shuffles(self.spark):
+            rows = marks.collect()
+        for row in rows:
             mask[row["part"]] = np.frombuffer(row["bits"], "u1")
         wanted = self.spark.sparkContext.broadcast(mask)
 
@@ -353,18 +371,21 @@ class NgramJoin:
 
     def run(self) -> DataFrame:
         save = self.scratch.save
-        docs = save(self.documents())
-        full = docs.filter("n > 0 and doc_id is not null")
+        made = save(self.documents())
+        full = made.filter("n > 0 and doc_id is not null")
         reps = full.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("rep"), *(F.min(x).alias(x) for x in BITS))
         groups = reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"))
         sets = save(reps.join(groups, ["n", "p1", "p2"]).select("rep", "s1", "s2", "n", "gid", *BITS))
         lead = save(self.leaders(full, sets))
+        docs = save(made.select("doc_id", "n", "s1", "s2"))
+        self.scratch.drop(made)  # its prefixes are as large as half the text
         posted = save(self.postings(lead))
 
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         chained = posted.filter(F.col("before").isNotNull() & (F.col("before") != F.col("gid")) & self._sizes("n", "n_before")).select(*pair("gid", "before")).distinct()
         inside = sets.filter("rep <> gid").select(*pair("gid", "rep"))
-        links = self.verify(self.prefix_filter(chained, lead, True).union(inside))
+        likely = save(self.bitmap_filter(chained, lead))  # so that prefixes go along with few pairs
+        links = self.verify(self.prefix_filter(likely, lead).union(inside))
         parts = components(links.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch)
 
         member = save(sets.select("rep", "gid", "n", *BITS).join(parts, F.col("rep") == F.col("node"), "left").select("rep", "gid", "n", *BITS, F.coalesce("component", "rep").alias("part")))
@@ -374,12 +395,16 @@ class NgramJoin:
         self.scratch.drop(posted)
         shares = lists.groupBy("token", "low").agg(F.count("*").alias("k"), F.max("high").alias("high"))
         main = shares.groupBy("token").agg(F.max(F.struct("k", "low"))["low"].alias("main"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("token", "main")
-        unsettled = save(lists.join(main, "token").withColumn("rest", F.expr("low <> main or high <> main")).drop("main").join(span.drop("low", "high"), "gid"))
+        unsettled = save(lists.join(main, "token").withColumn("rest", F.expr("low <> main or high <> main")).drop("main").join(span.drop("low", "high").join(lead.select("gid", "last"), "gid"), "gid"))
         x, y = unsettled.filter("rest").alias("x"), unsettled.alias("y")
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high"))
         once_each = ~F.col("y.rest") | (F.col("x.gid") < F.col("y.gid"))
         across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & once_each & apart & self._sizes("x.n", "y.n") & self._bits("x.", "y.", "x.n", "y.n", True))
-        across = across.select(*pair("x.gid", "y.gid")).distinct()
+        # A pair stands here once for each element that both prefixes have; only pairs with enough of them meet whole prefixes.
+        across = across.select(*pair("x.gid", "y.gid"), self._shared("x.", "y.").alias("least")).groupBy("a", "b", "least").count()
+        across = save(across.filter("count >= least").select("a", "b"))
+        self.scratch.drop(lists)
+        self.scratch.drop(unsettled)
         alone = span.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         open_pairs = self.prefix_filter(across, lead).union(alone)
         left = member.select(F.col("gid").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("part").alias("part_a"), *(F.col(x).alias(f"x_{x}") for x in BITS))
@@ -388,7 +413,7 @@ class NgramJoin:
         expanded = open_pairs.join(left, "a").join(right, (open_pairs["b"] == right["b"]) & near).select(*pair("ra", "rb")).distinct()
         both = links.union(self.verify(expanded)).select(F.col("b").alias("u"), F.col("a").alias("v"))
         parts = components(both, self.scratch)
-        for done in (lead, links, member, span, lists, unsettled):
+        for done in (lead, likely, links, member, span, across):
             self.scratch.drop(done)
 
         own = sets.select("s1", "s2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("part"))

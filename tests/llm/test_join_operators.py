@@ -1,8 +1,10 @@
 """The n-gram join, the two vector operators, components and the pipeline, against brute force and on odd rows."""
 
 import collections
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -99,6 +101,57 @@ def test_ngram_join_of_groups_whose_leader_is_far(spark):
     assert found.component_id.to_dict() == parts(texts, near(word_sets(texts, 4), 85))
 
 
+def shuffles(spark):
+    """Ids of the shuffles that have files."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {x.split("_")[1] for x in names if x.startswith("shuffle_")}
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(conf, None), shuffles(spark)
+    frame = spark.range(10_000).withColumn("k", F.col("id") % 100).groupBy("k").count()
+    saved = Scratch(spark, "test").save(frame)
+    end = time.time() + 20
+    while (left := shuffles(spark) - before) and time.time() < end:  # they go in the background
+        time.sleep(0.1)
+    assert not left and saved.count() == frame.count() == 100 and spark.conf.get(conf, None) == was
+
+
+def test_ngram_join_leaves_little_on_disk(spark, data):
+    """When its steps have run, neither their shuffle files nor tables with prefixes or whole sets stand."""
+    docs, before = spark.read.parquet(f"{data}/documents.parquet"), shuffles(spark)
+    join = ngram_join.NgramJoin(docs, 4, 85, 12)
+    join.run()
+    end = time.time() + 20
+    while len(left := shuffles(spark) - before) > 4 and time.time() < end:
+        time.sleep(0.1)
+    assert len(left) <= 4  # a stage that Spark finds it need not wait for may end after its query
+    root = join.scratch.root.removeprefix("file:")
+    columns = {c for k in os.listdir(root) for c in spark.read.parquet(f"{root}/{k}").columns}
+    assert "s1" in columns and not columns & {"prefix", "keys"}
+
+
+def test_ngram_join_of_long_texts_with_a_common_passage(spark, monkeypatch):
+    """Bitmaps say nothing of long texts; pairs with few common elements in their prefixes never meet whole prefixes."""
+    r = random.Random(10)
+    fresh = lambda k: [f"z{r.randint(0, 10**9)}" for _ in range(k)]
+    passage = fresh(60)
+    texts = {i: " ".join(fresh(1500) + passage) for i in range(60)}
+    texts |= {60 + i: " ".join([*fresh(3), texts[i], *fresh(i)]) for i in range(5)}
+    met, plain = [], ngram_join.NgramJoin.prefix_filter
+
+    def counted(self, pairs, *rest):
+        met.append(pairs.count())
+        return plain(self, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join.NgramJoin, "prefix_filter", counted)
+    found = ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 85, 10).toPandas().set_index("doc_id")
+    assert found.component_id.to_dict() == parts(texts, near(word_sets(texts, 4), 85))
+    assert met[-1] <= 20
+
+
 def test_ngram_join_of_a_large_cluster(spark):
     """5,000 near copies whose rarest words all differ, beside clusters and texts of their own with the same words in their prefixes; chains are short."""
     r = random.Random(9)
