@@ -158,6 +158,10 @@ def response(tables: Tables, results: DataFrame) -> DataFrame:
     return results.join(cited, "claim_id", "left").select("claim_id", F.to_json(node).alias("json"))
 
 
+#: Queries of a batch that is sent to all executors whole.
+MOST_SENT = 100_000
+
+
 def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFrame:
     """The k best claims of each row of `queries` (query_id, tenant_id, query), all in one plan.
 
@@ -165,28 +169,34 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     token matches takes its whole tenant. Texts are read twice, for lengths and for the postings of the queries' tokens,
     which are written once to the shared folder. Optional columns, null where they do not count: time_from, time_to (inclusive),
     entities, embedding_ids (arrays, any of them), stance_mode. Evidence and edges are reduced to the claims of the tenants.
+
+    What a batch of at most MOST_SENT queries asks for (tenants, tokens, options) is sent to all executors, so texts are never
+    dealt by tenant, postings never by token and candidates never by query: these are a few large groups. A larger batch is
+    joined as Spark plans it.
     """
+    sent = F.broadcast if queries.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda rows: rows
     given = {"time_from": "long", "time_to": "long", "entities": "array<string>", "embedding_ids": "array<string>", "stance_mode": "string"}
     options = queries.select("query_id", *(F.col(c).cast(d).alias(f"_{c}") if c in queries.columns else F.lit(None).cast(d).alias(f"_{c}") for c, d in given.items()))
     asked = queries.select("query_id", "tenant_id", tokenize(F.col("query")).alias("qtokens"))
-    own = ranking.with_tokens(tables.claims.join(asked.select("tenant_id").distinct(), "tenant_id", "left_semi"))
+    tenants = sent(asked.select("tenant_id").distinct())
+    own = ranking.with_tokens(tables.claims.join(tenants, "tenant_id", "left_semi"))
     stats = own.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.col("n_tokens").cast("double")), F.lit(1.0)).alias("avg_len"))
     terms = asked.select("query_id", "tenant_id", F.size("qtokens").alias("n_terms"), F.explode("qtokens").alias("token"))
     terms = terms.groupBy("query_id", "tenant_id", "n_terms", "token").agg(F.count("*").alias("times"))
     wanted = terms.select("tenant_id", "token").distinct()
-    posted = own.select("claim_id", "tenant_id", F.col("n_tokens").cast("double").alias("len"), F.explode(F.split(F.trim("pad"), "  ")).alias("token")).join(wanted, ["tenant_id", "token"])
+    posted = own.select("claim_id", "tenant_id", F.col("n_tokens").cast("double").alias("len"), F.explode(F.split(F.trim("pad"), "  ")).alias("token")).join(sent(wanted), ["tenant_id", "token"])
     posted = written(posted.groupBy("tenant_id", "token", "claim_id", "len").agg(F.count("*").alias("tf")), "postings")
     df = posted.groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))
     gain = F.col("times") * ranking.idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * 2.2) / (F.col("tf") + norm)
-    hits = terms.join(posted, ["tenant_id", "token"]).join(df, ["tenant_id", "token"]).join(stats, "tenant_id")
+    hits = posted.join(sent(terms), ["tenant_id", "token"]).join(sent(df), ["tenant_id", "token"]).join(sent(stats), "tenant_id")
     lexical = hits.groupBy("query_id", "tenant_id", "claim_id").agg(F.sum(gain).alias("bm25"), (F.sum("times") / F.first("n_terms")).alias("overlap"))
-    missed = asked.select("query_id", "tenant_id").join(terms.join(df, ["tenant_id", "token"]).select("query_id").distinct(), "query_id", "left_anti")
-    whole = missed.join(tables.claims.select("tenant_id", "claim_id"), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
+    missed = asked.select("query_id", "tenant_id").join(sent(terms.join(sent(df), ["tenant_id", "token"]).select("query_id").distinct()), "query_id", "left_anti")
+    whole = tables.claims.select("tenant_id", "claim_id").join(sent(missed), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
     narrow = tables.claims.select("claim_id", "confidence", *(c for c in filters.METADATA if c in tables.claims.columns))
     found = lexical.union(whole).join(narrow, "claim_id").join(options, "query_id")
     found = found.filter(filters.passes_options(tables.claims.columns)).select("query_id", "tenant_id", "claim_id", "bm25", "overlap", "confidence", "_stance_mode")
-    ids = tables.claims.join(asked.select("tenant_id").distinct(), "tenant_id", "left_semi").select("claim_id")  # narrow columns of the tenants asked for
+    ids = tables.claims.join(tenants, "tenant_id", "left_semi").select("claim_id")  # narrow columns of the tenants asked for
     evidence = tables.evidence.join(ids, "claim_id", "left_semi")
     edges = tables.edges.join(ids, F.col("from_claim_id") == F.col("claim_id"), "left_semi")
     found = found.join(ranking.signals(evidence, edges), "claim_id", "left")
