@@ -194,7 +194,7 @@ def retrieve_batch(tables: Tables, queries: DataFrame, top_k: int = 5) -> DataFr
     missed = asked.select("query_id", "tenant_id").join(sent(terms.join(sent(df), ["tenant_id", "token"]).select("query_id").distinct()), "query_id", "left_anti")
     whole = tables.claims.select("tenant_id", "claim_id").join(sent(missed), "tenant_id").select("query_id", "tenant_id", "claim_id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("overlap"))
     narrow = tables.claims.select("claim_id", "confidence", *(c for c in filters.METADATA if c in tables.claims.columns))
-    found = lexical.union(whole).join(narrow, "claim_id").join(options, "query_id")
+    found = lexical.union(whole).join(narrow, "claim_id").join(sent(options), "query_id")
     found = found.filter(filters.passes_options(tables.claims.columns)).select("query_id", "tenant_id", "claim_id", "bm25", "overlap", "confidence", "_stance_mode")
     ids = tables.claims.join(tenants, "tenant_id", "left_semi").select("claim_id")  # narrow columns of the tenants asked for
     evidence = tables.evidence.join(ids, "claim_id", "left_semi")

@@ -23,6 +23,10 @@ def test_texts_and_postings_are_not_dealt_by_tenant_or_token(joined):
     assert not [x for x in joined if x.startswith(("[tenant_id", "[token"))]
 
 
+def test_candidates_are_not_dealt_by_query(joined):
+    assert joined and not [x for x in joined if x.startswith("[query_id")]
+
+
 def test_a_batch_too_large_to_send(spark, data, monkeypatch):
     asked = spark.createDataFrame([(0, "en", "the of and the"), (1, "de", "zzzzqq")], "query_id long, tenant_id string, query string")
     rows = lambda: sorted(tuple(r) for r in plans.retrieve_batch(load(spark, data), asked, 5).select("query_id", "rank", "claim_id").collect())
