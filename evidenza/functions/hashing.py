@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -11,6 +15,11 @@ BASIS, ROUTING_BASIS, PRIME = 14695981039346656037, 1469598103934665603, 1099511
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
+SPACE = re.compile(r"\s")
+#: Characters of which the tokens are held at a time.
+PIECE = 1 << 18
+#: Words whose hashes are held; they and those of one piece more at most.
+WORDS = 50_000
 
 
 def fnv1a(raw: list[bytes], basis: int = BASIS) -> np.ndarray:
@@ -20,9 +29,9 @@ def fnv1a(raw: list[bytes], basis: int = BASIS) -> np.ndarray:
     state = np.full(len(raw), basis, "u8")
     if len(raw) and sizes[0]:
         flat = np.frombuffer(b"".join(raw[i] for i in order), "u1")
-        begin = np.cumsum(sizes) - sizes
+        begin, shorter = np.cumsum(sizes) - sizes, -sizes
         for k in range(int(sizes[0])):
-            n = int(np.searchsorted(-sizes, -k))  # strings longer than k
+            n = int(np.searchsorted(shorter, -k))  # strings longer than k
             state[:n] = (state[:n] ^ flat[begin[:n] + k]) * np.uint64(PRIME)
     out = np.empty(len(raw), "u8")
     out[order] = state
@@ -47,18 +56,44 @@ def payload_fingerprint(batch_size: pd.Series, claim_ids: pd.Series) -> pd.Serie
     return pd.Series([f"{h:016x}" for h in fnv1a(raw).tolist()], dtype=object)
 
 
-def hash_embedding(dimensions: int, lower: bool):
-    """Unit vectors of signed token counts; blank text gives the first axis. `lower`: tokens in lower case."""
+def _pieces(texts: Iterable[str | None], most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with their places, about `most` characters at a time; longer ones are cut after white space."""
+    rows, parts, left = [], [], most
+    for row, text in enumerate(texts):
+        at, end = 0, len(text or "")
+        while at < end:
+            cut = SPACE.search(text, at + left) if end - at > left else None
+            stop = cut.end() if cut else end
+            rows.append(row)
+            parts.append(text[at:stop])
+            left, at = left - (stop - at), stop
+            if left <= 0:
+                yield rows, parts
+                rows, parts, left = [], [], most
+    if rows:
+        yield rows, parts
+
+
+def hash_embedding(dimensions: int, lower: bool, most: int = PIECE):
+    """Unit vectors of signed token counts; blank text gives the first axis. `lower`: tokens in lower case.
+
+    Tokens are held for about `most` characters at a time, so memory follows neither the batch's texts nor the longest.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        split = [(x or "").translate(LOWER if lower else {}).split() for x in texts]
-        names = list(set().union(*split)) if split else []
-        of = dict(zip(names, fnv1a([t.encode() for t in names]).tolist(), strict=True))
-        flat = np.array([of[t] for tokens in split for t in tokens], "u8")
-        row = np.repeat(np.arange(len(split)), [len(t) for t in split])
-        out = np.zeros((len(split), dimensions))
-        np.add.at(out, (row, (flat % np.uint64(dimensions)).astype("int64")), np.where(flat >> np.uint64(63) == 0, 1.0, -1.0))
+        out, of = np.zeros((len(texts), dimensions)), {}
+        for rows, parts in _pieces(texts, most):
+            split = [p.split() for p in parts]
+            if len(of) > WORDS:
+                of = {}
+            names = list(set().union(*split) - of.keys())
+            hashes = fnv1a([(t.translate(LOWER) if lower else t).encode() for t in names])
+            of.update(zip(names, ((hashes % np.uint64(dimensions)).astype("int64") * 2 + (hashes >> np.uint64(63)).astype("int64")).tolist(), strict=True))
+            sizes = [len(t) for t in split]
+            flat = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), "int64", sum(sizes))
+            at = np.repeat(np.arange(len(rows)), sizes) * dimensions + flat // 2
+            np.add.at(out, rows, np.bincount(at, 1.0 - flat % 2 * 2, len(rows) * dimensions).reshape(-1, dimensions))
         norm = np.sqrt((out**2).sum(1, keepdims=True))
         out[(norm == 0).ravel(), 0] = 1.0
         return pd.Series(list((out / np.where(norm == 0, 1, norm)).astype("float32")), dtype=object)

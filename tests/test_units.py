@@ -477,3 +477,17 @@ def test_wire_batches(spark):
 def test_exposition(spark, tables):
     lines = [r["line"] for r in metrics.exposition(metrics.health(tables)).collect()]
     assert 'evidenza_claims{tenant="t"} 3.0' in lines and 'evidenza_tier_hot{tenant="u"} 1.0' in lines
+
+
+def test_hash_embedding_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"Wort{i * 7 % 997}é{j % 5}" for j in range(400)) for i in range(1000)] + [" x\x1cY　z" * 100_000, None, " "]
+    whole, pieces = hashing.hash_embedding(16, True, 1 << 30).func, hashing.hash_embedding(16, True).func
+    assert np.array_equal(np.stack(whole(pd.Series(texts[::50] + texts[-3:], dtype=object))), np.stack(hashing.hash_embedding(16, True, 5).func(pd.Series(texts[::50] + texts[-3:], dtype=object))))
+    series = pd.Series(texts, dtype=object)
+    tracemalloc.start()
+    pieces(series)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000  # tokens of all texts at once take several times as much
